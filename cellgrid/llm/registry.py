@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+from .decision_list import op8_decision_list
+from .mixing import op1_mixing
+from .ring_shards import op3_ring_shards
 from .token_counts import op9_token_counts
 from .token_files import op2_bitplane_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator applied to its whole table."""
-    return {f.__name__: f for f in (op2_bitplane_tokens, op9_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op2_bitplane_tokens, op3_ring_shards, op8_decision_list, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {"op1_mixing": mixing.oracle_sql()}
