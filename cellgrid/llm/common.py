@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +73,39 @@ def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def window_hashes(t: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every window of `size` consecutive numbers (words, by their hashes)."""
+    n = len(t) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
+    h = np.full(n, np.uint64(size))
+    for k in range(size):
+        h = (h ^ t[k : k + n]) * mix
+        h ^= h >> shift
+    return h
+
+
+def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of the column's values modulo `bits`, built in 4 KB parts by Spark; at most bits / 8 bytes come to the driver, whatever the rows."""
+    place = F.pmod(column, F.lit(bits)) + 1  # Spark numbers the bits from 1
+    parts = df.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    out = np.zeros(bits // 8 + 8192, np.uint8)
+    for r in parts:
+        out[(r.k - 1) * 4096 : (r.k - 1) * 4096 + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out[: bits // 8]
+
+
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit values may be in a bitmap."""
+    p = values.view(np.int64) % (8 * len(bitmap))
+    return ((bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: printable ones stand for themselves, the rest follow from U+0100."""
+    own = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}

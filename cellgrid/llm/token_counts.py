@@ -7,6 +7,7 @@ counts 1 at once; only the rest are merged, and each distinct one once per worke
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, vocabulary_path
+from .common import byte_letters, slices, table, vocabulary_path
 
 MEMO_ENTRIES = 600_000
 
@@ -29,6 +30,7 @@ class TokenCounter:
     """Counts tokens as the library does, its default handling of special strings included."""
 
     def __init__(self, vocabulary: str, memo_entries: int = MEMO_ENTRIES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -40,7 +42,9 @@ class TokenCounter:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.whole = self.proved(set(added))
+        self.letters = byte_letters()
         self.memo: dict[str, int] = {}
+        self.merged: dict[str, int] = {}
         self.memo_entries = memo_entries
 
     def proved(self, added: set[str]) -> frozenset[str]:
@@ -66,24 +70,27 @@ class TokenCounter:
         first, *rest = text.split(" ")
         return [first, *[" " + r for r in rest]]
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         """Remembers the counts of new pieces: the shortcut, then merges for what is left."""
-        merge: dict[str, int] = {}
-        counts: dict[str, list] = {}
+        model, merged, whole = self.tokenizer.model, self.merged, self.whole
+        others: list[str] = []
         for piece in new:
-            if _KNOWN.fullmatch(piece):
-                parts = self.split(piece)
-                rest = [p for p in parts if p not in self.whole]
-                counts[piece] = [len(parts) - len(rest), rest]
-            else:
-                counts[piece] = [0, rest := [piece]]  # the library splits it as well
-            for p in rest:
-                merge.setdefault(p, 0)
-        for part in slices(merge, 20_000):
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                merge[p] = len(e.ids)
-        for piece, (n, rest) in counts.items():
-            self.memo[piece] = n + sum(merge[p] for p in rest)
+            if not _KNOWN.fullmatch(piece):
+                others.append(piece)  # the library splits it as well
+                continue
+            total = 0
+            for p in self.split(piece):
+                if p in whole:
+                    total += 1
+                    continue
+                n = merged.get(p)
+                if n is None:
+                    n = merged[p] = len(model.tokenize(p.encode().decode("latin-1").translate(self.letters)))
+                total += n
+            self.memo[piece] = total
+        for part in slices(others, 20_000):
+            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.memo[piece] = len(e.ids)
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Each text's number of tokens; null counts as empty."""
@@ -96,18 +103,13 @@ class TokenCounter:
             cut.append([p for part in parts if part for p in self.pieces(part)])
         if len(self.memo) > self.memo_entries:
             self.memo.clear()
-        self.learn(list(set().union(*cut).difference(self.memo)) if cut else [])
+        if len(self.merged) > self.memo_entries:
+            self.merged.clear()
+        self.learn(set().union(*cut).difference(self.memo))
         known = self.memo.__getitem__
         return [n + sum(map(known, p)) for n, p in zip(specials, cut, strict=True)]
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter by which byte-level vocabularies write each byte: printable ones stand for themselves, the rest follow from U+0100."""
-    own = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
-
-
 _counters: dict[str, TokenCounter] = {}
 
 
