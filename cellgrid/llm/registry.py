@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
 from .decision_list import op8_decision_list
+from .jaccard_join import op5_ngram_jaccard
 from .mixing import op1_mixing
 from .quality_gam import op6_quality_gam
 from .ring_shards import op3_ring_shards
@@ -18,7 +19,7 @@ from .token_files import op2_bitplane_tokens
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator applied to its whole table."""
-    return {f.__name__: f for f in (op1_mixing, op2_bitplane_tokens, op3_ring_shards, op6_quality_gam, op7_template_decon, op8_decision_list, op9_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op2_bitplane_tokens, op3_ring_shards, op5_ngram_jaccard, op6_quality_gam, op7_template_decon, op8_decision_list, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bitmap_of, in_bitmap, table, window_hashes
 
 WINDOW = 8
 #: A diagonal must cover this many words, or all but one of a shorter item's.
@@ -33,7 +33,6 @@ NUMBER, UNIT, NAME = 1, 2, 3
 UNITS = frozenset("km m cm mm mi ft in kg g mg lb lbs oz t l ml s sec min h hr hrs hours hour minutes minute seconds second days day weeks week months month years year mph kmh km/h m/s c f k % usd eur gbp dollars dollar euros euro cents cent meters metres kilometers kilometres grams kilograms liters litres miles feet inches pounds percent".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 _EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
-_P = np.uint64(0x9E3779B97F4A7C15)
 
 WINDOWS = "doc_id bigint, place bigint, h bigint, slots array<bigint>"
 
@@ -78,19 +77,6 @@ def templates(canon: Canon, texts: list[list[str]]) -> tuple[np.ndarray, np.ndar
     return np.where(slot, kind.astype(np.uint64) * np.uint64(7919), lit), np.where(slot, lit, np.uint64(0)), of
 
 
-def window_hashes(t: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every window of `size` template words."""
-    n = len(t) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.full(n, np.uint64(size))
-        for k in range(size):
-            h = (h ^ t[k : k + n]) * _P
-            h ^= h >> np.uint64(29)
-    return h
-
-
 def literal_enough(values: np.ndarray, size: int) -> np.ndarray:
     """Which windows have enough literal words (all of a window shorter than that)."""
     n = np.concatenate([[0], np.cumsum(values == 0)])
@@ -119,17 +105,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return b.mapInArrow(compute, "item_id bigint, item_words int, size int, place bigint, h bigint, slots array<bigint>")
 
 
-def hash_filter(items: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of the windows' hashes, built in 4 KB parts by Spark; whatever the benchmark, at most bits / 8 bytes come to the driver."""
-    place = F.pmod("h", F.lit(bits)) + 1  # Spark numbers the bits from 1
-    parts = items.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    out = np.zeros(bits // 8 + 8192, np.uint8)
-    for r in parts:
-        out[(r.k - 1) * 4096 : (r.k - 1) * 4096 + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out[: bits // 8]
-
-
-def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], bits: int = FILTER_BITS) -> DataFrame:
+def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
     """The windows of all whole texts that pass the filter; null and empty texts have none."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -146,8 +122,7 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], bits
                     if len(t) < size:
                         continue
                     h = window_hashes(t, size).view(np.int64)
-                    p = h % bits
-                    hit = np.flatnonzero((held[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
+                    hit = np.flatnonzero(in_bitmap(held, h))
                     hit = hit[(of[hit] == of[hit + size - 1]) & literal_enough(v, size)[hit]]
                     for at in hit.tolist():
                         k = int(of[at])
@@ -169,7 +144,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words
     """
     items = item_windows(benchmark, window)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `window` of them
-    found = document_windows(docs, hash_filter(items), sizes).join(items.withColumnsRenamed({"place": "item_place", "slots": "item_slots"}), "h")
+    found = document_windows(docs, bitmap_of(items, "h", FILTER_BITS), sizes).join(items.withColumnsRenamed({"place": "item_place", "slots": "item_slots"}), "h")
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: s["a"] != 0)
     on_line = found.groupBy("doc_id", "item_id", "item_words", "size", (F.col("place") - F.col("item_place")).alias("line")).agg(
         F.sort_array(F.collect_set("item_place")).alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))  # both as long as the item at most
