@@ -99,6 +99,12 @@ def mix_documents(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
     return x.where("taken > 0").select("doc_id", *LEVELS, "tokens", "full_epochs", "last_take", "taken", "leaf_budget")
 
 
+def drawn(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose document the budget draws, be it in part."""
+    ids = mix_documents(docs, mix).select(F.col("doc_id").alias("_drawn")).distinct()
+    return docs.join(ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_drawn")), "left_semi")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents and the tokens of each that the default mixture draws."""
     return mix_documents(table(spark, sf_dir, "documents"))

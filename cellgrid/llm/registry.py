@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing
 from .brown_lm import op10_brown_lm
 from .decision_list import op8_decision_list
+from .guess_cost import op4_guess_cost_secrets
 from .jaccard_join import op5_ngram_jaccard
 from .mixing import op1_mixing
 from .quality_gam import op6_quality_gam
@@ -20,7 +21,7 @@ from .token_files import op2_bitplane_tokens
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator applied to its whole table."""
-    return {f.__name__: f for f in (op1_mixing, op2_bitplane_tokens, op3_ring_shards, op5_ngram_jaccard, op6_quality_gam, op7_template_decon, op8_decision_list, op9_token_counts, op10_brown_lm)}
+    return {f.__name__: f for f in (op1_mixing, op2_bitplane_tokens, op3_ring_shards, op4_guess_cost_secrets, op5_ngram_jaccard, op6_quality_gam, op7_template_decon, op8_decision_list, op9_token_counts, op10_brown_lm)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -106,6 +106,13 @@ def documents_to_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     return shard_rows(keys, shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "ring_slot")
 
 
+def with_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
+    """All rows and columns of `docs` with size, text_crc32, shard and slot (columns of these names are replaced)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn("size", (F.octet_length(text) + 8).cast("bigint")).withColumn("text_crc32", F.crc32(text.cast("binary")))
+    return shard_rows(keyed, shards).drop("ring_slot")
+
+
 def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over shards 0 to 23."""
     return documents_to_shards(table(spark, sf_dir, "documents"))
