@@ -9,7 +9,11 @@ the planes, so any chunk can be read alone. Spark's writer stores one row per ch
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,42 +22,80 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, vocabulary_path, work_dir
+from .common import byte_letters, slices, table, vocabulary_path, work_dir
 
 BLOCK_IDS = 1 << 15
 CHUNK_IDS = 1 << 19
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 600_000
 
 CHUNKS = "file_no int, chunk_no int, doc_ids array<bigint>, lengths array<int>, n_ids bigint, plane_bytes array<int>, planes binary"
 DOCS = "file_no int, chunk_no int, doc_no int, doc_id bigint, n_tokens bigint, ids_crc32 bigint, before bigint"
 
 
+#: Pieces of these characters (ASCII signs, Latin-1 letters) split into pre-tokens as the library splits them, and NFC leaves them alone.
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class PieceEncoder:
-    """Encodes texts piece by piece, remembering pieces.
+    """Encodes texts piece by piece, remembering pieces and pre-tokens.
 
-    A tokenizer that drops white space encodes a text as the concatenation of what it gives for the pieces between single
-    spaces: no token spans white space, and neither NFC nor lower-casing looks across a space. The library encodes each new
-    piece once; whole texts are then joins of remembered bytes.
+    A tokenizer that drops white space encodes a text as the concatenation of what it gives for the pieces between spaces
+    or line ends: no token spans white space, and neither NFC nor lower-casing looks across a space. A new piece of ASCII signs
+    and Latin-1 letters is lower-cased and split into pre-tokens by the vocabulary's pattern, and the library's model merges each new
+    one; any other piece the library encodes whole. Texts are then joins of remembered bytes.
     """
 
     def __init__(self, vocabulary: str, memo_entries: int = MEMO_ENTRIES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        kept = json.loads(self.tokenizer.to_str())
+        marks = [t["content"] for t in kept["added_tokens"]]
+        lower = "Lowercase" in json.dumps(kept["normalizer"]) and "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in json.dumps(kept["pre_tokenizer"])
+        self.marks = re.compile("|".join(map(re.escape, marks)) or "(?!)")
+        self.splits = lower and all(_PLAIN.fullmatch(m) for m in marks)
         self.memo: dict[str, bytes] = {}
+        self.pre: dict[str, bytes] = {}
+        self.letters = byte_letters()
         self.memo_entries = memo_entries
 
+    def merged(self, p: str) -> bytes:
+        """The ids of one lower-case pre-token, by the library's model."""
+        ids = self.pre.get(p)
+        if ids is None:
+            own = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+            ids = self.pre[p] = array("I", [t.id for t in self.tokenizer.model.tokenize(own)]).tobytes()
+        return ids
+
+    def learn(self, new: set[str]) -> None:
+        """Remembers the ids of new pieces."""
+        memo, rest, plain, letters, mark = self.memo, [], _PLAIN.fullmatch, _LETTERS.fullmatch, self.marks.search
+        for piece in new:
+            if not self.splits:
+                rest.append(piece)
+            elif letters(piece):
+                memo[piece] = self.merged(piece.lower())
+            elif plain(piece) and not ("<|" in piece and mark(piece)):
+                memo[piece] = b"".join(map(self.merged, _PRE_TOKENS.findall(piece.lower())))
+            else:
+                rest.append(piece)
+        for part in slices(rest, 20_000):
+            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                memo[piece] = array("I", e.ids).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        pieces = [(t or "").split(" ") for t in texts]
+        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > self.memo_entries:
             self.memo.clear()
-        new = list(set().union(*pieces).difference(self.memo)) if pieces else []
-        for part in slices(new, 20_000):
-            for piece, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.memo[piece] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.pre) > self.memo_entries:
+            self.pre.clear()
+        self.learn(set().union(*pieces).difference(self.memo))
         known = self.memo.__getitem__
         return [b"".join(map(known, p)) for p in pieces]
 
