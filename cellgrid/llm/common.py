@@ -45,6 +45,19 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def listed(spark: SparkSession, rows: Iterable[tuple], schema: str, name: str) -> DataFrame:
+    """A table of the driver's own numbers, few by their nature: written as one text file to the shared folder and read by Spark, so that no Python runs on executors."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}.csv"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        for part in slices(rows, 4096):
+            out.write(bytearray("".join(",".join(map(str, r)) + "\n" for r in part), "ascii"))
+    finally:
+        out.close()
+    return spark.read.schema(schema).csv(path)
+
+
 def crc32_of_id(doc_id: Column | str) -> Column:
     """crc32 of doc_id as text, by which the folds are dealt; a null id counts as the empty string."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

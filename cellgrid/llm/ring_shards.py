@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import listed, table
 
 RING_SLOTS = 1 << 16
 VIRTUAL_NODES = 128
@@ -91,7 +91,7 @@ def shard_rows(keys: DataFrame, shards: int, slack: float = 0.0, nodes: int = VI
     runs = walk(counts, virtual_nodes(spark, shards, nodes, seed), capacities(sum(counts.values()), shards, slack))
     in_slot = Window.partitionBy("ring_slot").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
     ranked = placed.withColumn("ring_rank", F.row_number().over(in_slot).cast("bigint") - 1)
-    run = spark.createDataFrame(runs, RUNS).withColumnRenamed("ring_slot", "run_slot")
+    run = listed(spark, runs, RUNS, "runs").withColumnRenamed("ring_slot", "run_slot")
     found = ranked.join(run, (F.col("ring_slot") == F.col("run_slot")) & (F.col("ring_rank") >= F.col("from_rank")) & (F.col("ring_rank") < F.col("to_rank")))
     return found.withColumn("slot", F.col("base") + F.col("ring_rank") - F.col("from_rank")).drop("run_slot", "from_rank", "to_rank", "base", "ring_rank")
 
