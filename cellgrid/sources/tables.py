@@ -54,7 +54,8 @@ def upsert(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFram
     """Old and new cell objects with one row per key, new before old; of several new ones the last by `order`."""
     keys = (["dataset_id"] if "dataset_id" in old.columns else []) + list(KEY)
     x = old.withColumn("_turn", F.lit(0)).unionByName(new.withColumn("_turn", F.lit(1)), allowMissingColumns=True)
-    last = Window.partitionBy(*keys).orderBy(F.desc("_turn"), *([F.desc(order)] if order else []), F.desc_nulls_last("value_num"), F.desc_nulls_last("value_text"))
+    values = [F.desc_nulls_last(v) for v in ("value_num", "value_text", "value_json") if v in x.columns]
+    last = Window.partitionBy(*keys).orderBy(F.desc("_turn"), *([F.desc(order)] if order else []), *values)
     return x.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_turn")
 
 
