@@ -6,10 +6,12 @@ many prefixes last, so the lists of the inverted index that passages would fill
 
 * Index level: an entry carries its place in its set and the set's size. Lists are cut into blocks of sizes that can link at
   all, and entries whose places leave too little to share are skipped; so are pairs by what their prefixes share together.
-* Answer level: a long list is never paired with itself. Every set in it is compared with the leader of its block. Sets
-  linked to a leader are connected already; for any other pair in the list the overlap is bounded from the two known
-  overlaps with the same leader (what x shares with L, and what y has outside L), and only pairs that the bound leaves open
-  and that are not yet connected are compared.
+* Answer level: a long list is never paired with itself. The sets of its blocks form groups, one for each block's leader,
+  and groups whose leaders are alike are one. A group has a centre, the elements that most of the sets nearest to leaders
+  have, and every set is kept by its delta, what it and the centre don't share. Two sets of a group differ by |dx| + |dy| - 2 |dx & dy|. So sets whose deltas are
+  small link for certain, which a comparison of every set with the one nearest to the centre shows; any others link only
+  if their deltas share enough, which is a join with a prefix filter of its own, on deltas instead of sets, and only
+  between sets that are not connected yet. Answers of a set follow from those of a similar set; what is left is compared.
 
 Comparisons are exact on 64-bit hashes of the shingles. Connected components of the links come from joins on narrow tables.
 """
@@ -32,8 +34,10 @@ SHORT_LIST = 24
 #: Size of the bitmaps of such shingles and of the rows to fetch: fixed, so what is broadcast doesn't grow.
 BITMAP_BITS = 1 << 26
 MEMO_ENTRIES = 500_000
-#: Rounds in which sets of long lists that no leader reached try other members before all open pairs are compared.
-ROUNDS = 2
+#: A centre is taken from so many sets of a group.
+CENTRE_SETS = 31
+#: Stands for no element in the index of deltas: under it meet sets so near the centre that deltas need not share any.
+NONE = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -48,6 +52,10 @@ class Jaccard:
         """How many of a set's first elements must contain one of any set that it links to."""
         return n - -(-self.num * n // self.den) + 1
 
+    def delta_prefix(self, n: int) -> int:
+        """How many first elements of a delta must contain one of any delta that it must share elements with: a set of n differs from one that it links to by less."""
+        return (self.den - self.num) * n // self.num + 1
+
     def needed(self, a: Column, b: Column) -> Column:
         """The least overlap with which sets of these sizes link."""
         return F.ceil(self.num * (a + b) / F.lit(float(self.den + self.num)) - 1e-9)
@@ -117,38 +125,85 @@ def signatures(docs: DataFrame, rule: Jaccard, common: np.ndarray) -> DataFrame:
 
 
 def fetch_sets(docs: DataFrame, rule: Jaccard, wanted: DataFrame) -> DataFrame:
-    """cls and the whole sorted set of the wanted classes (cls, rep): only rows whose doc_id is some class's `rep` are shingled again."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bitmap_of(wanted.select(F.xxhash64("rep").alias("r")), "r", BITMAP_BITS))
+    """cls and the whole sorted set of the wanted classes (cls, rep): only rows whose doc_id is some class's `rep` are shingled again.
+
+    A class can come more than once (from rows that share a doc_id), though only once from a task.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(F.xxhash64("rep").alias("r")), "r", BITMAP_BITS))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Shingler(rule.words)
+        tool, seen = Shingler(rule.words), set()
         for b in batches:
             keep = b.filter(pa.array(in_bitmap(shared.value, b.column(0).to_numpy())))
             for part in _by_part([keep]):
-                sets = [s for s in tool.sets(part.column(1).to_pylist()) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "members"])
+                found = {_class_of(s): s for s in tool.sets(part.column(1).to_pylist()) if len(s)}
+                new = [c for c in found if c not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[c].tobytes() for c in new], pa.binary())], ["cls", "members"])
 
-    found = _texts(docs).select(F.xxhash64("doc_id").alias("r"), "text").mapInArrow(fetch, "cls bigint, members binary")
-    return found.join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("members").alias("members"))
+    return _texts(docs).select(F.xxhash64("doc_id").alias("r"), "text").mapInArrow(fetch, "cls bigint, members binary")
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame, rule: Jaccard, reps: DataFrame) -> DataFrame:
-    """pairs (a, b) with their exact overlap `shared`, sizes na and nb, and whether they link."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls")
-    sets = written(fetch_sets(docs, rule, wanted), "sets")
-    x = pairs.join(sets.withColumnsRenamed({"cls": "a", "members": "ma"}), "a").join(sets.withColumnsRenamed({"cls": "b", "members": "mb"}), "b")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with the sets of both, as ma and mb."""
+    return pairs.join(sets.withColumnsRenamed({"cls": "a", "members": "ma"}), "a").join(sets.withColumnsRenamed({"cls": "b", "members": "mb"}), "b").select("a", "b", "ma", "mb")
 
+
+def compared(pairs: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
+    """The pairs (a, b), each once, with the size d of what their sets don't share, whether they share a half, and whether they link."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _by_part(batches):
-            ma, mb = ([np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (2, 3))
-            n = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(ma, mb, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([len(x) for x in ma], pa.int64()), pa.array([len(x) for x in mb], pa.int64())], ["a", "b", "shared", "na", "nb"])
+            d, alike, linked = [], [], []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                d.append(len(x) + len(y) - 2 * n)
+                alike.append(2 * n >= len(x) + len(y) - n)
+                linked.append(rule.den * n >= rule.num * (len(x) + len(y) - n))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.int64()), pa.array(alike, pa.bool_()), pa.array(linked, pa.bool_())], ["a", "b", "d", "alike", "linked"])
+
+    return _with_sets(pairs, sets).mapInArrow(count, "a bigint, b bigint, d bigint, alike boolean, linked boolean").distinct()
 
-    got = x.select("a", "b", "ma", "mb").mapInArrow(count, "a bigint, b bigint, shared bigint, na bigint, nb bigint")
-    out = written(got.withColumn("linked", rule.den * F.col("shared") >= rule.num * (F.col("na") + F.col("nb") - F.col("shared"))), "overlaps")
-    dropped(sets)
-    return out
+
+def centres(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, centre) of each group (cls, leader, d): the elements in most of the CENTRE_SETS sets that are nearest to a leader."""
+    nearest = Window.partitionBy("leader").orderBy("d", "cls")
+    few = near.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= CENTRE_SETS).select("leader", "cls")
+    few = few.join(sets, "cls")
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for members in b.column(1).to_pylist():
+                e, n = np.unique(np.concatenate([np.frombuffer(m, np.uint64) for m in members]), return_counts=True)
+                out.append(e[2 * n > len(members)].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["leader", "centre"])
+
+    return few.groupBy("leader").agg(F.collect_list("members").alias("m")).mapInArrow(most, "leader bigint, centre binary")
+
+
+def deltas(led: DataFrame, sets: DataFrame, centre: DataFrame, rule: Jaccard, common: np.ndarray) -> DataFrame:
+    """led (cls, leader) with the set's size n, the size d of its delta from the centre, and the delta's prefix.
+
+    Deltas of a group have a common order, rare elements first: those outside the centre before the centre's own, and
+    common shingles last among the former.
+    """
+    late = led.sparkSession.sparkContext.broadcast(common)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _by_part(batches):
+            n, d, out = [], [], []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                added, gone = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                m = in_bitmap(late.value, added)
+                n.append(len(x))
+                d.append(len(added) + len(gone))
+                out.append(np.concatenate([added[~m], added[m], gone])[: rule.delta_prefix(len(x))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["cls", "leader", "n", "d", "delta"])
+
+    x = led.join(sets, "cls").join(centre, "leader").select("cls", "leader", "members", "centre")
+    return x.mapInArrow(compare, "cls bigint, leader bigint, n bigint, d bigint, delta array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,46 +260,55 @@ def long_lists(lists: DataFrame, rule: Jaccard) -> DataFrame:
     return big.join(lead, ["h", "block"]).join(below, ["h", "block"], "left")
 
 
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
+def led_sets(big: DataFrame) -> DataFrame:
+    """(cls, leader): every set of a long list with the leaders of its block and of the block below."""
+    return big.select("cls", F.explode(F.array("leader", "leader_below")).alias("leader")).where("leader is not null and leader != cls").distinct()
 
-def leader_pairs(big: DataFrame) -> DataFrame:
-    """Every set of a long list with the leaders of its block and of the block below."""
-    both = big.select("cls", F.explode(F.array("leader", "leader_below")).alias("other"))
-    return both.where("other is not null and other != cls").select(*_ordered("cls", "other")).distinct()
 
+def open_pairs(moved: DataFrame, hubs: DataFrame, labels: DataFrame, rule: Jaccard) -> DataFrame:
+    """All pairs of a group (leader, cls, n, d, delta), in different components, that their deltas leave open.
 
-def _labelled(big: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries with their component, and whether it is the list's most frequent one."""
-    x = big.join(labels, "cls", "left").withColumn("comp", F.coalesce("label", "cls"))
-    most = x.groupBy("h", "comp").count().groupBy("h").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    return x.join(most, "h").withColumn("apart", F.col("comp") != F.col("main"))
-
-
-def trial_pairs(x: DataFrame, rule: Jaccard, turn: int) -> DataFrame:
-    """For each set apart from the rest of its lists, members at seeded places of a few of its lists."""
-    some = Window.partitionBy("cls").orderBy(F.xxhash64(F.lit(turn), "h"))
-    r = x.where("apart").withColumn("k", F.row_number().over(some)).where("k <= 4").withColumn("at", F.pmod(F.xxhash64(F.lit(turn), "cls", "h"), F.col("length")) + 1)
-    y = x.select(F.col("h").alias("h2"), F.col("rank"), F.col("cls").alias("other"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    pairs = r.drop("rank").join(y, (F.col("h") == F.col("h2")) & (F.col("at") == F.col("rank")) & (F.col("comp") != F.col("comp2")))
-    return pairs.where(rule.num * F.greatest("n", "n2") <= rule.den * F.least("n", "n2")).select(*_ordered("cls", "other")).distinct()
-
-
-def open_pairs(x: DataFrame, known: DataFrame, rule: Jaccard) -> DataFrame:
-    """All pairs of long lists between different components that sizes, places and overlaps with a common leader leave open."""
-    shared = known.select(F.col("a").alias("cls"), F.col("b").alias("leader"), "shared").union(known.select(F.col("b").alias("cls"), F.col("a").alias("leader"), "shared"))
-    busy = x.where("apart").select("h").distinct()
-    y = x.join(busy, "h", "left_semi")
-    y = y.join(shared, ["cls", "leader"], "left").withColumn("s0", F.when(F.col("cls") == F.col("leader"), F.col("n")).otherwise(F.col("shared"))).drop("shared")
-    y = y.join(shared.withColumnsRenamed({"leader": "leader_below"}), ["cls", "leader_below"], "left").withColumn("s1", F.when(F.col("cls") == F.col("leader_below"), F.col("n")).otherwise(F.col("shared"))).drop("shared")
-    r = y.where("apart")
+    Of any such pair one set at least is outside the component of the group's hub; only those look for partners.
+    """
+    label = labels.select("cls", "label")
+    home = hubs.join(label.withColumnRenamed("cls", "hub"), "hub", "left").select("leader", F.coalesce("label", "hub").alias("home"))
+    x = moved.join(label, "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label").join(home, "leader").withColumn("out", F.col("comp") != F.col("home"))
+    mixed = x.where("out").select("leader").distinct()
+    x = written(x.join(mixed, "leader", "left_semi"), "open")
+    index = x.select("leader", "cls", "n", "d", "comp", "out", F.posexplode("delta").alias("place", "element"))
+    close = F.col("d") <= F.floor((rule.den - rule.num) * F.col("n") / F.lit(float(rule.num)))  # others need shared elements whatever they meet
+    index = index.unionByName(x.where(close).select("leader", "cls", "n", "d", "comp", "out", F.lit(0).alias("place"), F.lit(NONE).cast("bigint").alias("element")))
     c = lambda t, k: F.col(f"{t}.{k}")
-    most = lambda sx, sy: F.least(sx + c("y", "n") - sy, sy + c("x", "n") - sx)
-    need = rule.needed(c("x", "n"), c("y", "n"))
-    bound = F.when(c("x", "block") == c("y", "block"), most(c("x", "s0"), c("y", "s0"))).when(c("x", "block") == c("y", "block") + 1, most(c("x", "s1"), c("y", "s0"))).when(c("x", "block") + 1 == c("y", "block"), most(c("x", "s0"), c("y", "s1")))
-    met = r.alias("x").join(y.alias("y"), (c("x", "h") == c("y", "h")) & (c("x", "comp") != c("y", "comp")) & _may_link(rule, "x", "y") & (F.coalesce(bound, need) >= need))
-    return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    may_differ = c("x", "n") + c("y", "n") - 2 * rule.needed(c("x", "n"), c("y", "n"))
+    share = F.ceil((c("x", "d") + c("y", "d") - may_differ) / 2)
+    left = F.least(c("x", "d") - c("x", "place"), c("y", "d") - c("y", "place"))
+    meets = F.when(c("x", "element") == NONE, share <= 0).otherwise((share > 0) & (left >= share))
+    sizes = rule.num * F.greatest(c("x", "n"), c("y", "n")) <= rule.den * F.least(c("x", "n"), c("y", "n"))
+    once = ~c("y", "out") | (c("x", "cls") < c("y", "cls"))
+    met = index.where("out").alias("x").join(index.alias("y"), (c("x", "leader") == c("y", "leader")) & (c("x", "element") == c("y", "element")) & once & (c("x", "comp") != c("y", "comp")) & sizes & meets)
+    met = met.groupBy("x.leader", F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), share.alias("share")).agg(F.count("*").alias("seen"), F.min(left).alias("left"))
+    return met.where(F.col("seen") + F.col("left") - 1 >= F.col("share")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def group_links(led: DataFrame, edges: DataFrame, docs: DataFrame, rule: Jaccard, reps: DataFrame, common: np.ndarray) -> DataFrame:
+    """`edges` with links that connect whatever the long lists' groups (cls, leader) connect."""
+    classes = written(led.select("cls").union(led.select("leader")).distinct().join(reps, "cls"), "grouped")
+    sets = written(fetch_sets(docs, rule, classes).dropDuplicates(["cls"]), "sets")
+    near = written(compared(led.select(F.col("cls").alias("a"), F.col("leader").alias("b")), sets, rule), "near")
+    edges = edges.union(near.where("linked").select("a", "b"))
+    leaders = led.select("leader").distinct()
+    kin = components(near.where("alike").join(leaders.withColumnRenamed("leader", "a"), "a", "left_semi").select("a", "b"))
+    own = leaders.join(kin.withColumnRenamed("cls", "leader"), "leader", "left").select("leader", F.coalesce("label", "leader").alias("family"))
+    group = near.select(F.col("a").alias("cls"), F.col("b").alias("leader"), "d").union(leaders.select(F.col("leader").alias("cls"), "leader", F.lit(0).cast("bigint")))
+    group = written(group.join(own, "leader").groupBy("cls", F.col("family").alias("leader")).agg(F.min("d").alias("d")), "groups")
+    moved = written(deltas(group.select("cls", "leader"), sets, centres(group, sets), rule, common), "moved")
+    hubs = written(moved.groupBy("leader").agg(F.min_by("cls", F.struct("d", "cls")).alias("hub")), "hubs")
+    spokes = moved.join(hubs, "leader").where("cls != hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    edges = edges.union(written(compared(spokes, sets, rule).where("linked").select("a", "b"), "links"))
+    more = written(open_pairs(moved, hubs, components(edges), rule), "pairs")
+    edges = edges.union(written(compared(more, sets, rule).where("linked").select("a", "b"), "links"))
+    dropped(sets)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, rule: Jaccard | None = None) -> DataFrame:
@@ -256,25 +320,17 @@ def near_duplicates(docs: DataFrame, rule: Jaccard | None = None) -> DataFrame:
     rows. An empty table gives no rows. Other columns of `docs` are ignored.
     """
     rule = rule or Jaccard()
-    signed = written(signatures(docs, rule, common_shingles(docs, rule)), "signatures")
+    common = common_shingles(docs, rule)
+    signed = written(signatures(docs, rule, common), "signatures")
     reps = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     lists = written(index_lists(signed), "lists")
-    big = written(long_lists(lists, rule), "long-lists")
-    pairs = written(short_pairs(lists, rule).union(leader_pairs(big)).distinct(), "pairs")
-    known = overlaps(pairs, docs, rule, reps)
-    edges = known.where("linked").select("a", "b")
+    pairs = written(short_pairs(lists, rule), "pairs")
+    paired = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(reps, "cls"), "paired")
+    edges = written(compared(pairs, fetch_sets(docs, rule, paired), rule).where("linked").select("a", "b"), "links")
+    led = written(led_sets(long_lists(lists, rule)), "led")
+    if led.limit(1).count():
+        edges = group_links(led, edges, docs, rule, reps, common)
     labels = components(edges)
-    for turn in range(ROUNDS + 1):
-        x = written(_labelled(big, labels), "labelled")
-        more = trial_pairs(x, rule, turn) if turn < ROUNDS else open_pairs(x, known, rule)
-        more = written(more.join(known, ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            fresh = overlaps(more, docs, rule, reps).where("linked").select("a", "b")
-            edges = edges.union(fresh)
-            labels = components(edges)
-        elif turn < ROUNDS and not x.where("apart").limit(1).count():
-            break
-        dropped(x)
     named = reps.join(labels, "cls", "left").withColumn("comp", F.coalesce("label", "cls"))
     names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     out = signed.select("doc_id", "n", "cls").join(named.join(names, "comp").select("cls", "component_id"), "cls", "left")
