@@ -127,6 +127,26 @@ def viewshed(elevation: DataFrame, topo: DataFrame, observer: str, height: float
     return x.select("dggid", F.col("distance").cast("bigint").alias("depth"), "elevation", ((F.col("elevation") - F.col("eye")) / F.greatest("distance", F.lit(1)) > -0.1).alias("visible"))
 
 
+def line_of_sight(elevation: DataFrame, lattice, observer: str, height: float = 1.8, radius: int = 20) -> DataFrame:
+    """Cells within `radius` steps that no cell on the straight line from `observer` hides: dggid, depth, elevation, visible.
+
+    Each target's line is sampled once per step and rounded to cells; it is seen if its angle is not below the greatest on
+    the way. All lines are rows of one join with the elevations.
+    """
+    radius = min(max(radius, 1), 50)
+    e = elevation.where("value_num is not null").select("dggid", F.col("value_num").alias("elevation"))
+    o = e.where(F.col("dggid") == observer).select(lattice.parse(F.col("dggid")).alias("o"), (F.col("elevation") + height).alias("eye"))
+    t = e.withColumn("p", lattice.parse(F.col("dggid"))).crossJoin(F.broadcast(o)).withColumn("depth", lattice.distance(F.col("dggid"), F.lit(observer)))
+    t = t.where((F.col("depth") >= 1) & (F.col("depth") <= radius) & (F.col("p.level") == F.col("o.level")))
+    way = t.select("dggid", "elevation", "depth", "eye", "p", "o", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("depth"))).alias("k"))
+    at = lambda x: F.round(F.col(f"o.{x}") + (F.col(f"p.{x}") - F.col(f"o.{x}")) * F.col("k") / F.col("depth")).cast("bigint")
+    way = way.withColumn("here", lattice.cell_id(F.col("p.level"), at("q"), at("r"))).join(e.select(F.col("dggid").alias("here"), F.col("elevation").alias("e")), "here", "left")
+    slope = (F.col("e") - F.col("eye")) / F.col("k")
+    seen = way.groupBy("dggid", "depth", "elevation", "eye").agg(F.max(F.when(F.col("k") < F.col("depth"), slope)).alias("most"))
+    own = (F.col("elevation") - F.col("eye")) / F.col("depth")
+    return seen.select("dggid", "depth", "elevation", (F.col("most").isNull() | (own >= F.col("most"))).alias("visible"))
+
+
 def nearest(sources: DataFrame, targets: DataFrame, topo: DataFrame, radius: int = 50) -> DataFrame:
     """For each source cell its nearest target and the distance."""
     return voronoi(targets, topo, radius).join(sources.select("dggid").distinct(), "dggid", "left_semi").select("dggid", F.col("seed").alias("nearest"), "distance")

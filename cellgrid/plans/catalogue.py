@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import access
+from .. import access, catalog
 from ..grid import HexLattice
-from ..operators import automata, cluster, flow, neighborhood, overlay, query, reach, rollup, temporal, zonal
+from ..operators import automata, cluster, flow, geometry, neighborhood, overlay, query, reach, rollup, temporal, zonal
+from ..sources import tables
 from .fixtures import CTES, Fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +169,20 @@ _add("annotations_search", "SELECT id, dggid, visibility FROM ann WHERE content
 _add("annotations_filter", "SELECT id, dggid, \"type\", visibility FROM ann WHERE visibility = 'public' AND \"type\" IN ('src1', 'src2', 'src3')", lambda f: access.list_annotations(f.ann(), "public", ["src1", "src2", "src3"]).select("id", "dggid", "type", "visibility"))
 _add("annotations_acl", "SELECT id, visibility FROM ann WHERE visibility = 'public' OR created_by = 'u3' OR (visibility = 'shared' AND id % 5 = 0)", lambda f: access.visible_annotations(f.ann(), f.ann().where("id % 5 = 0").select(F.col("id").alias("annotation_id"), F.lit("u3").alias("user_id")), "u3").select("id", "visibility"))
 
+# -- shapes, upkeep and calendars
+_XY = "xy AS (SELECT dggid, q, r, 30.0::DOUBLE * pow(3.0::DOUBLE, -1.5::DOUBLE) * sqrt(3.0::DOUBLE) * (q + r / 2.0::DOUBLE) x, 30.0::DOUBLE * pow(3.0::DOUBLE, -1.5::DOUBLE) * 1.5::DOUBLE * r y FROM grid), ll AS (SELECT dggid, x * cos(pi() / 2) - y * sin(pi() / 2) lon, degrees(asin(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, radians(x * sin(pi() / 2) + y * cos(pi() / 2)))))) lat FROM xy)"
+_points = lambda f: f.zone().withColumn("c", LATTICE.centroid(F.col("dggid"))).select("zone_id", "dggid", "c.lon", "c.lat")
+_add("zone_centre", f"WITH {_XY} SELECT zone_id, ROUND(AVG(lon), 5) + 0.0::DOUBLE AS lon, ROUND(AVG(lat), 5) + 0.0::DOUBLE AS lat, COUNT(*) AS cells FROM zone JOIN ll USING (dggid) GROUP BY 1", lambda f: _r(geometry.mean_centre(_points(f), ["zone_id"]), "lon", "lat", digits=5).withColumns({n: F.col(n) + 0.0 for n in ("lon", "lat")}))
+_add("zone_box", f"WITH {_XY} SELECT zone_id, ROUND(MIN(lon), 5) + 0.0::DOUBLE AS west, ROUND(MIN(lat), 5) + 0.0::DOUBLE AS south, ROUND(MAX(lon), 5) + 0.0::DOUBLE AS east, ROUND(MAX(lat), 5) + 0.0::DOUBLE AS north FROM zone JOIN ll USING (dggid) GROUP BY 1", lambda f: _r(geometry.bounding_box(_points(f), ["zone_id"]), "west", "south", "east", "north", digits=5).withColumns({n: F.col(n) + 0.0 for n in ("west", "south", "east", "north")}))
+_add("zone_hull", None, lambda f: geometry.convex_hull(_points(f), "zone_id"))
+_add("label_summary", "SELECT zone_id AS value_text, COUNT(*) AS cells, ROUND(AVG(value_num), 6) AS mean FROM zone JOIN elev USING (dggid) GROUP BY 1", lambda f: _r(geometry.label_summary(f.zone().withColumnRenamed("zone_id", "value_text").join(f.elev().select("dggid", "value_num"), "dggid")), "mean"))
+_add("dataset_profile", "SELECT 'q' AS dataset_id, COUNT(*) AS rows, COUNT(DISTINCT dggid) AS cells, COUNT(DISTINCT attr_key) AS attributes, COUNT(DISTINCT tid) AS times FROM qty", lambda f: catalog.profile(f.qty().withColumn("dataset_id", F.lit("q"))))
+_add("health_counts", "SELECT (SELECT COUNT(*) FROM region) AS datasets, (SELECT COUNT(*) FROM qty) AS cells, (SELECT COUNT(*) FROM topo) AS topology", lambda f: catalog.health(f.table("region"), f.qty(), f.topo()))
+_add("cells_upsert", "SELECT COALESCE(b.dggid, a.dggid) AS dggid, COALESCE(b.value_num, a.value_num) AS value_num FROM q97 a FULL JOIN q98 b ON a.dggid = b.dggid", lambda f: tables.upsert(_at0(f.qty(), 1997).select(*CELL), _at0(f.qty(), 1998).select(*CELL)).select("dggid", "value_num"))
+_add("durations_year", "SELECT i AS tid, 'YEAR' AS unit, CAST(make_date(1000 + i, 1, 1) AS VARCHAR) AS begins, CAST(make_date(1001 + i, 1, 1) AS VARCHAR) AS ends FROM range(0, 2000) r(i)", lambda f: geometry.durations(f.spark).withColumns({n: F.col(n).cast("string") for n in ("begins", "ends")}))
+_add("cells_records", "SELECT 'E' || CAST(event_id % 50 AS VARCHAR) AS dggid, event_id AS tid, event_type AS attr_key, value AS value_num FROM events", lambda f: tables.parse_records(f.table("events").select(F.concat(F.lit("E"), (F.col("event_id") % 50).cast("string")).alias("zone"), F.col("event_id").alias("time"), F.col("event_type").alias("key"), F.col("value").alias("value"))).select(*CELL))
+_add("viewshed_los_r6", None, lambda f: reach.line_of_sight(f.elev(), LATTICE, "C3-2-2", 1.8, 6))
+
 
 def _geojson(f: Fixtures) -> DataFrame:
     from ..sources.sinks import features

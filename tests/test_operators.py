@@ -249,3 +249,23 @@ def test_time(spark):
         temporal.temporal_aggregate(c, 1, 3, "middle")
     assert [r.value_num for r in temporal.timeseries(c, "a", "k", 2).collect()] == [4.0, 9.0, 16.0]
     assert temporal.hierarchy(spark).count() == 10
+
+
+@FEW
+@given(st.lists(st.tuples(st.integers(-5, 5), st.integers(-5, 5)), min_size=1, max_size=40), st.integers(1, 4))
+def test_hull_holds_all_points(spark, points, parts):
+    from cellgrid.operators import geometry
+
+    df = spark.createDataFrame([("g", float(x), float(y)) for x, y in points], "g string, lon double, lat double").repartition(parts)
+    got = [(r.lon, r.lat) for r in geometry.convex_hull(df, "g").orderBy("corner").collect()]
+    assert set(got) <= {(float(x), float(y)) for x, y in points} and got == geometry.hull([(float(x), float(y)) for x, y in points])
+    if len(got) > 2:
+        for a, b in zip(got, got[1:] + got[:1], strict=True):
+            assert all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= -1e-9 for x, y in points)
+
+
+def test_line_of_sight(spark):
+    e = {a: 0.0 for a in plane(7)}
+    e["C3-3-3"] = 50.0
+    got = {r.dggid: r.visible for r in reach.line_of_sight(values(spark, e), LAT, "C3-1-3", 1.8, 5).collect()}
+    assert got["C3-2-3"] and got["C3-3-3"] and not got["C3-4-3"] and not got["C3-5-3"]
