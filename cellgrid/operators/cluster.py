@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, running_total
 from .neighborhood import pairs
 from .reach import hops
 
@@ -54,7 +54,7 @@ def dbscan(values: DataFrame, topo: DataFrame, min_points: int = 3, threshold: f
     labels = least_labels(links.unionByName(cores.select("dggid", F.col("dggid").alias("neighbor"))))
     rim = to_core.join(cores, "dggid", "left_anti").join(labels.withColumnRenamed("dggid", "neighbor"), "neighbor").groupBy("dggid").agg(F.min("label").alias("label")).where("label < dggid")
     named = cut(labels.unionByName(rim))
-    numbers = named.select("label").distinct().withColumn("cluster_id", F.expr("row_number() over (order by label) - 1").cast("bigint"))
+    numbers = running_total(named.select("label").distinct().withColumn("one", F.lit(1)), "label", "one", "upto").select("label", (F.col("upto") - 1).cast("bigint").alias("cluster_id"))
     x = values.where("value_num is not null").select("dggid").join(named, "dggid", "left").join(numbers, "label", "left")
     return x.select("dggid", F.coalesce("cluster_id", F.lit(-1)).cast("bigint").alias("cluster_id"))
 

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import running_total
+
 STATISTICS = {
     "sum": lambda: F.sum("value_num"), "mean": lambda: F.avg("value_num"), "min": lambda: F.min("value_num"), "max": lambda: F.max("value_num"), "median": lambda: F.percentile("value_num", F.lit(0.5)),
     "stddev": lambda: F.stddev("value_num"), "variance": lambda: F.variance("value_num"), "count": lambda: F.count("value_num"),
@@ -66,8 +68,7 @@ def zonal_by_zone(cells: DataFrame, zones: DataFrame, how: str = "MEAN", childre
 def correlations(cells: DataFrame, keys: list[str], method: str = "pearson", mask: DataFrame | None = None) -> DataFrame:
     """Pearson's or Spearman's correlation of each pair of attributes over cells and times that have both: one pivot, one pass.
 
-    Spearman's ranks are average ranks from the counts of the distinct values, so no sort of all rows in one task is needed
-    beyond the distinct values of each attribute.
+    Spearman's ranks are average ranks from running totals of the distinct values' counts, taken range by range.
     """
     wide = masked(cells, mask).where(F.col("attr_key").isin(keys)).groupBy("dggid", "tid").agg(*[F.max(F.when(F.col("attr_key") == k, F.col("value_num"))).alias(k) for k in keys])
     out = None
@@ -76,8 +77,7 @@ def correlations(cells: DataFrame, keys: list[str], method: str = "pearson", mas
         if method == "spearman":
             for c in ("x", "y"):
                 n = both.groupBy(c).agg(F.count("*").alias("n"))
-                upto = F.sum("n").over(Window.orderBy(c))
-                both = both.join(n.select(c, (upto - (F.col("n") - 1) / 2).alias(f"rank_{c}")), c)
+                both = both.join(running_total(n, c, "n", "upto").select(c, (F.col("upto") - (F.col("n") - 1) / 2).alias(f"rank_{c}")), c)
             both = both.select(F.col("rank_x").alias("x"), F.col("rank_y").alias("y"))
         elif method != "pearson":
             raise ValueError(f"unknown method {method}")

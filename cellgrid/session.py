@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -22,3 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of `value` over all rows up to each one by `order` (distinct values), without one task for all rows.
+
+    Rows are dealt by ranges and written, so that the ranges stay what they are; each range is summed, the few sums are
+    added up in order, and each range adds its own start.
+    """
+    x = cut(df.repartitionByRange(F.col(order).asc_nulls_first()).withColumn("_part", F.spark_partition_id()))
+    parts = x.groupBy("_part").agg(F.sum(value).alias("_sum")).withColumn("_start", F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).drop("_sum")
+    upto = Window.partitionBy("_part").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return x.join(parts, "_part").withColumn(name, F.col("_start") + F.sum(value).over(upto)).drop("_part", "_start")

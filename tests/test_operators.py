@@ -269,3 +269,18 @@ def test_line_of_sight(spark):
     e["C3-3-3"] = 50.0
     got = {r.dggid: r.visible for r in reach.line_of_sight(values(spark, e), LAT, "C3-1-3", 1.8, 5).collect()}
     assert got["C3-2-3"] and got["C3-3-3"] and not got["C3-4-3"] and not got["C3-5-3"]
+
+
+@FEW
+@given(st.lists(st.integers(-30, 30), min_size=0, max_size=40, unique=True), st.integers(0, 99))
+def test_running_total(spark, keys, seed):
+    from cellgrid.session import running_total
+
+    rnd = random.Random(seed)
+    rows = [(k, rnd.randrange(5)) for k in keys]
+    got = {r.k: r.t for r in running_total(spark.createDataFrame(rows, "k int, v int"), "k", "v", "t").collect()}
+    want, total = {}, 0
+    for k, v in sorted(rows):
+        total += v
+        want[k] = total
+    assert got == want
