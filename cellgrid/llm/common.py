@@ -64,6 +64,12 @@ def crc32_of_id(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About `rows` rows, those with the smallest hashes of `key`; all of them if there aren't more. No task sends rows that don't count."""
+    n, whole = df.count(), 1 << 30
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(whole)) < int(whole * rows / n))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -14,9 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import hash_sample, table, words
 
-#: The learner reads at most this many labelled rows, those with the smallest hash of doc_id.
+#: The learner reads about this many labelled rows at most, those with the smallest hash of doc_id.
 SAMPLE_ROWS = 20_000
 MAX_RULES = 8
 MAX_CONDITIONS = 3
@@ -159,9 +159,9 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], bins: int = 48
 def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(features, bad) of the labelled sample; rows without doc_id or quality don't count, of repeated labels the lowest does."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = hash_sample(chosen, "doc_id", sample_rows)
     x = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id")
-    rows = x.select("doc_id", "quality", *[v.alias(k) for k, v in features().items()]).collect()  # at most sample_rows ids, times copies of an id
+    rows = x.select("doc_id", "quality", *[v.alias(k) for k, v in features().items()]).collect()  # about sample_rows ids, times copies of an id
     rows.sort(key=lambda r: tuple(r))
     values = np.array([list(r)[2:] for r in rows], float).reshape(-1, len(FEATURES))
     return values, np.array([r.quality == 0 for r in rows], bool)

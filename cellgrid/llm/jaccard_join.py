@@ -145,8 +145,8 @@ def fetch_sets(docs: DataFrame, rule: Jaccard, wanted: DataFrame) -> DataFrame:
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with the sets of both, as ma and mb."""
-    return pairs.join(sets.withColumnsRenamed({"cls": "a", "members": "ma"}), "a").join(sets.withColumnsRenamed({"cls": "b", "members": "mb"}), "b").select("a", "b", "ma", "mb")
+    """pairs (a, b) with the sets of both, as ma and mb. Where many pairs share a set it is `b`: the narrow pairs meet it first, and then spread over their own sets."""
+    return pairs.join(sets.withColumnsRenamed({"cls": "b", "members": "mb"}), "b").join(sets.withColumnsRenamed({"cls": "a", "members": "ma"}), "a").select("a", "b", "ma", "mb")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
@@ -202,7 +202,7 @@ def deltas(led: DataFrame, sets: DataFrame, centre: DataFrame, rule: Jaccard, co
                 out.append(np.concatenate([added[~m], added[m], gone])[: rule.delta_prefix(len(x))].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["cls", "leader", "n", "d", "delta"])
 
-    x = led.join(sets, "cls").join(centre, "leader").select("cls", "leader", "members", "centre")
+    x = led.join(centre, "leader").join(sets, "cls").select("cls", "leader", "members", "centre")
     return x.mapInArrow(compare, "cls bigint, leader bigint, n bigint, d bigint, delta array<bigint>")
 
 
@@ -303,7 +303,7 @@ def group_links(led: DataFrame, edges: DataFrame, docs: DataFrame, rule: Jaccard
     group = written(group.join(own, "leader").groupBy("cls", F.col("family").alias("leader")).agg(F.min("d").alias("d")), "groups")
     moved = written(deltas(group.select("cls", "leader"), sets, centres(group, sets), rule, common), "moved")
     hubs = written(moved.groupBy("leader").agg(F.min_by("cls", F.struct("d", "cls")).alias("hub")), "hubs")
-    spokes = moved.join(hubs, "leader").where("cls != hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    spokes = moved.join(hubs, "leader").where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
     edges = edges.union(written(compared(spokes, sets, rule).where("linked").select("a", "b"), "links"))
     more = written(open_pairs(moved, hubs, components(edges), rule), "pairs")
     edges = edges.union(written(compared(more, sets, rule).where("linked").select("a", "b"), "links"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 LEVELS = ("domain", "lang", "source")
 
@@ -86,7 +86,7 @@ def mix_documents(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("tokens"))
     d = d.where("tokens > 0").withColumn("domain", F.expr(mix.domain_sql))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    d = d.withColumn("bucket", F.substring(_md5(mix.seed, key), 1, 2))
+    d = written(d.withColumn("bucket", F.substring(_md5(mix.seed, key), 1, 2)), "tokens")  # the texts are read once
     buckets = d.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
     leaves = leaf_budgets(buckets.groupBy(*LEVELS).agg(F.sum("bucket_tokens").alias("leaf_tokens")), mix)
     in_leaf = Window.partitionBy(*LEVELS).orderBy(_md5(mix.seed, F.col("full_epochs").cast("string"), F.col("bucket")), "bucket")

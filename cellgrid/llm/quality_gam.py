@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, table
+from .common import crc32_of_id, hash_sample, table
 
-#: The learner reads at most this many labelled rows, those with the smallest hash of doc_id.
+#: The learner reads about this many labelled rows at most, those with the smallest hash of doc_id.
 SAMPLE_ROWS = 20_000
 FEATURES = ("log_words", "chars_per_word", "upper_share", "symbols_per_word", "bars_per_word", "bangs_per_word", "stops_per_word", "commas_per_word", "digit_share", "short_words", "distinct_words", "distinct_pairs", "top_word", "dup_lines", "wide_share", "words_per_line")
 
@@ -152,13 +152,13 @@ def with_features(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
     """The model from labelled documents outside the held-out fold (crc32 of doc_id as text, modulo 4).
 
-    Labels without doc_id or quality don't count; of repeated labels of a document the lowest does. At most `sample_rows`
-    label ids are broadcast, and only their documents' features come to the driver.
+    Labels without doc_id or quality don't count; of repeated labels of a document the lowest does. About `sample_rows`
+    label ids at most are broadcast, and only their documents' features come to the driver.
     """
     chosen = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     if held_out is not None:
         chosen = chosen.where(crc32_of_id("doc_id") % 4 != held_out)
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = hash_sample(chosen, "doc_id", sample_rows)
     few = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left_semi")
     rows = with_features(few).join(F.broadcast(chosen), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
