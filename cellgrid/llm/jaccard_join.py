@@ -7,8 +7,8 @@ many prefixes last, so the lists of the inverted index that passages would fill
 * Index level: an entry carries its place in its set and the set's size. Lists are cut into blocks of sizes that can link at
   all, and entries whose places leave too little to share are skipped; so are pairs by what their prefixes share together.
 * Answer level: a long list is never paired with itself. The sets of its blocks form groups, one for each block's leader,
-  and groups whose leaders are alike are one. A group has a centre, the elements that most of the sets nearest to leaders
-  have, and every set is kept by its delta, what it and the centre don't share. Two sets of a group differ by |dx| + |dy| - 2 |dx & dy|. So sets whose deltas are
+  and groups whose leaders are alike are one. A group has a centre, the elements that most of the sets like a leader have,
+  and every set is kept by its delta, what it and the centre don't share. Two sets of a group differ by |dx| + |dy| - 2 |dx & dy|. So sets whose deltas are
   small link for certain, which a comparison of every set with the one nearest to the centre shows; any others link only
   if their deltas share enough, which is a join with a prefix filter of its own, on deltas instead of sets, and only
   between sets that are not connected yet. Answers of a set follow from those of a similar set; what is left is compared.
@@ -34,8 +34,8 @@ SHORT_LIST = 24
 #: Size of the bitmaps of such shingles and of the rows to fetch: fixed, so what is broadcast doesn't grow.
 BITMAP_BITS = 1 << 26
 MEMO_ENTRIES = 500_000
-#: A centre is taken from so many sets of a group.
-CENTRE_SETS = 31
+#: A centre is estimated from so many sets of a group; it decides how much is compared, never what links.
+CENTRE_SETS = 63
 #: Stands for no element in the index of deltas: under it meet sets so near the centre that deltas need not share any.
 NONE = -(1 << 63)
 
@@ -150,25 +150,27 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
-    """The pairs (a, b), each once, with the size d of what their sets don't share, whether they share a half, and whether they link."""
+    """The pairs (a, b), each once, with whether their sets share a half and whether they link."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _by_part(batches):
-            d, alike, linked = [], [], []
+            alike, linked = [], []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 n = len(np.intersect1d(x, y, assume_unique=True))
-                d.append(len(x) + len(y) - 2 * n)
                 alike.append(2 * n >= len(x) + len(y) - n)
                 linked.append(rule.den * n >= rule.num * (len(x) + len(y) - n))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.int64()), pa.array(alike, pa.bool_()), pa.array(linked, pa.bool_())], ["a", "b", "d", "alike", "linked"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(alike, pa.bool_()), pa.array(linked, pa.bool_())], ["a", "b", "alike", "linked"])
 
-    return _with_sets(pairs, sets).mapInArrow(count, "a bigint, b bigint, d bigint, alike boolean, linked boolean").distinct()
+    return _with_sets(pairs, sets).mapInArrow(count, "a bigint, b bigint, alike boolean, linked boolean").distinct()
 
 
 def centres(near: DataFrame, sets: DataFrame) -> DataFrame:
-    """(leader, centre) of each group (cls, leader, d): the elements in most of the CENTRE_SETS sets that are nearest to a leader."""
-    nearest = Window.partitionBy("leader").orderBy("d", "cls")
-    few = near.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= CENTRE_SETS).select("leader", "cls")
+    """(leader, centre) of each group (cls, leader, alike): the elements in most of CENTRE_SETS sets, dealt by a hash, of those like a leader before others.
+
+    Leaders count no more than others: they stand first in some list, so they are no fair sample of a group.
+    """
+    dealt = Window.partitionBy("leader").orderBy(F.desc("alike"), F.xxhash64("cls"), "cls")
+    few = near.withColumn("k", F.row_number().over(dealt)).where(F.col("k") <= CENTRE_SETS).select("leader", "cls")
     few = few.join(sets, "cls")
 
     def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +185,7 @@ def centres(near: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def deltas(led: DataFrame, sets: DataFrame, centre: DataFrame, rule: Jaccard, common: np.ndarray) -> DataFrame:
-    """led (cls, leader) with the set's size n, the size d of its delta from the centre, and the delta's prefix.
+    """led (cls, leader) with the set's size n, the size d of its delta from the centre, how many of the delta are outside the centre (a), and the delta's prefix.
 
     Deltas of a group have a common order, rare elements first: those outside the centre before the centre's own, and
     common shingles last among the former.
@@ -192,18 +194,19 @@ def deltas(led: DataFrame, sets: DataFrame, centre: DataFrame, rule: Jaccard, co
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _by_part(batches):
-            n, d, out = [], [], []
+            n, d, a, out = [], [], [], []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 added, gone = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
                 m = in_bitmap(late.value, added)
                 n.append(len(x))
                 d.append(len(added) + len(gone))
+                a.append(len(added))
                 out.append(np.concatenate([added[~m], added[m], gone])[: rule.delta_prefix(len(x))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["cls", "leader", "n", "d", "delta"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["cls", "leader", "n", "d", "a", "delta"])
 
     x = led.join(centre, "leader").join(sets, "cls").select("cls", "leader", "members", "centre")
-    return x.mapInArrow(compare, "cls bigint, leader bigint, n bigint, d bigint, delta array<bigint>")
+    return x.mapInArrow(compare, "cls bigint, leader bigint, n bigint, d bigint, a bigint, delta array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,23 +269,28 @@ def led_sets(big: DataFrame) -> DataFrame:
 
 
 def open_pairs(moved: DataFrame, hubs: DataFrame, labels: DataFrame, rule: Jaccard) -> DataFrame:
-    """All pairs of a group (leader, cls, n, d, delta), in different components, that their deltas leave open.
+    """All pairs of a group (leader, cls, n, d, a, delta), in different components, that their deltas leave open.
 
-    Of any such pair one set at least is outside the component of the group's hub; only those look for partners.
+    Of any such pair one set at least is outside the component of the group's hub; only those look for partners. Deltas
+    differ in all elements outside the centre that they don't share. So an element of the centre that both lack (they are
+    common: a centre has few) brings two sets together only if all of those may differ; sets that share some of those meet
+    there, before it in the order.
     """
     label = labels.select("cls", "label")
     home = hubs.join(label.withColumnRenamed("cls", "hub"), "hub", "left").select("leader", F.coalesce("label", "hub").alias("home"))
     x = moved.join(label, "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label").join(home, "leader").withColumn("out", F.col("comp") != F.col("home"))
     mixed = x.where("out").select("leader").distinct()
     x = written(x.join(mixed, "leader", "left_semi"), "open")
-    index = x.select("leader", "cls", "n", "d", "comp", "out", F.posexplode("delta").alias("place", "element"))
+    index = x.select("leader", "cls", "n", "d", "a", "comp", "out", F.posexplode("delta").alias("place", "element"))
     close = F.col("d") <= F.floor((rule.den - rule.num) * F.col("n") / F.lit(float(rule.num)))  # others need shared elements whatever they meet
-    index = index.unionByName(x.where(close).select("leader", "cls", "n", "d", "comp", "out", F.lit(0).alias("place"), F.lit(NONE).cast("bigint").alias("element")))
+    index = index.unionByName(x.where(close).select("leader", "cls", "n", "d", "a", "comp", "out", F.lit(0).alias("place"), F.lit(NONE).cast("bigint").alias("element")))
     c = lambda t, k: F.col(f"{t}.{k}")
     may_differ = c("x", "n") + c("y", "n") - 2 * rule.needed(c("x", "n"), c("y", "n"))
     share = F.ceil((c("x", "d") + c("y", "d") - may_differ) / 2)
-    left = F.least(c("x", "d") - c("x", "place"), c("y", "d") - c("y", "place"))
-    meets = F.when(c("x", "element") == NONE, share <= 0).otherwise((share > 0) & (left >= share))
+    outside, gone = F.least(c("x", "a") - c("x", "place"), c("y", "a") - c("y", "place")), F.least(c("x", "d") - c("x", "a"), c("y", "d") - c("y", "a"))
+    left = F.when(outside > 0, outside + gone).otherwise(F.least(c("x", "d") - c("x", "place"), c("y", "d") - c("y", "place")))
+    apart = (outside > 0) | (c("x", "a") + c("y", "a") <= may_differ)
+    meets = F.when(c("x", "element") == NONE, share <= 0).otherwise((share > 0) & (left >= share) & apart)
     sizes = rule.num * F.greatest(c("x", "n"), c("y", "n")) <= rule.den * F.least(c("x", "n"), c("y", "n"))
     once = ~c("y", "out") | (c("x", "cls") < c("y", "cls"))
     met = index.where("out").alias("x").join(index.alias("y"), (c("x", "leader") == c("y", "leader")) & (c("x", "element") == c("y", "element")) & once & (c("x", "comp") != c("y", "comp")) & sizes & meets)
@@ -299,8 +307,8 @@ def group_links(led: DataFrame, edges: DataFrame, docs: DataFrame, rule: Jaccard
     leaders = led.select("leader").distinct()
     kin = components(near.where("alike").join(leaders.withColumnRenamed("leader", "a"), "a", "left_semi").select("a", "b"))
     own = leaders.join(kin.withColumnRenamed("cls", "leader"), "leader", "left").select("leader", F.coalesce("label", "leader").alias("family"))
-    group = near.select(F.col("a").alias("cls"), F.col("b").alias("leader"), "d").union(leaders.select(F.col("leader").alias("cls"), "leader", F.lit(0).cast("bigint")))
-    group = written(group.join(own, "leader").groupBy("cls", F.col("family").alias("leader")).agg(F.min("d").alias("d")), "groups")
+    group = near.select(F.col("a").alias("cls"), F.col("b").alias("leader"), "alike").union(leaders.select(F.col("leader").alias("cls"), "leader", F.lit(True)))
+    group = written(group.join(own, "leader").groupBy("cls", F.col("family").alias("leader")).agg(F.max("alike").alias("alike")), "groups")
     moved = written(deltas(group.select("cls", "leader"), sets, centres(group, sets), rule, common), "moved")
     hubs = written(moved.groupBy("leader").agg(F.min_by("cls", F.struct("d", "cls")).alias("hub")), "hubs")
     spokes = moved.join(hubs, "leader").where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
