@@ -319,15 +319,8 @@ def group_links(led: DataFrame, edges: DataFrame, docs: DataFrame, rule: Jaccard
     return edges
 
 
-def near_duplicates(docs: DataFrame, rule: Jaccard | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and set_class (the id of the row's set) of every row of `docs`.
-
-    component_id is the smallest doc_id among the rows reachable by links. A null, empty or wordless text has an empty set,
-    links with nothing and is its own component; a text with fewer words than a shingle has one element. Rows with a null
-    doc_id take part and lend no id; a component without any id has a null one. Rows that share a doc_id are separate
-    rows. An empty table gives no rows. Other columns of `docs` are ignored.
-    """
-    rule = rule or Jaccard()
+def _in_components(docs: DataFrame, rule: Jaccard) -> DataFrame:
+    """doc_id, n, cls, component_id and kept of every row of `docs`: kept is the component's class to keep, the least of those with the least doc_id; rows without a set have none."""
     common = common_shingles(docs, rule)
     signed = written(signatures(docs, rule, common), "signatures")
     reps = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
@@ -340,16 +333,50 @@ def near_duplicates(docs: DataFrame, rule: Jaccard | None = None) -> DataFrame:
         edges = group_links(led, edges, docs, rule, reps, common)
     labels = components(edges)
     named = reps.join(labels, "cls", "left").withColumn("comp", F.coalesce("label", "cls"))
-    names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "cls").join(named.join(names, "comp").select("cls", "component_id"), "cls", "left")
+    first = F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "cls")).getField("cls")
+    names = named.groupBy("comp").agg(F.min("rep").alias("component_id"), first.alias("kept"))
+    return signed.select("doc_id", "n", "cls").join(named.join(names, "comp").select("cls", "component_id", "kept"), "cls", "left")
+
+
+def near_duplicates(docs: DataFrame, rule: Jaccard | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and set_class (the id of the row's set) of every row of `docs`.
+
+    component_id is the smallest doc_id among the rows reachable by links. A null, empty or wordless text has an empty set,
+    links with nothing and is its own component; a text with fewer words than a shingle has one element. Rows with a null
+    doc_id take part and lend no id; a component without any id has a null one. Rows that share a doc_id are separate
+    rows. An empty table gives no rows. Other columns of `docs` are ignored.
+    """
+    out = _in_components(docs, rule or Jaccard())
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("cls").alias("set_class"))
 
 
+def _with_class(docs: DataFrame, rule: Jaccard) -> DataFrame:
+    """`docs` with the class of each row's set as _set."""
+    def classes(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tool = Shingler(rule.words)
+        for texts in parts:
+            yield pa.array([_class_of(s) for at in range(0, len(texts), 256) for s in tool.sets(texts.slice(at, 256).to_pylist())], pa.int64())
+
+    classes.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.withColumn("_set", F.arrow_udf(classes, "bigint")(F.col("text").cast("string")))
+
+
 def one_of_each(docs: DataFrame, rule: Jaccard | None = None) -> DataFrame:
-    """The rows of `docs` that are the smallest doc_id of their component, with all their columns; of rows with that doc_id, all stay."""
-    rows = near_duplicates(docs, rule)
-    gone = rows.where("doc_id != component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of `docs` to keep, with all their columns: of each component those with its smallest doc_id, and of these one set's.
+
+    Rows are judged by doc_id and set together, so rows that share an id, or have none, answer for their own components
+    alone. Of a component without any id one row stays. Copies with one set under one id all stay, and so do rows without words.
+    """
+    rule = rule or Jaccard()
+    rows = _in_components(docs, rule).where("cls is not null")
+    gone = written(rows.where("cls != kept or not doc_id <=> component_id").select(F.col("doc_id").alias("_gone"), F.col("cls").alias("_gone_set")).distinct(), "gone")
+    own_id = F.col("doc_id").cast("bigint")
+    named = _with_class(docs.where(own_id.isNotNull()), rule)
+    named = named.join(gone.where("_gone is not null"), (own_id == F.col("_gone")) & (F.col("_set") == F.col("_gone_set")), "left_anti").drop("_set")
+    bare = _with_class(docs.where(own_id.isNull()), rule)
+    bare = bare.join(gone.where("_gone is null"), F.col("_set") == F.col("_gone_set"), "left_anti")
+    bare = bare.withColumn("_wordless", F.when(F.col("_set").isNull(), F.monotonically_increasing_id())).dropDuplicates(["_set", "_wordless"])
+    return named.unionByName(bare.drop("_set", "_wordless"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,19 @@ def test_edges(edges, nothing):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([0, 1, 2, 3, 4, 5, 7, 8, None, 9, 9, 9])
 
 
+def test_rows_of_one_id_answer_for_their_own_groups(spark):
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [
+        (3, text("a")), (9, text("a") + " more"), (9, text("b")), (10, text("b") + " more"), (None, text("a") + " other"), (None, text("c")),
+        (None, text("d")), (None, text("d")), (None, text("d") + " more"), (None, ""), (None, None), (11, text("e")), (11, text("e") + " more"),
+    ]
+    kept = [(r.doc_id, r.text) for r in J.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), J.Jaccard(5, 80, 100)).collect()]
+    d = [t for _, t in kept if t and t.startswith("d")]
+    e = [(i, t) for i, t in kept if t and t.startswith("e")]
+    assert len(d) == 1 and len(e) == 1 and e[0] in rows
+    assert Counter(k for k in kept if not (k[1] or "")[:1] in ("d", "e")) == Counter([(3, text("a")), (9, text("b")), (None, text("c")), (None, ""), (None, None)])
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(70)] + [(100, 101)], "a bigint, b bigint")
     assert {(r.cls, r.label) for r in J.components(chain).collect()} == {(k, 0) for k in range(71)} | {(100, 100), (101, 100)}
