@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +26,19 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "context", "url", "key_block")
 
 #: Wider contexts, looked at only where one of these marks is in the text.
-CONTEXT = re.compile(r"(?ai:\b(?:pass_?phrase|passcode|pwd|credentials?|authorization|bearer|auth_?key|access_?key|private_?key|client_?secret|session_?id)\b)[\"']?\x20*(?:[:=]|\x20is\x20|\x20)\x20*(?ai:bearer\x20+|basic\x20+)?[\"']?([^\s\"'<>|,;]{6,128})")
-URL = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{4,128})@[\w.-]+")
-KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(.{16,8192}?)-----END [A-Z ]{0,20}PRIVATE KEY-----", re.DOTALL)
+CONTEXT = re.compile(r"(?ai:\b(?:pass_?phrase|passcode|pwd|credentials?|authorization|bearer|auth_?key|access_?key|private_?key|client_?secret|session_?id)\b)[\"']?\x20*(?:[:=]|\x20is\x20|\x20)\x20*(?ai:bearer\x20+|basic\x20+)?[\"']?([^\s\"'<>|,;]{6,})")
+URL = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:([^\s:/@]{4,}+)@[\w.-]+")
+KEY_MARK = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
+#: What stands between the mark of a block that was cut off and the next block's.
+KEY_LINES = re.compile(r"[A-Za-z0-9+/=\s]*")
+KEY_LEAST = 16
 _ASSIGN_MARKS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _CONTEXT_MARKS = ("pass", "pwd", "credential", "auth", "bearer", "key", "secret", "session")
 
 #: log10 of the guesses from which a value in a wider context counts as a secret.
 THRESHOLD = 8.0
-#: Longer values are high in any case; segmentation looks at this many characters of a value (texts are read whole).
-VALUE_LENGTH = 128
+#: Longest block that counts as repeated.
+LONGEST_BLOCK = 16
 
 #: Words of credentials and configuration in order of use; a word costs its rank in guesses.
 WORDS = "password admin user root test guest login welcome letmein master dragon monkey shadow sunshine princess football baseball iloveyou secret token default changeme example sample demo public private server database system service client local localhost production staging development access account company office support manager internet computer superman batman hello world love summer winter spring autumn monday friday january october november december my the your for and with this that none null true false value string required unknown hidden removed redacted placeholder".split()
@@ -70,13 +73,18 @@ def guess_cost(value: str) -> float:
     of a century; a letter in a pronounceable run (vowels among consonants, as in any language's words) costs less than a
     random one. Each further segment costs a little, as an attacker must try the splits.
     """
-    s = value[:VALUE_LENGTH]
+    s = value
     n, low = len(s), s.lower()
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
     mixed = any(c.isdigit() for c in s) + any(c.isupper() for c in s) + any(c.islower() for c in s)
     extra = 0.3 * max(0, mixed - 1)  # a character of a mixed value comes from a larger alphabet
     split = math.log10(2)
+    chars = [_char_cost(c) for c in s]
+    repeated = [_same_after(s, size) for size in range(1, min(LONGEST_BLOCK, n // 2) + 1)]
+    up, down = (_run_ends(n, lambda j, step=step: ord(s[j]) - ord(s[j - 1]) == step) for step in (1, -1))
+    walks = _run_ends(n, lambda j: _next_to(low[j - 1], low[j]))
+    ends, vowels = _like_words(s, low)
     for i in range(n):
         at = best[i] + (split if i else 0)
 
@@ -84,46 +92,79 @@ def guess_cost(value: str) -> float:
             if at + cost < best[j]:
                 best[j] = at + cost
 
-        if best[i] + _char_cost(s[i]) + extra < best[i + 1]:
-            best[i + 1] = best[i] + _char_cost(s[i]) + extra
+        if best[i] + chars[i] + extra < best[i + 1]:
+            best[i + 1] = best[i] + chars[i] + extra
         for j in range(i + 3, min(n, i + _LONGEST) + 1):  # words
             rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
             if rank:
                 to(j, math.log10(rank + 1) + (split if s[i:j] != low[i:j] else 0) + (split if low[i:j] not in _RANK else 0))
         if m := _DATE.match(s, i):
             to(m.end(), math.log10(119) if m.end() - i == 4 else math.log10(36500) + split)
-        j = i + 1
-        while j < n and s[j] == s[i]:  # one character again and again
-            j += 1
-        if j - i >= 3:
-            to(j, _char_cost(s[i]) + math.log10(j - i))
-        for size in range(2, min(16, (n - i) // 2) + 1):  # a block again and again
-            j = i + size
-            while s[j : j + size] == s[i : i + size]:
-                j += size
-            if j > i + size:
-                to(j, sum(map(_char_cost, s[i : i + size])) + math.log10(j - i))
-        for step in (1, -1):  # 123, cba
-            j = i + 1
-            while j < n and ord(s[j]) - ord(s[j - 1]) == step:
-                j += 1
+        for size, same in enumerate(repeated, 1):  # one character, or a block, again and again
+            if same[i] >= max(size, 2):
+                j = i + size + same[i] // size * size
+                to(j, sum(chars[i : i + size]) + math.log10(j - i))
+        for j in (up[i], down[i]):  # 123, cba
             if j - i >= 3:
                 to(j, math.log10(10 if s[i].isdigit() else 26) + math.log10(2 * (j - i)))
-        j = i + 1
-        while j < n and _next_to(low[j - 1], low[j]):  # qwer, 1qaz
-            j += 1
-        if j - i >= 4:
+        j = walks[i]
+        if j - i >= 4:  # qwer, 1qaz
             to(j, math.log10(47) + (j - i - 1) * math.log10(2.3))
-        j, vowels, gap, first = i, 0, 0, s[i].isupper()
-        while j < n and s[j].isalpha() and (s[j].islower() or (j == i and first)) and gap < 4:  # like a word
-            vowels += low[j] in _VOWELS
-            gap = 0 if low[j] in _VOWELS else gap + 1
-            j += 1
-        if j - i >= 4 and 0.2 <= vowels / (j - i) <= 0.7:
+        j = ends[i]
+        if j - i >= 4 and 0.2 <= (vowels[j] - vowels[i]) / (j - i) <= 0.7:
             to(j, 0.42 * (j - i) + 0.6)
     return best[n]
 
 
+def _same_after(s: str, size: int) -> list[int]:
+    """For each place, how many characters from there on equal those `size` further."""
+    out = [0] * len(s)
+    for i in range(len(s) - size - 1, -1, -1):
+        if s[i] == s[i + size]:
+            out[i] = out[i + 1] + 1
+    return out
+
+
+def _run_ends(n: int, goes_on: Callable[[int], bool]) -> list[int]:
+    """For each place, where the run from there ends; it goes on to character j where `goes_on(j)`."""
+    out = list(range(1, n + 1))
+    for i in range(n - 2, -1, -1):
+        if goes_on(i + 1):
+            out[i] = out[i + 1]
+    return out
+
+
+def _like_words(s: str, low: str) -> tuple[list[int], list[int]]:
+    """For each place, where what is like a word ends (small letters after any letter, up to four without a vowel), and how many vowels are before it."""
+    n = len(s)
+    vowels, ends = [0] * (n + 1), [0] * n
+    for i in range(n):
+        vowels[i + 1] = vowels[i] + (low[i] in _VOWELS)
+    small, stop = n, n + 1  # ends of the small letters from i + 1 on, and of the first four of them without a vowel
+    for i in range(n - 1, -1, -1):
+        letter = s[i].isalpha() and (s[i].islower() or s[i].isupper())
+        if small - i >= 4 and letter and vowels[i + 4] == vowels[i]:
+            ends[i] = i + 4
+        else:
+            ends[i] = min(small, stop) if letter else i
+        if letter and s[i].islower():
+            stop = ends[i] if ends[i] == i + 4 and vowels[i + 4] == vowels[i] else stop
+        else:
+            small, stop = i, n + 1
+    return ends, vowels
+
+
+def key_blocks(t: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, body) of the key blocks of a text, however long: from a BEGIN mark to the next END mark, or to another BEGIN where only key lines are between."""
+    begin = None
+    for m in KEY_MARK.finditer(t):
+        if begin:
+            body = t[begin.end() : m.start()]
+            if len(body) >= KEY_LEAST and (m[1] == "END" or KEY_LINES.fullmatch(body)):
+                yield begin.start(), m.end() if m[1] == "END" else m.start(), body
+        begin = m if m[1] == "BEGIN" else None
+
+
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int, float]], list[tuple[int, int, int]]]:
     """(all spans as (start, kind, end, guess cost), base spans as (start, kind, end)) of one whole text; null counts as empty."""
     t = text or ""
@@ -159,8 +200,8 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int, float]], l
         for m in URL.finditer(t):
             add(4, m.start(1), m.end(1), m[1], THRESHOLD / 2)
     if "PRIVATE KEY-----" in t:
-        for m in KEY_BLOCK.finditer(t):
-            add(5, m.start(), m.end(), "".join(m[1].split()))
+        for start, end, body in key_blocks(t):
+            add(5, start, end, "".join(body.split()))
     return sorted(found), sorted(base)
 
 
