@@ -4,6 +4,8 @@ Words lose outer punctuation and case; numbers, units after numbers and names (c
 placeholders. Windows of template words are joined by hash with the benchmark's. Joined windows of a document and an item
 line up on diagonals; a diagonal counts if it covers enough words and its slots are consistent: each value of the item stands
 for one value in the document, and no two names or numbers fall together. So questions with other numbers are found too.
+Where words were put in or left out a copy goes on along another diagonal: pieces of diagonals that follow each other closely,
+in the document and in the item, form a chain, and a chain counts like a diagonal.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ MIN_WORDS = 13
 MIN_LITERAL = 4
 #: Bits of the filter through which the documents' windows pass before the join; its size is fixed, whatever the benchmark.
 FILTER_BITS = 1 << 24
+#: Pieces of a chain are at most so many words apart, in the document and in the item: a piece shorter than a window may be lost between two changes.
+GAP = 2 * WINDOW
 MEMO_ENTRIES = 500_000
 
 NUMBER, UNIT, NAME = 1, 2, 3
@@ -34,7 +38,8 @@ UNITS = frozenset("km m cm mm mi ft in kg g mg lb lbs oz t l ml s sec min h hr h
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 _EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 
-WINDOWS = "doc_id bigint, place bigint, h bigint, slots array<bigint>"
+WINDOWS = "doc_id bigint, row_no bigint, place bigint, h bigint, slots array<bigint>"
+LEAKS = "doc_id bigint, item_id bigint, covered_words int, item_words int, windows int, slots int, changed_slots int"
 
 
 class Canon:
@@ -110,13 +115,15 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> D
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon, held = Canon(), shared.value
+        from pyspark import TaskContext
+
+        canon, held, row_no = Canon(), shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 b = batch.slice(first, 256)
                 doc_ids = b.column(0).to_pylist()
                 t, v, of = templates(canon, [(x or "").split() for x in b.column(1).to_pylist()])
-                ids, places, hashes, slots = [], [], [], []
+                ids, rows, places, hashes, slots = [], [], [], [], []
                 starts = np.searchsorted(of, np.arange(len(doc_ids)))
                 for size in sizes:
                     if len(t) < size:
@@ -127,35 +134,88 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> D
                     for at in hit.tolist():
                         k = int(of[at])
                         ids.append(doc_ids[k])
+                        rows.append(row_no + k)
                         places.append(at - int(starts[k]))
                         slots.append(v[at : at + size].view(np.int64).tolist())
                     hashes += h[hit].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], ["doc_id", "place", "h", "slots"])
+                row_no += len(doc_ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], ["doc_id", "row_no", "place", "h", "slots"])
 
     d = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return d.mapInArrow(compute, WINDOWS)
 
 
+def best_match(item_words: int, size: int, min_words: int, lines: list[dict]) -> tuple[int, int, int, int] | None:
+    """(covered words, windows, slots, changed slots) of the best diagonal or chain of one text and one item, if any covers enough.
+
+    A line has its number (place in the text less place in the item), the sorted item places of its windows and its pairs of slots.
+    """
+    need = min(min_words, max(1, item_words - (item_words > 3)))
+    found, pieces = [], []
+    for line in lines:
+        pairs = {(x["a"], x["b"]) for x in line["pairs"]}
+        if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
+            continue
+        places = line["places"]
+        cuts = [0, *(k for k in range(1, len(places)) if places[k] - places[k - 1] > size), len(places)]
+        on_line = [(places[x] + line["line"], places[x], places[y - 1] + size, y - x, pairs) for x, y in zip(cuts, cuts[1:], strict=False)]
+        covered = sum(min(size, y - x) for x, y in zip(places, places[1:], strict=False)) + size
+        if covered >= need:
+            found.append((covered, len(places), len(pairs), sum(x != y for x, y in pairs)))
+        pieces += on_line
+    if max(found, default=(0,))[0] < item_words and len(pieces) > 1:
+        found += _chains(sorted(pieces, key=lambda p: p[:3]), need)
+    return max(found, default=None)
+
+
+def _chains(pieces: list[tuple], need: int) -> list[tuple[int, int, int, int]]:
+    """What the chains of enough words have; `pieces` are (place in the text, place in the item, its end in the item, windows, pairs), in order of place."""
+    best: list[tuple[int, int, dict, dict]] = []  # of the best chain that ends with each piece: covered words, windows, slots by the item's value and by the text's
+    found, first = [], 0
+    longest = max(p[2] - p[1] for p in pieces)
+    for k, (at, place, end, windows, pairs) in enumerate(pieces):
+        mine = (end - place, windows, dict(pairs), {b: a for a, b in pairs})
+        while pieces[first][0] + longest + GAP < at:
+            first += 1
+        for m in range(first, k):
+            before, (covered, n, there, back) = pieces[m], best[m]
+            if not (before[0] < at and before[1] < place and before[2] < end and at - (before[0] + before[2] - before[1]) <= GAP and place - before[2] <= GAP):
+                continue
+            total = covered + end - max(place, before[2])
+            if (total, n + windows) > mine[:2] and all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
+                mine = (total, n + windows, there | dict(pairs), back | {b: a for a, b in pairs})
+        best.append(mine)
+        if mine[0] >= need:
+            found.append((mine[0], mine[1], len(mine[2]), sum(a != b for a, b in mine[2].items())))
+    return found
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document and benchmark item that it repeats: doc_id, item_id, covered_words, item_words, windows, slots, changed_slots.
 
-    Null and empty texts and items match nothing. Rows that share a doc_id (or have none) count as one document. A
-    document that holds an item twice is listed with the better place. Empty tables give no rows.
+    Null and empty texts and items match nothing. Rows that share a doc_id (or have none) count as one document, though a
+    copy lies within one row. A document that holds an item twice is listed with the better place. Empty tables give no rows.
     """
     items = item_windows(benchmark, window)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `window` of them
     found = document_windows(docs, bitmap_of(items, "h", FILTER_BITS), sizes).join(items.withColumnsRenamed({"place": "item_place", "slots": "item_slots"}), "h")
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: s["a"] != 0)
-    on_line = found.groupBy("doc_id", "item_id", "item_words", "size", (F.col("place") - F.col("item_place")).alias("line")).agg(
+    of = ("doc_id", "row_no", "item_id", "item_words", "size")
+    on_line = found.groupBy(*of, (F.col("place") - F.col("item_place")).alias("line")).agg(
         F.sort_array(F.collect_set("item_place")).alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))  # both as long as the item at most
-    start = F.struct((-F.col("size").cast("bigint")).alias("last"), F.lit(0).cast("bigint").alias("n"))
-    size = F.col("size").cast("bigint")
-    covered = F.aggregate("places", start, lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(size, p - s["last"])).alias("n")), lambda s: s["n"])
-    distinct = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda s: s[k])))
-    x = on_line.select("doc_id", "item_id", "item_words", covered.alias("covered_words"), F.size("places").alias("windows"), F.size("pairs").alias("slots"), F.size(F.filter("pairs", lambda s: s["a"] != s["b"])).alias("changed_slots"), ((distinct("a") == F.size("pairs")) & (distinct("b") == F.size("pairs"))).alias("consistent"))
-    enough = F.col("covered_words") >= F.least(F.lit(min_words), F.greatest(F.lit(1), F.col("item_words") - (F.col("item_words") > 3).cast("int")))
-    best = x.where(enough & F.col("consistent")).groupBy("doc_id", "item_id").agg(F.max(F.struct("covered_words", "windows", "slots", "changed_slots", "item_words")).alias("m"))
-    return best.select("doc_id", "item_id", "m.covered_words", "m.item_words", "m.windows", "m.slots", "m.changed_slots")
+    lines = on_line.groupBy(*of).agg(F.collect_list(F.struct("line", "places", "pairs")).alias("lines"))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if m := best_match(r["item_words"], r["size"], min_words, r["lines"]):
+                    out.append((r["doc_id"], r["item_id"], m[0], r["item_words"], *m[1:]))
+            columns = zip(*out, strict=True) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), *[pa.int32()] * 5), strict=True)], [x.split()[0] for x in LEAKS.split(", ")])
+
+    best = lines.mapInArrow(match, LEAKS).groupBy("doc_id", "item_id").agg(F.max(F.struct("covered_words", "windows", "slots", "changed_slots", "item_words")).alias("m"))
+    return best.select("doc_id", "item_id", F.col("m.covered_words").cast("bigint").alias("covered_words"), "m.item_words", "m.windows", "m.slots", "m.changed_slots")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

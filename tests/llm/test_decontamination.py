@@ -46,6 +46,21 @@ def test_documents_with_whole_items(spark, small):
         assert any(" ".join(w[k : k + 6]) in texts[d] for k in range(max(1, len(w) - 5)))
 
 
+def test_copies_with_words_put_in_or_left_out(spark):
+    words = [f"item{k}" for k in range(24)]
+    long = [f"long{k}" for k in range(90)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(long))], "item_id bigint, text string")
+    put_in = " ".join([*words[:12], "extra", *words[12:]])
+    left_out = " ".join(words[:10] + words[11:])
+    every_12 = " ".join(w + " extra" * (k % 12 == 11) for k, w in enumerate(long))
+    far = " ".join([*words[:12], *["other"] * 60, *words[12:]])
+    turned = " ".join(words[12:] + words[:12])
+    got = found(spark, items, "before " + put_in + " after", left_out, every_12, far, turned, " ".join(words[:12]))
+    assert {k: r.covered_words for k, r in got.items()} == {(0, 1): 24, (1, 1): 23, (2, 2): 84}  # six words at the end are less than a window
+    halves = spark.createDataFrame([(None, " ".join(words[:12])), (None, "extra " * 13 + " ".join(words[12:]))], "doc_id bigint, text string")
+    assert D.leaks(halves, items).count() == 0
+
+
 def test_edges(edges, nothing, spark, benchmark):
     assert D.leaks(edges, benchmark).count() == 0 and D.leaks(nothing, benchmark).count() == 0
     assert D.leaks(edges, benchmark.limit(0)).count() == 0
