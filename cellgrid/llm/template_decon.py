@@ -24,8 +24,10 @@ from .common import bitmap_of, in_bitmap, table, window_hashes
 WINDOW = 8
 #: A diagonal must cover this many words, or all but one of a shorter item's.
 MIN_WORDS = 13
-#: Windows with fewer literal words say too little.
+#: The templates of windows with fewer literal words say too little; such windows match word for word.
 MIN_LITERAL = 4
+#: Keeps hashes of words apart from those of templates.
+WORD_FOR_WORD = np.uint64(0xD6E8FEB86659FD93)
 #: Bits of the filter through which the documents' windows pass before the join; its size is fixed, whatever the benchmark.
 FILTER_BITS = 1 << 24
 #: Pieces of a chain are at most so many words apart, in the document and in the item: a piece shorter than a window may be lost between two changes.
@@ -88,26 +90,36 @@ def literal_enough(values: np.ndarray, size: int) -> np.ndarray:
     return n[size:] - n[:-size] >= min(MIN_LITERAL, size)
 
 
+def matched_windows(t: np.ndarray, v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, which are of templates) of every window: of its template, or of its words where the template says too little."""
+    h, good = window_hashes(t, size), literal_enough(v, size)
+    at = np.flatnonzero(~good)
+    if len(at):
+        words = np.where(v != 0, v, t)
+        h[at] = window_hashes(words[at[:, None] + np.arange(size)].T, size)[0] ^ WORD_FOR_WORD
+    return h.view(np.int64), good
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, item_words, size, place, h, slots of the benchmark's windows; an item with fewer words is one window; null and empty items have none."""
+    """item_id, item_words, size, place, h, slots, exact (matched word for word, so without slots) of the benchmark's windows; an item with fewer words is one window; null and empty items have none."""
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("item_id", "item_words", "size", "place", "h", "slots")}
+            out: dict[str, list] = {k: [] for k in ("item_id", "item_words", "size", "place", "h", "slots", "exact")}
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = (text or "").split()
                 if not words:
                     continue
                 t, v, _ = templates(canon, [words])
                 size = min(window, len(words))
-                h, good = window_hashes(t, size).view(np.int64), literal_enough(v, size)
-                for p in np.flatnonzero(good).tolist():
-                    for k, x in zip(out, (item, len(words), size, p, int(h[p]), v[p : p + size].view(np.int64).tolist()), strict=True):
+                h, good = matched_windows(t, v, size)
+                for p in range(len(h)):
+                    for k, x in zip(out, (item, len(words), size, p, int(h[p]), v[p : p + size].view(np.int64).tolist() if good[p] else [], not good[p]), strict=True):
                         out[k].append(x)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("item_id", pa.int64()), ("item_words", pa.int32()), ("size", pa.int32()), ("place", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("item_id", pa.int64()), ("item_words", pa.int32()), ("size", pa.int32()), ("place", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.int64())), ("exact", pa.bool_())]))
 
     b = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
-    return b.mapInArrow(compute, "item_id bigint, item_words int, size int, place bigint, h bigint, slots array<bigint>")
+    return b.mapInArrow(compute, "item_id bigint, item_words int, size int, place bigint, h bigint, slots array<bigint>, exact boolean")
 
 
 def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
@@ -128,15 +140,15 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> D
                 for size in sizes:
                     if len(t) < size:
                         continue
-                    h = window_hashes(t, size).view(np.int64)
+                    h, good = matched_windows(t, v, size)
                     hit = np.flatnonzero(in_bitmap(held, h))
-                    hit = hit[(of[hit] == of[hit + size - 1]) & literal_enough(v, size)[hit]]
+                    hit = hit[of[hit] == of[hit + size - 1]]
                     for at in hit.tolist():
                         k = int(of[at])
                         ids.append(doc_ids[k])
                         rows.append(row_no + k)
                         places.append(at - int(starts[k]))
-                        slots.append(v[at : at + size].view(np.int64).tolist())
+                        slots.append(v[at : at + size].view(np.int64).tolist() if good[at] else [])
                     hashes += h[hit].tolist()
                 row_no += len(doc_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], ["doc_id", "row_no", "place", "h", "slots"])
@@ -148,15 +160,18 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> D
 def best_match(item_words: int, size: int, min_words: int, lines: list[dict]) -> tuple[int, int, int, int] | None:
     """(covered words, windows, slots, changed slots) of the best diagonal or chain of one text and one item, if any covers enough.
 
-    A line has its number (place in the text less place in the item), the sorted item places of its windows and its pairs of slots.
+    A line has its number (place in the text less place in the item), the sorted item places of its windows, those of the
+    windows that match word for word, and its pairs of slots. Where the pairs don't agree, what matches word for word still counts.
     """
     need = min(min_words, max(1, item_words - (item_words > 3)))
     found, pieces = [], []
     for line in lines:
         pairs = {(x["a"], x["b"]) for x in line["pairs"]}
+        places = line["places"]
         if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
+            places, pairs = line["exact"], set()
+        if not places:
             continue
-        places = line["places"]
         cuts = [0, *(k for k in range(1, len(places)) if places[k] - places[k - 1] > size), len(places)]
         on_line = [(places[x] + line["line"], places[x], places[y - 1] + size, y - x, pairs) for x, y in zip(cuts, cuts[1:], strict=False)]
         covered = sum(min(size, y - x) for x, y in zip(places, places[1:], strict=False)) + size
@@ -202,8 +217,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: s["a"] != 0)
     of = ("doc_id", "row_no", "item_id", "item_words", "size")
     on_line = found.groupBy(*of, (F.col("place") - F.col("item_place")).alias("line")).agg(
-        F.sort_array(F.collect_set("item_place")).alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))  # both as long as the item at most
-    lines = on_line.groupBy(*of).agg(F.collect_list(F.struct("line", "places", "pairs")).alias("lines"))
+        F.sort_array(F.collect_set("item_place")).alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_place")))).alias("exact"))  # both as long as the item at most
+    lines = on_line.groupBy(*of).agg(F.collect_list(F.struct("line", "places", "exact", "pairs")).alias("lines"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -61,6 +61,15 @@ def test_copies_with_words_put_in_or_left_out(spark):
     assert D.leaks(halves, items).count() == 0
 
 
+def test_word_for_word_copies_count_whatever_their_slots_are(spark):
+    series = "values " + " ".join(str(k * k) for k in range(3, 33))
+    title = "The Old Man And The Sea Beside The Long River Of Northern Wales Under Grey Winter Skies"
+    items = spark.createDataFrame([(1, series), (2, title), (3, "7 8 9 10 11 12")], "item_id bigint, text string")
+    other = " ".join(str(k * k + 1) for k in range(3, 33))
+    got = found(spark, items, "so " + series + " end", "he read " + title + " twice", "so values " + other, "Some Other Title That Has Many Words In Capitals And Goes On Like This For Long", "1 7 8 9 10 11 12 13", "1 2 3 4 5 6")
+    assert {k: r.covered_words for k, r in got.items()} == {(0, 1): 31, (1, 2): len(title.split()), (4, 3): 6}
+
+
 def test_edges(edges, nothing, spark, benchmark):
     assert D.leaks(edges, benchmark).count() == 0 and D.leaks(nothing, benchmark).count() == 0
     assert D.leaks(edges, benchmark.limit(0)).count() == 0
