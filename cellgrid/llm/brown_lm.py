@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,8 @@ CLASSES = 32
 TYPES = 1 << 13
 KNOWN = 1 << 17
 SHAPES = 1 << 9
-ROUNDS = 2
+#: Sweeps of exchanges go on until one adds less than this to the information, in nats a token, that a class gives about the next one.
+LEAST_GAIN = 0.001
 SEED = 5
 ALPHA = 0.1
 #: Hash under which the end of a text is counted.
@@ -197,6 +198,34 @@ def exchange(counts: np.ndarray, classes: np.ndarray, turn: int) -> np.ndarray:
     return np.where(may, best, classes).astype(np.int32)
 
 
+def information(counts: np.ndarray, classes: np.ndarray) -> float:
+    """What a class tells about the next one, in nats a token: the class model's likelihood rises and falls with it."""
+    pairs = class_pairs(counts, classes).astype(float)
+    n = pairs.sum()
+    if not n:
+        return 0.0
+    expected = np.outer(pairs.sum(1), pairs.sum(0)) / n
+    used = pairs > 0
+    return float((pairs[used] * np.log(pairs[used] / expected[used])).sum() / n)
+
+
+def learned_classes(count: Callable[[np.ndarray], np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, their neighbour counts by `count`) after as many sweeps, in which every type may move once, as still add LEAST_GAIN."""
+    classes = first_classes(size)
+    counts = count(classes)
+    value = information(counts, classes)
+    while True:
+        moved, its_counts = classes, counts
+        for turn in range(2):
+            moved = exchange(its_counts, moved, turn)
+            its_counts = count(moved)
+        gain = information(its_counts, moved) - value
+        if gain > 0:
+            classes, counts, value = moved, its_counts, value + gain
+        if gain < LEAST_GAIN:
+            return classes, counts
+
+
 @dataclass
 class ClassModel:
     """log10 of transitions, and of the total that a word's count is divided by in each class."""
@@ -225,10 +254,8 @@ def frequent_words(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarra
 
 def train_model(read: DataFrame, counts: DataFrame, own: np.ndarray, own_counts: np.ndarray, size: int, ends: int) -> ClassModel:
     """Classes and transitions from the training texts of `read`; the words `own` are types of their own."""
-    classes = first_classes(size)
-    for turn in range(ROUNDS):
-        classes = exchange(neighbour_counts(read, size, classes), classes, turn)
-    pairs = class_pairs(neighbour_counts(read, size, classes), classes).astype(float)
+    classes, counted = learned_classes(lambda c: neighbour_counts(read, size, c), size)
+    pairs = class_pairs(counted, classes).astype(float)
     transitions = np.log10((pairs + ALPHA) / (pairs.sum(1, keepdims=True) + ALPHA * CLASSES))
     # tokens plus distinct words of each class: by shape, then the frequent words moved from their shape to their type
     by_class = np.zeros(CLASSES)

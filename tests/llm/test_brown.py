@@ -86,3 +86,25 @@ def test_exchange_groups_words_used_alike():
         classes = B.exchange(counts(classes), classes, turn)
     assert likelihood(classes) > before
     assert classes[B.SHAPES] == B.CLASSES - 1 and not set(classes[a]) & set(classes[b])
+
+
+def test_sweeps_go_on_until_little_is_gained():
+    rng = np.random.default_rng(3)
+    size = B.SHAPES + 1 + 60
+    a, b = np.arange(B.SHAPES + 1, B.SHAPES + 31), np.arange(B.SHAPES + 31, B.SHAPES + 61)
+    seq = np.empty(20_000, np.int64)
+    seq[0::2], seq[1::2] = rng.choice(a, 10_000), rng.choice(b, 10_000)
+
+    def count(classes):
+        out, c = np.zeros((size, 2 * B.CLASSES), np.int64), classes[seq]
+        np.add.at(out, (seq[1:], c[:-1]), 1)
+        np.add.at(out, (seq[:-1], B.CLASSES + c[1:]), 1)
+        return out
+
+    classes, counts = B.learned_classes(count, size)
+    assert not set(classes[a]) & set(classes[b]) and (counts == count(classes)).all()
+    again = classes
+    for turn in range(2):
+        again = B.exchange(count(again), again, turn)
+    assert B.information(count(again), again) - B.information(counts, classes) < B.LEAST_GAIN
+    assert B.learned_classes(lambda c: np.zeros((size, 2 * B.CLASSES), np.int64), size)[1].sum() == 0
