@@ -1,4 +1,4 @@
-"""Work tables: how loops cut their lineage."""
+"""Work tables: how loops cut their lineage, and who removes their files."""
 
 from __future__ import annotations
 
@@ -10,21 +10,42 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors (spark.checkpoint.dir); a folder of the session's own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="cellgrid-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """This application's folder under the one that driver and executors share (spark.checkpoint.dir); it goes when the driver ends.
 
-
-def cut(df: DataFrame) -> DataFrame:
+    Where the setting is missing, a local session gets a folder of its own; on a cluster that is an error, since executors
+    would each write to their own disk.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="cellgrid-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    folder = f"{shared.rstrip('/')}/cellgrid-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return folder
+
+
+def cut(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
     """`df` written to the shared folder and read again, so that a loop's plan stays short and a lost executor loses nothing."""
-    path = f"{work_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files behind tables made by `cut` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """df with the sum of `value` over all rows up to each one by `order` (distinct values), without one task for all rows.
 
