@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, dropped, work_dir  # noqa: F401  (the operators take all of these from here)
+
 #: Words of every operator are maximal runs of characters outside this ASCII white space; bytes.split() splits at exactly these.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,30 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset (tests), a folder of this session's own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="cellgrid-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: cuts lineage, and survives the loss of any executor."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files behind a table made by `written` that nothing will read again."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for p in parents:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+    return cut(df, name, **options)
+
+
+def whole(df: DataFrame, row: str = "row") -> Column:
+    """All columns of `df` as one struct, so that an operator's own columns can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` written with its columns as the struct `row` and a number `n` of each row, which is the same whenever the rows are read again."""
+    return written(df.select(F.monotonically_increasing_id().alias("n"), whole(df)), "numbered")
 
 
 def listed(spark: SparkSession, rows: Iterable[tuple], schema: str, name: str) -> DataFrame:
