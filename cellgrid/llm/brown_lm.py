@@ -184,23 +184,21 @@ def read_documents(docs: DataFrame, vocabulary: Vocabulary, brown: Brown, ends:
                 near = np.where(place >= 0, logs[place] if len(logs) else 0.0, 0.0)
                 of, upto = np.repeat(np.arange(len(cut)), lengths), np.cumsum([0, *lengths])
                 far = np.flatnonzero(place < 0)
-                edges = np.searchsorted(far, upto)
-                codes, counted = place.copy(), []
-                for a, z in zip(edges, edges[1:], strict=False):
-                    u, inverse, n = np.unique(hashed[far[a:z]], return_inverse=True, return_counts=True)
-                    codes[far[a:z]] = known + inverse
-                    counted.append((u, n))
+                rows, order = of[far], np.lexsort((hashed[far], of[far]))  # the rarer words of each row, each word once
+                r, h = rows[order], hashed[far][order]
+                new = np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])]) if len(far) else np.empty(0, bool)
+                starts = np.flatnonzero(new)
+                firsts = np.searchsorted(r[starts], np.arange(len(cut) + 1))
+                codes = place.copy()
+                codes[far[order]] = known + np.cumsum(new) - 1 - firsts[r]
                 common = np.flatnonzero(types < brown.shapes)
-                cuts = np.searchsorted(common, upto)
-                codes = codes[common].astype("<u4")
-                end = np.array([brown.end], "<u2").tobytes()
+                lists = lambda values: pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row_no + np.arange(len(cut))), part.column(0), part.column(1), pa.array(np.array(lengths) + 1, pa.int64()),
                         pa.array(np.bincount(of, place >= 0, len(cut)).astype(np.int64) + int(ends > 0)), pa.array(np.bincount(of, near, len(cut)) + math.log10(ends + 1)),
-                        pa.array([types[a:z].tobytes() + end for a, z in zip(upto, upto[1:], strict=False)], pa.binary()),
-                        pa.array([codes[a:z].tobytes() for a, z in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-                        pa.array([u for u, _ in counted], pa.list_(pa.int64())), pa.array([n.astype(np.int32) for _, n in counted], pa.list_(pa.int32())),
+                        rows_of(np.insert(types, upto[1:], brown.end), upto + np.arange(len(upto))), rows_of(codes[common].astype("<u4"), np.searchsorted(common, upto)),
+                        lists(h[starts]), lists(np.diff(np.append(starts, len(h))).astype(np.int32)),
                     ],
                     ["row_no", "doc_id", "held_out", "n_tokens", "n_near", "near", "types", "others", "hashes", "times"],
                 )
@@ -209,6 +207,11 @@ def read_documents(docs: DataFrame, vocabulary: Vocabulary, brown: Brown, ends:
     return _texts(docs).mapInArrow(read, ROWS)
 
 
+def rows_of(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary column from all rows' numbers one after another; `edges` are the places where rows begin, and the end."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of each row, all numbers one after another) of a binary column, without copies."""
     at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
@@ -238,17 +241,18 @@ def neighbour_counts(read: DataFrame, brown: Brown, classes: np.ndarray) -> np.n
             sums += np.bincount(row[1:] + c[:-1], minlength=len(sums))
             sums += np.bincount(row[:-1] + k + c[1:], minlength=len(sums))
         table = sums.reshape(size, 2 * k)
-        used = np.flatnonzero(table.any(1))
-        kind = "<i4" if table.max(initial=0) < 2**31 else "<i8"
-        for at in range(0, len(used), 2048):
-            rows = used[at : at + 2048]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([x.tobytes() for x in table[rows].astype(kind)], pa.binary())], ["type", "counts"])
+        most = table.max(1)
+        for kind, low, high in (("<u2", 1, 1 << 16), ("<i4", 1 << 16, 1 << 31), ("<i8", 1 << 31, 1 << 63)):
+            used = np.flatnonzero((most >= low) & (most < high))
+            for at in range(0, len(used), 2048):
+                rows = used[at : at + 2048]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([x.tobytes() for x in table[rows].astype(kind)], pa.binary())], ["type", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                row = np.frombuffer(x, "<i4" if len(x) == 8 * k else "<i8").astype(np.int64)
+                row = np.frombuffer(x, {4 * k: "<u2", 8 * k: "<i4", 16 * k: "<i8"}[len(x)]).astype(np.int64)
                 sums[t] = sums[t] + row if t in sums else row
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["type", "counts"])
@@ -329,8 +333,7 @@ def packed_neighbours(h: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.
     n = np.diff(np.append(starts, len(h)))
     entries = (slots[starts] | (n << 6)).astype("<u4")
     firsts = np.flatnonzero(new_word[starts])
-    offsets = np.append(firsts, len(entries)).astype(np.int32) * 4
-    return h[starts[firsts]], order[starts[firsts]], pa.Array.from_buffers(pa.binary(), len(firsts), [None, pa.py_buffer(offsets), pa.py_buffer(entries)])
+    return h[starts[firsts]], order[starts[firsts]], rows_of(entries, np.append(firsts, len(entries)))
 
 
 def best_classes(read: DataFrame, vocabulary: Vocabulary, brown: Brown, classes: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -441,8 +444,7 @@ def with_classes(read: DataFrame, others: DataFrame, vocabulary: Vocabulary, bro
             theirs = all_classes[np.where(codes < known, codes, codes + np.repeat(firsts, n))]
             at = np.flatnonzero(types < brown.shapes)
             c[at] = np.where(theirs < 255, theirs, c[at])
-            offsets = np.cumsum([0, *lengths]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(5)], pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(c)])], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "classes"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(5)], rows_of(c, np.cumsum([0, *lengths]))], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "classes"])
 
     return x.mapInArrow(resolve, CLASSED)
 
