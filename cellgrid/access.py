@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.values import clean_text
 
 #: Permissions of each role.
 PERMISSIONS = {
-    "admin": ("dataset:create", "dataset:read", "dataset:update", "dataset:delete", "dataset:share", "operation:run", "user:manage"),
-    "editor": ("dataset:create", "dataset:read", "dataset:update", "dataset:share", "operation:run"),
-    "analyst": ("dataset:read", "operation:run"),
-    "viewer": ("dataset:read",),
-}
+    "admin": (
+        "create_dataset", "edit_any_dataset", "delete_any_dataset", "create_user", "edit_user", "delete_user",
+        "manage_system", "view_any_dataset", "run_any_operation", "delete_any_operation",
+    ),
+    "editor": ("create_dataset", "edit_own_dataset", "delete_own_dataset", "view_any_dataset", "run_any_operation"),
+    "viewer": ("view_own_dataset", "view_any_dataset"),
+}
 
 
 def may(role: str, permission: str) -> bool:
@@ -21,6 +23,19 @@ def may(role: str, permission: str) -> bool:
     return permission in PERMISSIONS.get(role, ())
 
 
+def role_permissions(spark: SparkSession) -> DataFrame:
+    """(role, permission) of every role."""
+    rows = [(r, p) for r, all_of in PERMISSIONS.items() for p in all_of]
+    return spark.createDataFrame(rows, "role string, permission string")
+
+
+def may_change(user: str | None, role: str) -> Column:
+    """The datasets that a user may edit or delete: all for an admin, own ones for an editor."""
+    if role == "admin":
+        return F.lit(True)
+    return F.coalesce(F.col("created_by") == user, F.lit(False)) if role == "editor" and user else F.lit(False)
+
+
 def visible_datasets(user: str | None, role: str) -> Column:
     """The rows of the catalogue that a user may read: all for an admin; public ones, own ones, and shared ones with the user among them."""
     if role == "admin":

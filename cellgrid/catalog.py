@@ -10,7 +10,10 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.values import identifier
+from .operators.rollup import rollup_cells
 from .schema import DATASETS
+from .session import work_dir
 
 STATUSES = ("processing", "active", "failed")
 
@@ -22,30 +25,49 @@ def new_dataset(spark: SparkSession, name: str, dggs: str, level: int | None = N
 
 
 def merge_metadata(datasets: DataFrame, dataset_id: str, patch: dict) -> DataFrame:
-    """The catalogue with a patch's values that aren't null merged into one dataset's metadata."""
-    new = {k: v if isinstance(v, str) else json.dumps(v) for k, v in patch.items() if v is not None}
+    """The catalogue with a patch's values that aren't null merged into one dataset's metadata; numbers, lists and objects stay what they are."""
+    new = {k: v for k, v in patch.items() if v is not None}
     if not new:
         return datasets
-    kind = "map<string,string>"
-    both = F.map_zip_with(F.coalesce(F.from_json("metadata", kind), F.create_map().cast(kind)), F.from_json(F.lit(json.dumps(new)), kind), lambda k, a, b: F.coalesce(b, a))
+    kind = "map<string,variant>"
+    old = F.coalesce(F.from_json("metadata", kind), F.create_map().cast(kind))
+    both = F.map_zip_with(old, F.from_json(F.lit(json.dumps(new)), kind), lambda k, a, b: F.coalesce(b, a))
     return datasets.withColumn("metadata", F.when(F.col("id") == dataset_id, F.to_json(both)).otherwise(F.col("metadata")))
 
 
+def _of_operation(lower: bool) -> Column:
+    """Whether the metadata name an operation as the source; `lower`: in any case."""
+    hit = F.lit(False)
+    for key in ("source", "source_type"):
+        v = F.get_json_object("metadata", f"$.{key}")
+        hit |= F.coalesce((F.lower(v) if lower else v).isin("spatial_op", "operation"), F.lit(False))
+    return hit
+
+
 def is_result() -> Column:
-    """Whether a dataset is the result of an operation, by its metadata's source or type, or by its name."""
-    source, kind = F.lower(F.coalesce(F.get_json_object("metadata", "$.source"), F.lit(""))), F.lower(F.coalesce(F.get_json_object("metadata", "$.type"), F.lit("")))
+    """Whether a dataset is shown as a result: by its metadata's source, by a type together with a list of parents, or by its name."""
+    parents, kind = F.get_json_object("metadata", "$.parents"), F.get_json_object("metadata", "$.type")
+    derived = F.coalesce(kind.isNotNull() & ~kind.isin("", "0", "false", "null") & parents.startswith("["), F.lit(False))
     name = F.lower(F.coalesce("name", F.lit("")))
-    words = ("spatial_op", "operation", "analysis", "temporal", "result")
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | source.contains(w) | kind.contains(w)
-    return hit | name.startswith("result") | name.contains(" result")
+    return _of_operation(lower=True) | derived | name.contains(" result") | name.endswith("result")
+
+
+def is_leftover() -> Column:
+    """The wider rule by which a fresh start clears results: by source, by any parents, or by name."""
+    return _of_operation(lower=False) | F.get_json_object("metadata", "$.parents").isNotNull() | F.coalesce(F.col("name").ilike("% result%"), F.lit(False))
+
+
+def split_results(datasets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(data, results) of the catalogue."""
+    return datasets.where(~is_result()), datasets.where(is_result())
 
 
 def expired(datasets: DataFrame, hours: int, now: Column | None = None) -> DataFrame:
-    """Result datasets older than so many hours."""
+    """Datasets older than so many hours whose metadata name an operation as their source; none if hours isn't positive."""
+    if hours <= 0:
+        return datasets.limit(0)
     at = F.current_timestamp() if now is None else now
-    return datasets.where(is_result() & (F.col("created_at") < at - F.make_interval(hours=F.lit(hours))))
+    return datasets.where(_of_operation(lower=False) & (F.col("created_at") < at - F.make_interval(hours=F.lit(hours))))
 
 
 def without_expired(datasets: DataFrame, cells: DataFrame, hours: int, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -60,18 +82,46 @@ def health(datasets: DataFrame, cells: DataFrame, topology: DataFrame) -> DataFr
     return counts[0].crossJoin(F.broadcast(counts[1])).crossJoin(F.broadcast(counts[2]))
 
 
+def optimised(cells: DataFrame, name: str, key: str = "dggid", buckets: int = 16) -> DataFrame:
+    """A copy of cells (or of a topology) as table `name`, bucketed and sorted by `key`: joins on it need no exchange of the copy.
+
+    The files lie in the application's shared folder; an older table of that name is replaced.
+    """
+    spark = cells.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {identifier(name)}")
+    at = f"{work_dir(spark)}/{identifier(name)}-{uuid.uuid4().hex}"
+    cells.write.format("parquet").option("path", at).bucketBy(buckets, key).sortBy(key).saveAsTable(identifier(name))
+    return spark.table(identifier(name))
+
+
+def aggregated_copy(cells: DataFrame, parents: DataFrame, level: int, target: int, how: str = "mean", name: str | None = None) -> DataFrame:
+    """Cells one step up, per attribute over all times (tid 0), as an optimised copy; the target must be coarser than the level."""
+    if target >= level:
+        raise ValueError("the target must be coarser than the cells")
+    x = rollup_cells(cells.withColumn("tid", F.lit(0).cast("bigint")), parents, how)
+    return optimised(x, name or f"cells_L{target}_{how}")
+
+
 def profile(cells: DataFrame) -> DataFrame:
     """Per dataset: rows, distinct cells, attributes and times."""
     return cells.groupBy("dataset_id").agg(F.count("*").alias("rows"), F.countDistinct("dggid").alias("cells"), F.countDistinct("attr_key").alias("attributes"), F.countDistinct("tid").alias("times"))
 
 
-def uploads_of(uploads: DataFrame, owner: str, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A user's own uploads, newest first."""
-    x = uploads.where(F.col("created_by") == owner)
+def uploads_of(uploads: DataFrame, owner: str | None = None, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Uploads, of one user if given, newest first."""
+    x = uploads if owner is None else uploads.where(F.col("created_by") == owner)
     x = x if status is None else x.where(F.col("status") == status)
     return x.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
 
 
+def active_page(datasets: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the active datasets, newest first, each with how many there are in all as number_matched."""
+    active = datasets.where("status = 'active'")
+    total = active.agg(F.count("*").alias("number_matched"))
+    page = active.orderBy(F.col("created_at").desc_nulls_last(), "id").offset(offset).limit(min(max(limit, 1), 1000))
+    return page.crossJoin(F.broadcast(total))
+
+
 def explain_query(spark: SparkSession, sql: str) -> str:
     """The formatted plan of one SELECT; anything else is refused."""
     words = sql.lower().split()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROLLUPS = {"avg": F.avg, "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "stddev": F.stddev}
@@ -21,11 +21,41 @@ def rollup(values: DataFrame, parents: DataFrame, how: str = "avg", literal: boo
     return x.groupBy("parent_dggid").agg(ROLLUPS[how]("value_num").alias("value_num"), F.count("*").alias("child_count"))
 
 
+def rollup_cells(cells: DataFrame, parents: DataFrame, how: str = "mean") -> DataFrame:
+    """Cell objects one level up: one value per (parent, tid, attr_key), so that attributes and times stay apart. `mode` takes the most frequent text, of ties the smallest."""
+    up = parents.where("parent_dggid is not null").select("dggid", "parent_dggid").distinct()
+    key = [F.col("parent_dggid").alias("dggid"), "tid", "attr_key"]
+    return _cell_rollup(cells.join(up, "dggid").drop("dggid"), key, how)
+
+
+def cube_rollup(cells: DataFrame, parent, from_level: int, to_level: int, how: str = "mean") -> DataFrame:
+    """Cell objects of `from_level` at the coarser `to_level`, per (ancestor, tid, attr_key), in one aggregate from the finest cells. `parent` maps an id column to its parent's."""
+    if to_level >= from_level:
+        raise ValueError("to_level must be coarser than from_level")
+    c = F.col("dggid")
+    for _ in range(from_level - to_level):
+        c = parent(c)
+    x = cells.withColumn("dggid", c).where("dggid is not null")
+    return _cell_rollup(x, ["dggid", "tid", "attr_key"], how)
+
+
+def _cell_rollup(cells: DataFrame, key: list, how: str) -> DataFrame:
+    number = F.lit(None).cast("double").alias("value_num")
+    if how == "mode":
+        n = cells.where("value_text is not null").groupBy(*key, "value_text").agg(F.count("*").alias("n"))
+        best = F.min(F.struct((-F.col("n")).alias("n"), "value_text")).getField("value_text")
+        return n.groupBy("dggid", "tid", "attr_key").agg(best.alias("value_text")).select("dggid", "tid", "attr_key", "value_text", number)
+    if how not in ROLLUPS:
+        raise ValueError(f"unknown roll-up {how}")
+    x = cells.where("value_num is not null").groupBy(*key).agg(ROLLUPS[how]("value_num").cast("double").alias("value_num"))
+    return x.select("dggid", "tid", "attr_key", F.lit(None).cast("string").alias("value_text"), "value_num")
+
+
 def rollup_mode(labels: DataFrame, parents: DataFrame) -> DataFrame:
     """The most frequent label of each parent's children, of ties the smallest; `labels` has dggid and value_text."""
     n = labels.where("value_text is not null").join(parents.where("parent_dggid is not null").select("dggid", "parent_dggid").distinct(), "dggid").groupBy("parent_dggid", "value_text").agg(F.count("*").alias("n"))
-    best = Window.partitionBy("parent_dggid").orderBy(F.desc("n"), "value_text")
-    return n.withColumn("k", F.row_number().over(best)).where("k = 1").select("parent_dggid", "value_text", "n")
+    best = n.groupBy("parent_dggid").agg(F.min(F.struct((-F.col("n")).alias("n"), "value_text")).alias("m"))
+    return best.select("parent_dggid", "m.value_text", (-F.col("m.n")).alias("n"))
 
 
 def pyramid(values: DataFrame, parent, from_level: int, to_level: int = 1, how: str = "mean") -> DataFrame:
