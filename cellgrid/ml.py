@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,26 +14,68 @@ from .operators.automata import run
 SCENARIOS = {"normal": (25, 50, 10), "dry": (35, 20, 15), "extreme": (40, 10, 30)}
 
 
-def train(wide: DataFrame, features: list[str], target: str, kind: str = "linear_regression", test_share: float = 0.2):
-    """(model, metrics) of a regression of `target` on `features`; rows with nulls don't count. Rows are dealt to test by a hash of the cell."""
+KINDS = ("linear_regression", "random_forest", "gbt")
+
+
+def train(wide: DataFrame, features: list[str], target: str, kind: str = "linear_regression", test_share: float = 0.2, split_tid: int | None = None):
+    """(model, metrics) of a regression of `target` on `features`; rows with nulls don't count.
+
+    Rows are dealt to test by a hash of the cell, or, with `split_tid`, by time: all from that time on. Kinds that Spark has
+    no learner for (xgboost, lstm, cnn) are refused, not replaced by another.
+    """
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
+    if kind not in KINDS:
+        raise ValueError(f"{kind} is not supported; there are {', '.join(KINDS)}")
+    own = {"featuresCol": "features", "labelCol": target}
     makers = {
-        "linear_regression": lambda: LinearRegression(featuresCol="features", labelCol=target), "random_forest": lambda: RandomForestRegressor(featuresCol="features", labelCol=target, seed=7),
-        "xgboost": lambda: GBTRegressor(featuresCol="features", labelCol=target, seed=7, maxIter=20), "gbt": lambda: GBTRegressor(featuresCol="features", labelCol=target, seed=7, maxIter=20),
-    }
-    if kind not in makers:
-        raise ValueError(f"{kind} is not supported")
+        "linear_regression": lambda: LinearRegression(**own),
+        "random_forest": lambda: RandomForestRegressor(**own, seed=7),
+        "gbt": lambda: GBTRegressor(**own, seed=7, maxIter=20),
+    }
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(wide.dropna(subset=[*features, target]))
-    test = F.pmod(F.xxhash64("dggid"), F.lit(1000)) < int(1000 * test_share)
+    test = F.pmod(F.xxhash64("dggid"), F.lit(1000)) < int(1000 * test_share) if split_tid is None else F.col("tid") >= split_tid
     model = makers[kind]().fit(rows.where(~test))
     held = model.transform(rows.where(test))
     metrics = {m: RegressionEvaluator(labelCol=target, metricName=m).evaluate(held) for m in ("rmse", "mae", "r2")}
     return model, metrics
 
 
+MODELS = "model_id string, kind string, target string, features array<string>, metrics map<string,double>, path string, created_at timestamp"
+
+
+def save_model(model, spark: SparkSession, folder: str, kind: str, target: str, features: list[str], metrics: dict[str, float]) -> str:
+    """Saves a model under `folder` with a row that describes it; its id."""
+    model_id = str(uuid.uuid4())
+    model.save(f"{folder}/{model_id}")
+    row = (model_id, kind, target, features, {k: float(v) for k, v in metrics.items()}, f"{folder}/{model_id}", datetime.now(UTC).replace(tzinfo=None))
+    spark.createDataFrame([row], MODELS).write.mode("append").parquet(f"{folder}/models")
+    return model_id
+
+
+def list_models(spark: SparkSession, folder: str, kind: str | None = None, limit: int = 100) -> DataFrame:
+    """The saved models, newest first."""
+    x = spark.read.schema(MODELS).parquet(f"{folder}/models")
+    return (x if kind is None else x.where(F.col("kind") == kind)).orderBy(F.desc("created_at"), "model_id").limit(limit)
+
+
+def model_info(spark: SparkSession, folder: str, model_id: str) -> DataFrame:
+    """The row of one model; none if there is no such model."""
+    return spark.read.schema(MODELS).parquet(f"{folder}/models").where(F.col("model_id") == model_id)
+
+
+def load_model(spark: SparkSession, folder: str, model_id: str):
+    """A saved model."""
+    from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
+
+    row = model_info(spark, folder, model_id).first()
+    if row is None:
+        raise ValueError(f"no model {model_id}")
+    return {"linear_regression": LinearRegressionModel, "random_forest": RandomForestRegressionModel, "gbt": GBTRegressionModel}[row.kind].load(row.path)
+
+
 def predict(model, wide: DataFrame, features: list[str], key: str = "prediction") -> DataFrame:
     """Predictions as cell objects."""
     from pyspark.ml.feature import VectorAssembler

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,9 +62,34 @@ def run(state: DataFrame, topo: DataFrame, steps: int = 1, rule: str = "fire", m
     steps = min(max(steps, 1), 100)
     for k in range(1, steps + 1):
         after = step(state, topo, rule, mask)
-        if until_stable or k % 5 == 0:
+        if until_stable or (k % 5 == 0 and k < steps):
             after = cut(after)
-            if until_stable and not after.join(state.withColumnRenamed("state", "before"), "dggid").where("state != before").limit(1).count():
+            if until_stable and after.join(state.withColumnRenamed("state", "before"), "dggid").where("state != before").isEmpty():
                 return after
         state = after
     return state
+
+
+def history(state: DataFrame, topo: DataFrame, steps: int = 1, every: int = 1, rule: str = "fire", mask: DataFrame | None = None) -> DataFrame:
+    """The state at the start and after every so many of 1 to 100 steps, and at the end: (step, dggid, state)."""
+    steps, every = min(max(steps, 1), 100), max(every, 1)
+    state = cut(state.select("dggid", "state"))
+    saved = [state.select(F.lit(0).alias("step"), "dggid", "state")]
+    for k in range(0, steps, every):
+        n = min(every, steps - k)
+        state = cut(run(state, topo, n, rule, mask))
+        saved.append(state.select(F.lit(k + n).alias("step"), "dggid", "state"))
+    return reduce(DataFrame.unionByName, saved)
+
+
+#: The rules of a fire model that none are given for.
+DEFAULT_RULES = {
+    "burn_once": True, "full_burn_timesteps": 1, "min_burn_per_step": 1,
+    "spread_factors": {"wind_speed": 1.0, "wind_direction": 0.0, "slope": 0.0, "land_cover": 1.0, "temperature": 1.0},
+}
+
+
+def initialise(cells: DataFrame, attribute: str = "state", rules: dict | None = None, default: str = "unburned") -> tuple[DataFrame, dict]:
+    """(state, rules) of a model: each cell's last text of the attribute, or the default where it has none; given rules replace the default ones by name."""
+    last = F.max_by(F.when(F.col("attr_key") == attribute, F.col("value_text")), F.when((F.col("attr_key") == attribute) & F.col("value_text").isNotNull(), F.col("tid")))
+    return cells.groupBy("dggid").agg(F.coalesce(last, F.lit(default)).alias("state")), DEFAULT_RULES | (rules or {})

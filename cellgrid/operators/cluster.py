@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, running_total
+from ..session import cut, dropped, running_total
 from .neighborhood import pairs
 from .reach import hops
 
@@ -36,8 +36,10 @@ def least_labels(edges: DataFrame) -> DataFrame:
         low = labels.join(low, "dggid").select("dggid", "label", F.least("label", "low").alias("low"))
         jump = labels.select(F.col("dggid").alias("low"), F.col("label").alias("far"))
         after = cut(low.join(jump, "low").select("dggid", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("moved")))
+        dropped(labels)
         labels = after.select("dggid", "label")
-        if not after.where("moved").limit(1).count():
+        if after.where("moved").isEmpty():
+            dropped(edges)
             return labels
 
 

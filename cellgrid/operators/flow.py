@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, dropped
 from .neighborhood import pairs
 
 
@@ -20,19 +20,21 @@ def upstream_counts(direction: DataFrame) -> DataFrame:
     return direction.groupBy(F.col("target").alias("dggid")).agg(F.count("*").alias("upstream"))
 
 
-def flow_accumulation(elevation: DataFrame, direction: DataFrame, max_depth: int = 512) -> DataFrame:
+def flow_accumulation(elevation: DataFrame, direction: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Each cell itself and all cells upstream of it: (dggid, flow).
 
     The pointers form a forest. Pointers double in each round: with the counts over paths shorter than 2^k and the pointers
     over 2^k steps, one join gives both for k + 1; so the rounds grow with the logarithm of the longest path, and paths are
-    never listed. It ends when no pointer is left.
+    never listed. It ends when no pointer is left, or where paths reach `max_depth`, if given (the next power of two).
     """
     flow = cut(elevation.where("value_num is not null").select("dggid", F.lit(1).cast("bigint").alias("flow")))
     to = cut(direction.select("dggid", "target"))
     reach = 1
-    while reach < max_depth and to.limit(1).count():
+    while (max_depth is None or reach < max_depth) and not to.isEmpty():
         sent = to.join(flow, "dggid").groupBy(F.col("target").alias("dggid")).agg(F.sum("flow").alias("more"))
-        flow = cut(flow.join(sent, "dggid", "left").select("dggid", (F.col("flow") + F.coalesce("more", F.lit(0))).alias("flow")))
-        to = cut(to.join(to.select(F.col("dggid").alias("target"), F.col("target").alias("far")), "target").select("dggid", F.col("far").alias("target")))
+        more = cut(flow.join(sent, "dggid", "left").select("dggid", (F.col("flow") + F.coalesce("more", F.lit(0))).alias("flow")))
+        on = cut(to.join(to.select(F.col("dggid").alias("target"), F.col("target").alias("far")), "target").select("dggid", F.col("far").alias("target")))
+        dropped(flow, to)
+        flow, to = more, on
         reach *= 2
     return flow

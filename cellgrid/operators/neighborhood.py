@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .reach import hops
+
 
 def pairs(values: DataFrame, topo: DataFrame) -> DataFrame:
     """(dggid, v, neighbor, v_n) for each neighbour that has a value; a topology with repeated rows counts once."""
@@ -57,8 +59,9 @@ def lisa(values: DataFrame, topo: DataFrame, limit: int | None = None) -> DataFr
     x = d.groupBy("dggid", "v", "m", "sd").agg(F.sum(zn).alias("s"), F.count("*").alias("k")).withColumn("z", z).withColumn("lag", F.col("s") / F.col("k")).withColumn("i", F.col("z") * F.col("lag"))
     strong = F.abs("i") > 1.96
     quadrant = F.when((F.col("z") > 0) & (F.col("lag") > 0), "HH").when((F.col("z") < 0) & (F.col("lag") < 0), "LL").when((F.col("z") > 0) & (F.col("lag") < 0), "HL").when((F.col("z") < 0) & (F.col("lag") > 0), "LH").otherwise("NS")
-    x = x.select("dggid", F.col("v").alias("value"), F.round("z", 4).alias("z"), F.round("i", 4).alias("local_i"), F.round("lag", 4).alias("lag"), F.col("k").alias("neighbor_count"), F.when(strong, quadrant).otherwise("NS").alias("cluster_type"), strong.alias("significant"))
-    return x if limit is None else x.orderBy(F.abs("local_i").desc(), "dggid").limit(min(max(limit, 1), 50_000))
+    if limit is not None:  # by the statistic itself, before rounding
+        x = x.orderBy(F.abs("i").desc(), "dggid").limit(min(max(limit, 1), 50_000))
+    return x.select("dggid", F.col("v").alias("value"), F.round("z", 4).alias("z"), F.round("i", 4).alias("local_i"), F.round("lag", 4).alias("lag"), F.col("k").alias("neighbor_count"), F.when(strong, quadrant).otherwise("NS").alias("cluster_type"), strong.alias("significant"))
 
 
 def hotspots(values: DataFrame, topo: DataFrame, include_self: bool = False, limit: int | None = None) -> DataFrame:
@@ -70,8 +73,9 @@ def hotspots(values: DataFrame, topo: DataFrame, include_self: bool = False, lim
     x = _with_stats(p.groupBy("dggid", "v").agg(F.sum("v_n").alias("local_sum"), F.count("*").alias("k")), values)
     spread = F.col("sd") * F.sqrt((F.col("n") * F.col("k") - F.col("k") * F.col("k")) / F.nullif(F.col("n") - 1, F.lit(0)))
     x = x.withColumn("gi", F.when((F.col("sd") > 0) & (F.col("n") > 1) & (spread > 0), (F.col("local_sum") - F.col("m") * F.col("k")) / F.nullif(spread, F.lit(0.0))).otherwise(0.0))
-    x = x.select("dggid", F.col("v").alias("value"), "local_sum", F.col("k").alias("neighbor_count"), F.round("gi", 4).alias("gi_z"), F.when(F.col("gi") > 0, "hotspot").otherwise("coldspot").alias("type"), _significance(F.col("gi")).alias("significance"))
-    return x if limit is None else x.orderBy(F.desc("gi_z"), "dggid").limit(limit)
+    if limit is not None:
+        x = x.orderBy(F.desc("gi"), "dggid").limit(max(limit, 1))
+    return x.select("dggid", F.col("v").alias("value"), "local_sum", F.col("k").alias("neighbor_count"), F.round("gi", 4).alias("gi_z"), F.when(F.col("gi") > 0, "hotspot").otherwise("coldspot").alias("type"), _significance(F.col("gi")).alias("significance"))
 
 
 def focal_mean(values: DataFrame, topo: DataFrame) -> DataFrame:
@@ -100,11 +104,34 @@ def contour(values: DataFrame, topo: DataFrame, levels: int = 10) -> DataFrame:
     return x.where("v >= threshold and v_n < threshold").select("dggid", "level", "threshold", F.col("v").alias("value"))
 
 
-def change(before: DataFrame, after: DataFrame, threshold: float = 0.0, keep_stable: bool = False) -> DataFrame:
-    """Change per cell between two sets of values: before, after, abs_change, pct_change, change_type."""
+def change(before: DataFrame, after: DataFrame, threshold: float = 0.0, keep_stable: bool = False, limit: int | None = None) -> DataFrame:
+    """Change per cell between two sets of values: before, after, abs_change, pct_change, change_type; `limit` keeps the greatest changes."""
     a, b = before.select("dggid", F.col("value_num").alias("before")), after.select("dggid", F.col("value_num").alias("after"))
     x = a.join(b, "dggid", "full_outer").withColumn("d", F.coalesce("after", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)))
     kind = F.when(F.col("before").isNull(), "appeared").when(F.col("after").isNull(), "disappeared").when(F.abs("d") <= threshold, "stable").when(F.col("d") > 0, "gain").otherwise("loss")
     pct = F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), (F.col("after") - F.col("before")) / F.nullif(F.abs("before"), F.lit(0.0)) * 100)
     x = x.select("dggid", "before", "after", F.col("d").alias("abs_change"), pct.alias("pct_change"), kind.alias("change_type"))
-    return x if keep_stable else x.where("change_type != 'stable'")
+    x = x if keep_stable else x.where("change_type != 'stable'")
+    return x if limit is None else x.orderBy(F.abs("abs_change").desc(), "dggid").limit(max(limit, 1))
+
+
+def spatial_regression(values: DataFrame, topo: DataFrame) -> DataFrame:
+    """The line through (mean of the neighbours, value) over all cells: n, slope, intercept and r2, in one row."""
+    x = pairs(values, topo).groupBy("dggid", "v").agg(F.avg("v_n").alias("lag"))
+    return x.agg(F.count("*").alias("n"), F.regr_slope("v", "lag").alias("slope"), F.regr_intercept("v", "lag").alias("intercept"), F.regr_r2("v", "lag").alias("r2"))
+
+
+def covariogram(values: DataFrame, topo: DataFrame, rings: int = 3) -> DataFrame:
+    """Per distance, the number of ordered pairs of cells and their mean product of deviations: only pairs within `rings` steps are formed."""
+    v = values.where("value_num is not null").select("dggid", F.col("value_num").alias("v"))
+    near = hops(v.select("dggid", F.col("dggid").alias("source")), topo, min(max(rings, 1), 10), source="source")
+    x = near.join(v, "dggid").join(v.select(F.col("dggid").alias("source"), F.col("v").alias("v_n")), "source")
+    x = _with_stats(x, values)
+    return x.groupBy(F.col("distance").cast("bigint").alias("distance")).agg(F.count("*").alias("pairs"), F.avg((F.col("v") - F.col("m")) * (F.col("v_n") - F.col("m"))).alias("covariance"))
+
+
+def junctions(zones: DataFrame, topo: DataFrame, least: int = 3) -> DataFrame:
+    """Cells where at least so many zones meet: their own and those of their neighbours. `zones` is (dggid, zone_id)."""
+    z = zones.select("dggid", "zone_id").distinct()
+    near = topo.select("dggid", "neighbor_dggid").distinct().join(z.withColumnRenamed("dggid", "neighbor_dggid"), "neighbor_dggid").join(z.select("dggid").distinct(), "dggid", "left_semi").select("dggid", "zone_id")
+    return near.unionByName(z).groupBy("dggid").agg(F.countDistinct("zone_id").alias("zones")).where(F.col("zones") >= least)

@@ -1,16 +1,18 @@
 """Operators that spread over the topology step by step.
 
 Each step is one join of the state with the topology and one aggregate that keeps the best entry per key; a row from each
-cell to itself carries the state along, so a step names the state once and k steps are one plan. Longer walks cut the plan
-by a written table and stop when nothing changes.
+cell to itself carries the state along, so a step names the state once and k steps are one plan. Walks of unknown length
+write what each step finds and expand only that.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, dropped
 
 #: Steps in one plan before it is cut.
 PLAN_STEPS = 6
@@ -40,9 +42,19 @@ def hops(seeds: DataFrame, topo: DataFrame, rings: int, mask: DataFrame | None =
     return state
 
 
-def buffer(seeds: DataFrame, topo: DataFrame, rings: int = 1) -> DataFrame:
-    """Cells within 1 to 10 rings of the seeds, seeds included."""
-    return hops(seeds, topo, min(max(rings, 1), 10)).select("dggid")
+def buffer(seeds: DataFrame, topo: DataFrame, rings: int = 1, max_cells: int | None = None) -> DataFrame:
+    """Cells within 1 to 10 rings of the seeds, seeds included; with `max_cells` the nearest ones up to that number, by distance and id."""
+    x = hops(seeds, topo, min(max(rings, 1), 10))
+    return (x if max_cells is None else x.orderBy("distance", "dggid").limit(max_cells)).select("dggid")
+
+
+def shrink(cells: DataFrame, topo: DataFrame, rings: int = 1) -> DataFrame:
+    """A negative buffer: the cells of a set from which `rings` steps never leave it. A cell with fewer than six neighbours in the set is at its edge."""
+    from .neighborhood import boundary_cells
+
+    ids, edge = cells.select("dggid").distinct(), boundary_cells(cells, topo).select("dggid")
+    gone = edge if rings <= 1 else hops(edge, topo, min(rings, 10) - 1, mask=ids).select("dggid")
+    return ids.join(gone, "dggid", "left_anti")
 
 
 def buffer_weighted(seeds: DataFrame, topo: DataFrame, rings: int = 1) -> DataFrame:
@@ -99,22 +111,31 @@ def kernel_density(values: DataFrame, topo: DataFrame, bandwidth: int = 3, kerne
 def voronoi(seeds: DataFrame, topo: DataFrame, radius: int = 50) -> DataFrame:
     """The nearest seed of every cell within `radius` steps, of ties the smallest id: (dggid, seed, distance).
 
-    The state keeps one (distance, seed) per cell, so it never grows with the number of seeds.
+    Only the cells of the last step are expanded, and each step's new cells are written: with neighbours that are mutual
+    they can only meet cells of the two steps before, so a step costs its frontier, not what was reached before. It ends
+    when a step finds nothing.
     """
     radius = min(max(radius, 1), 100)
-    near = topo.select("dggid", "neighbor_dggid").distinct().groupBy("dggid").agg(F.collect_list(F.struct(F.col("neighbor_dggid").alias("to"), F.lit(1).alias("step"))).alias("near"))
-    state = seeds.select("dggid").distinct().select("dggid", F.struct(F.lit(0).alias("distance"), F.col("dggid").alias("seed")).alias("best"))
-    loops, size = F.array(F.struct(F.col("dggid").alias("to"), F.lit(0).alias("step"))), None
+    edges = cut(topo.select("dggid", "neighbor_dggid").distinct())
+    levels = [cut(seeds.select("dggid").distinct().select("dggid", F.col("dggid").alias("seed"), F.lit(0).cast("bigint").alias("distance")))]
     for k in range(1, radius + 1):
-        x = state.join(near, "dggid", "left").select("best", F.explode(F.concat(loops, F.coalesce("near", F.array().cast("array<struct<to:string,step:int>>")))).alias("e"))
-        state = x.groupBy(F.col("e.to").alias("dggid")).agg(F.min(F.struct((F.col("best.distance") + F.col("e.step")).alias("distance"), F.col("best.seed").alias("seed"))).alias("best"))
-        if k % PLAN_STEPS == 0 and k < radius:
-            state = cut(state)
-            n = state.count()
-            if n == size:  # no new cell in so many steps: distances are final
-                break
-            size = n
-    return state.select("dggid", "best.seed", F.col("best.distance").cast("bigint").alias("distance"))
+        near = levels[-1].join(edges, "dggid").groupBy(F.col("neighbor_dggid").alias("dggid")).agg(F.min("seed").alias("seed"))
+        met = levels[-1].select("dggid") if k == 1 else levels[-1].select("dggid").union(levels[-2].select("dggid"))
+        new = cut(near.join(met, "dggid", "left_anti").withColumn("distance", F.lit(k).cast("bigint")))
+        if new.isEmpty():
+            break
+        levels.append(new)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def zone_summary(zones: DataFrame) -> DataFrame:
+    """Per seed, how many cells it is nearest to and their mean distance."""
+    return zones.groupBy(F.col("seed").alias("zone_id")).agg(F.count("*").alias("cell_count"), F.avg("distance").alias("avg_distance"))
+
+
+def visibility_summary(seen: DataFrame) -> DataFrame:
+    """How many cells of a viewshed are visible and hidden."""
+    return seen.groupBy(F.when(F.col("visible"), "visible").otherwise("hidden").alias("visibility")).agg(F.count("*").alias("cells"))
 
 
 def viewshed(elevation: DataFrame, topo: DataFrame, observer: str, height: float = 1.8, radius: int = 20) -> DataFrame:
@@ -155,8 +176,9 @@ def nearest(sources: DataFrame, targets: DataFrame, topo: DataFrame, radius: int
 def shortest_path(topo: DataFrame, start: str, end: str, cost: DataFrame | None = None, max_hops: int = 100) -> DataFrame:
     """The cheapest path as one row: found, total_cost, hops, path. A path costs the sum over the cells it enters (1 where none is known).
 
-    Synchronous relaxation: after round k each cell holds the cheapest path of at most k steps, ties by fewer hops and then
-    by the path itself. It stops when nothing changes.
+    Synchronous relaxation: after round k each cell holds its least (cost, hops, cell before) by at most k steps; only cells
+    that a round improved are expanded in the next, and none that costs as much as the best way to `end` so far. Costs must
+    not be negative. The path itself is walked back from `end` along the cells before, doubling the stretch in every round.
     """
     spark, max_hops = topo.sparkSession, min(max(max_hops, 1), 500)
     edges = topo.select("dggid", "neighbor_dggid").distinct()
@@ -164,19 +186,33 @@ def shortest_path(topo: DataFrame, start: str, end: str, cost: DataFrame | None
         edges = edges.join(cost.select(F.col("dggid").alias("neighbor_dggid"), F.col("value_num").alias("c")), "neighbor_dggid", "left")
     else:
         edges = edges.withColumn("c", F.lit(None).cast("double"))
-    near = cut(edges.groupBy("dggid").agg(F.collect_list(F.struct(F.col("neighbor_dggid").alias("to"), F.coalesce("c", F.lit(1.0)).alias("c"))).alias("near")))
-    state = spark.range(1).select(F.lit(start).alias("dggid"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array(F.lit(start)).alias("path")).alias("best"))
-    last = None
-    for k in range(1, max_hops + 1):
-        own = F.array(F.struct(F.col("dggid").alias("to"), F.lit(None).cast("double").alias("c")))
-        x = state.join(near, "dggid", "left").select("best", F.explode(F.concat(own, F.coalesce("near", F.array().cast("array<struct<to:string,c:double>>")))).alias("e"))
-        step = F.when(F.col("e.c").isNull(), F.col("best")).otherwise(F.struct((F.col("best.cost") + F.col("e.c")).alias("cost"), (F.col("best.hops") + 1).alias("hops"), F.concat("best.path", F.array("e.to")).alias("path")))
-        state = x.groupBy(F.col("e.to").alias("dggid")).agg(F.min(step).alias("best"))
-        if k % PLAN_STEPS == 0 and k < max_hops:
-            state = cut(state)
-            now = state.agg(F.count("*"), F.sum("best.cost"), F.sum("best.hops")).first()
-            if now == last:
-                break
-            last = now
-    hit = state.where(F.col("dggid") == end).select("best")
-    return spark.range(1).join(hit, F.lit(True), "left").select(F.col("best").isNotNull().alias("found"), F.col("best.cost").alias("total_cost"), F.col("best.hops").cast("bigint").alias("hops"), F.col("best.path").alias("path"))
+    edges = cut(edges.select("dggid", F.col("neighbor_dggid").alias("to"), F.coalesce("c", F.lit(1.0)).alias("c")))
+    best = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("before"))
+    state = cut(spark.range(1).select(F.lit(start).alias("dggid"), best.alias("best"), F.lit(True).alias("new")))
+    bound = None
+    for _ in range(max_hops):
+        front = state.where("new")
+        if bound is not None:
+            front = front.where(F.col("best.cost") < bound)
+        step = F.struct((F.col("best.cost") + F.col("c")).alias("cost"), (F.col("best.hops") + 1).alias("hops"), F.col("dggid").alias("before"))
+        found = front.join(edges, "dggid").select(F.col("to").alias("dggid"), step.alias("best"), F.lit(True).alias("new"))
+        both = state.withColumn("new", F.lit(False)).unionByName(found)
+        after = cut(both.groupBy("dggid").agg(F.min(F.struct("best", "new")).alias("m")).select("dggid", "m.best", "m.new"))
+        dropped(state)
+        state = after
+        now = state.agg(F.max("new").alias("new"), F.min(F.when(F.col("dggid") == end, F.col("best.cost"))).alias("bound")).first()
+        bound = now.bound
+        if not now.new:
+            break
+    way = state.select("dggid", F.col("best.before").alias("before"))
+    line, stretch, far = cut(spark.range(1).select(F.lit(end).alias("dggid"), F.lit(0).alias("back"))), cut(way.where("before is not null")), 1
+    while far <= max_hops:
+        ahead = line.join(stretch, "dggid").select(F.col("before").alias("dggid"), (F.col("back") + far).alias("back"))
+        longer, far = cut(line.unionByName(ahead)), 2 * far
+        if far <= max_hops:
+            stretch = cut(stretch.join(stretch.select(F.col("dggid").alias("before"), F.col("before").alias("_far")), "before").select("dggid", F.col("_far").alias("before")))
+        line = longer
+    hit = state.where(F.col("dggid") == end).select("best.cost", "best.hops")
+    path = line.agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "dggid"))).alias("p")).select(F.col("p.dggid").alias("path"))  # at most max_hops cells
+    x = spark.range(1).join(hit, F.lit(True), "left").crossJoin(path)
+    return x.select(F.col("cost").isNotNull().alias("found"), F.col("cost").alias("total_cost"), F.col("hops").cast("bigint").alias("hops"), F.when(F.col("cost").isNotNull(), F.col("path")).alias("path"))

@@ -25,8 +25,15 @@ def bucket(ts: Column, level: str) -> Column:
 
 
 def snapshot(cells: DataFrame, tid: int) -> DataFrame:
-    """Each cell's and attribute's last value at or before `tid`."""
-    return cells.where(F.col("tid") <= tid).groupBy("dggid", "attr_key").agg(F.max("tid").alias("tid"), F.max_by("value_num", "tid").alias("value_num"))
+    """Each cell's and attribute's last cell object at or before `tid`, in all the slots of a value that `cells` has."""
+    slots = [v for v in ("value_num", "value_text", "value_json") if v in cells.columns]
+    last = cells.where(F.col("tid") <= tid).groupBy("dggid", "attr_key").agg(F.max_by(F.struct("tid", *slots), "tid").alias("m"))
+    return last.select("dggid", "attr_key", "m.tid", *[f"m.{v}" for v in slots])
+
+
+def next_tid(tid: int, most: int) -> int:
+    """The time that a player shows after `tid`: after the last one it starts again at 0."""
+    return (tid + 1) % (most + 1)
 
 
 def time_range(cells: DataFrame, start: int, end: int, keys: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -59,14 +66,18 @@ def temporal_difference(a: DataFrame, b: DataFrame, tid_a: int, tid_b: int) -> D
     return z.select("dggid", "attr_key", (F.col("vb") - F.col("va")).alias("diff"), F.when(F.col("va").isNull(), "after only").when(F.col("vb").isNull(), "before only").otherwise("both").alias("sides"))
 
 
-def timeseries(cells: DataFrame, dggid: str, key: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """One cell's values of an attribute in time order."""
+def timeseries(cells: DataFrame, dggid: str, key: str, start: int | None = None, end: int | None = None, labels: dict[int, str] | None = None) -> DataFrame:
+    """One cell's values of an attribute in time order, with a label of each time: that of `labels`, or t and the number."""
     x = cells.where((F.col("dggid") == dggid) & (F.col("attr_key") == key))
     if start is not None:
         x = x.where(F.col("tid") >= start)
     if end is not None:
         x = x.where(F.col("tid") <= end)
-    return x.select("tid", "value_num").orderBy("tid")
+    names = F.create_map(*[F.lit(v) for kv in (labels or {}).items() for v in kv]) if labels else None
+    label = F.concat(F.lit("t"), F.col("tid").cast("string"))
+    if names is not None:
+        label = F.coalesce(F.try_element_at(names, F.col("tid").cast("int")), label)
+    return x.select("tid", label.alias("label"), "value_num").orderBy("tid")
 
 
 def moving_average(cells: DataFrame, before: int = 3, after: int = 3) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import running_total
 
 STATISTICS = {
-    "sum": lambda: F.sum("value_num"), "mean": lambda: F.avg("value_num"), "min": lambda: F.min("value_num"), "max": lambda: F.max("value_num"), "median": lambda: F.percentile("value_num", F.lit(0.5)),
-    "stddev": lambda: F.stddev("value_num"), "variance": lambda: F.variance("value_num"), "count": lambda: F.count("value_num"),
+    "sum": lambda: F.sum("value_num"), "mean": lambda: F.avg("value_num"), "min": lambda: F.min("value_num"), "max": lambda: F.max("value_num"),
+    "median": None, "stddev": lambda: F.stddev("value_num"), "variance": lambda: F.variance("value_num"), "count": lambda: F.count("value_num"),
 }
 
 
@@ -24,20 +24,42 @@ def zonal_statistics(cells: DataFrame, by: list[str], operations: list[str] | No
     unknown = set(operations or ()) - set(STATISTICS)
     if unknown:
         raise ValueError(f"unknown statistics {sorted(unknown)}")
-    return masked(cells, mask).groupBy(*by).agg(*[STATISTICS[o]().alias(o) for o in operations or STATISTICS])
+    wanted = list(operations or STATISTICS)
+    x = masked(cells, mask)
+    plain = x.groupBy(*by).agg(F.count("*").alias("_rows"), *[STATISTICS[o]().alias(o) for o in wanted if o != "median"])
+    if "median" in wanted:
+        middle = percentiles(x, by, (50,)).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("p50").alias("median"))
+        same = F.lit(True)
+        for c in by:
+            same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        plain = plain.join(middle, same, "left")
+    return plain.select(*by, *wanted)
 
 
 def percentiles(cells: DataFrame, by: list[str], at: tuple[int, ...] = (25, 50, 75, 90), mask: DataFrame | None = None) -> DataFrame:
-    """Exact interpolated percentiles, all from one pass."""
-    p = masked(cells, mask).groupBy(*by).agg(F.percentile("value_num", F.array(*[F.lit(a / 100) for a in at])).alias("p"))
-    return p.select(*by, *[F.col("p")[k].alias(f"p{a}") for k, a in enumerate(at)])
-
-
-def mode(cells: DataFrame, by: list[str], value: str = "value_num", mask: DataFrame | None = None) -> DataFrame:
-    """The most frequent value, of ties the smallest; nulls don't count."""
-    n = masked(cells, mask).where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    best = Window.partitionBy(*by).orderBy(F.desc("n"), value)
-    return n.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+    """Exact interpolated percentiles. Values are counted first and ranked by running totals over ranges, so no task holds a group's values; only the two values around each percentile are picked."""
+    n = masked(cells, mask).where("value_num is not null").groupBy(*by, "value_num").agg(F.count("*").alias("n"))
+    x = running_total(n, "value_num", "n", "upto", tuple(by))
+    total = x.groupBy(*by).agg(F.sum("n").alias("_n")).select(*[F.col(c).alias(f"_of_{c}") for c in by], "_n")
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    x = x.join(total, same)
+    place = lambda a: (F.col("_n") - 1) * (a / 100)
+    holds = lambda rank: F.max(F.when((rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto")), F.col("value_num")))
+    parts = [c for a in at for c in (holds(F.floor(place(a))).alias(f"lo{a}"), holds(F.ceil(place(a))).alias(f"hi{a}"))]
+    p = x.groupBy(*by).agg(F.max("_n").alias("_n"), *parts)
+    between = lambda a: F.col(f"lo{a}") + (F.col(f"hi{a}") - F.col(f"lo{a}")) * (place(a) - F.floor(place(a)))
+    return p.select(*by, *[between(a).alias(f"p{a}") for a in at])
+
+
+def mode(cells: DataFrame, by: list[str], value: str | tuple[str, ...] = "value_num", mask: DataFrame | None = None) -> DataFrame:
+    """The most frequent value (or tuple of columns), of ties the smallest; where all columns are null a row doesn't count."""
+    columns = [value] if isinstance(value, str) else list(value)
+    n = masked(cells, mask).dropna("all", subset=columns)
+    n = n.groupBy(*by, *columns).agg(F.count("*").alias("n"))
+    best = n.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), *columns)).alias("m"))
+    return best.select(*by, *[F.col(f"m.{c}").alias(c) for c in columns], (-F.col("m.n")).alias("n"))
 
 
 def histogram(cells: DataFrame, by: list[str], bins: int = 10, closed_last: bool = False, mask: DataFrame | None = None) -> DataFrame:

@@ -46,13 +46,21 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """df with the sum of `value` over all rows up to each one by `order` (distinct values), without one task for all rows.
+def running_total(df: DataFrame, order: str, value: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with the sum of `value` over all rows of its group `by` up to each one by `order` (distinct values), without one task for a whole group.
 
-    Rows are dealt by ranges and written, so that the ranges stay what they are; each range is summed, the few sums are
-    added up in order, and each range adds its own start.
+    Rows are dealt by ranges and written, so that the ranges stay what they are; each range is summed, the few sums of a
+    group are added up in order, and each range adds its own start. Null groups are groups.
     """
-    x = cut(df.repartitionByRange(F.col(order).asc_nulls_first()).withColumn("_part", F.spark_partition_id()))
-    parts = x.groupBy("_part").agg(F.sum(value).alias("_sum")).withColumn("_start", F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).drop("_sum")
-    upto = Window.partitionBy("_part").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return x.join(parts, "_part").withColumn(name, F.col("_start") + F.sum(value).over(upto)).drop("_part", "_start")
+    ranges = [F.col(c).asc_nulls_first() for c in (*by, order)]
+    x = cut(df.repartitionByRange(*ranges).withColumn("_part", F.spark_partition_id()))
+    group = [F.col(c) for c in by] or [F.lit(0)]
+    before = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_sum")
+    sums = x.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    parts = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at"), before.alias("_start"))
+    same = F.col("_part") == F.col("_at")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    in_part = Window.partitionBy(*by, "_part").orderBy(F.col(order).asc_nulls_first())
+    upto = F.sum(value).over(in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return x.withColumn("_upto", upto).join(parts, same).select(*df.columns, (F.col("_start") + F.col("_upto")).alias(name))
