@@ -74,3 +74,41 @@ def check_choice(value: str, choices: tuple[str, ...]) -> str:
     if value not in choices:
         raise ValueError(f"{value} is not one of {', '.join(choices)}")
     return value
+
+
+def check_limit(value: int, most: int, least: int = 1) -> int:
+    if not least <= value <= most:
+        raise ValueError(f"{value} is not from {least} to {most}")
+    return value
+
+
+def check_ids(values: list[str], most: int = 3000) -> list[str]:
+    """A list of cell ids, not empty and not too long."""
+    check_limit(len(values), most)
+    return [check_id(v) for v in values]
+
+
+def check_name(value: str, most: int = 255) -> str:
+    """A name: trimmed, without control characters, not empty and not too long."""
+    value = re.sub(r"[\x00-\x1f\x7f]", "", value).strip()
+    check_limit(len(value), most)
+    return value
+
+
+def check_key(value: str) -> str:
+    """An attribute's key: letters, digits, underscores, hyphens and dots, at most 100."""
+    if not re.fullmatch(r"[A-Za-z0-9_.-]{1,100}", value):
+        raise ValueError("not an attribute key")
+    return value
+
+
+def check_range(low: float | None, high: float | None) -> tuple[float | None, float | None]:
+    """A range with one bound at least, in order."""
+    if (low is None and high is None) or (low is not None and high is not None and low > high):
+        raise ValueError("not a range")
+    return low, high
+
+
+def degrees_ring(ring: Column) -> Column:
+    """A ring given in radians (array of struct(lon, lat)) in degrees, closed; null if it is degenerate."""
+    return closed_ring(F.transform(ring, lambda p: F.struct(F.degrees(p["lon"]).alias("lon"), F.degrees(p["lat"]).alias("lat"))))

@@ -128,8 +128,16 @@ class HexLattice:
         return z if limit is None else z.orderBy("dggid").limit(limit)
 
     def level_for_viewport(self, spark: SparkSession, level: int, box: tuple[float, float, float, float], most: int) -> int:
-        """The finest level up to `level` at which the box holds at most `most` cells."""
-        while level > 1 and self.list_zones(spark, level, *box).limit(most + 1).count() > most:
+        """The finest level up to `level` at which the box holds at most `most` cells (1 if there is none).
+
+        A cell's area gives the number closely: levels far above `most` are passed over without a job, the others are counted.
+        """
+        w, s, e, n = box
+        area = (e - w) * (math.sin(math.radians(n)) - math.sin(math.radians(s))) * RADIUS_DEG
+        while level > 1:
+            about = area / (1.5 * math.sqrt(3) * self.size**2 * 3.0**-level)
+            if about <= 4 * most + 100 and self.list_zones(spark, level, *box).limit(most + 1).count() <= most:
+                break
             level -= 1
         return level
 

@@ -1,12 +1,16 @@
-"""Rasters as pixel tables (row, col, value), sampled at cell centres."""
+"""Rasters as pixel tables (row, col, value), sampled at cell centres; the rule for loading again, and demo layers."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..grid import HexLattice
+
 
 @dataclass(frozen=True)
 class Raster:
@@ -19,6 +23,40 @@ class Raster:
     rows: int
     cols: int
     nodata: float | None = None
+    crs: str = "EPSG:4326"
+
+    def box(self) -> tuple[float, float, float, float]:
+        """West, south, east and north in degrees."""
+        e, s = self.west + self.cols * self.pixel_width, self.north - self.rows * self.pixel_height
+        if self.crs in DEGREES:
+            return self.west, s, e, self.north
+        turn = lambda x, y: (math.degrees(x / EARTH), math.degrees(2 * math.atan(math.exp(y / EARTH)) - math.pi / 2))
+        return *turn(self.west, s), *turn(e, self.north)
+
+
+#: Reference systems in degrees, the web's Mercator, and its radius in metres.
+DEGREES, MERCATOR, EARTH = ("EPSG:4326", "OGC:CRS84"), "EPSG:3857", 6378137.0
+
+
+def projected(lon: Column, lat: Column, crs: str) -> tuple[Column, Column]:
+    """A point's coordinates in a raster's reference system."""
+    if crs in DEGREES:
+        return lon, lat
+    if crs != MERCATOR:
+        raise ValueError(f"{crs} is not supported")
+    return F.radians(lon) * EARTH, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * EARTH
+
+
+def level_range(least: int | None = None, most: int | None = None, default: tuple[int, int] = (1, 10)) -> range:
+    """The levels to load: those from one bound to the other, the one that is given, or the default ones."""
+    a = least if least is not None else most if most is not None else default[0]
+    b = most if most is not None else least if least is not None else default[1]
+    return range(min(a, b), max(a, b) + 1)
+
+
+def zones_of_levels(spark: SparkSession, grid: HexLattice, levels: range, box: tuple[float, float, float, float], most: int | None = None) -> DataFrame:
+    """The cells of all levels whose centre is in a box: (dggid, lon, lat), at most `most` of each level in id order."""
+    return reduce(DataFrame.unionByName, [grid.list_zones(spark, k, *box, most) for k in levels])
 
 
 def sample(pixels: DataFrame, raster: Raster, zones: DataFrame, key: str, tid: int = 0, clamp: bool = False, least: float | None = None) -> DataFrame:
@@ -26,8 +64,9 @@ def sample(pixels: DataFrame, raster: Raster, zones: DataFrame, key: str, tid: i
 
     Centres outside go, or take the edge's pixel with `clamp`. No data, values that aren't finite and those below `least` go.
     """
-    col = F.floor((F.col("lon") - raster.west) / raster.pixel_width).cast("bigint")
-    row = F.floor((F.lit(raster.north) - F.col("lat")) / raster.pixel_height).cast("bigint")
+    x, y = projected(F.col("lon"), F.col("lat"), raster.crs)
+    col = F.floor((x - raster.west) / raster.pixel_width).cast("bigint")
+    row = F.floor((F.lit(raster.north) - y) / raster.pixel_height).cast("bigint")
     if clamp:
         col, row = F.greatest(F.lit(0), F.least(F.lit(raster.cols - 1), col)), F.greatest(F.lit(0), F.least(F.lit(raster.rows - 1), row))
     v = pixels.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("value").cast("double").alias("value_num"))
@@ -45,14 +84,71 @@ def to_ingest(manifest: DataFrame, datasets: DataFrame) -> DataFrame:
     return manifest.join(have, ["name", "min_lvl", "max_lvl"], "left_anti")
 
 
-def synthetic(zones: DataFrame, key: str, classes: dict[str, int] | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """A demo layer on the zones: weighted classes, or values between two bounds, drawn from a hash of the id so that runs agree."""
-    u = F.pmod(F.xxhash64(F.lit(key), "dggid"), F.lit(1_000_000)) / 1_000_000
-    x = zones.select("dggid", F.lit(0).cast("bigint").alias("tid"), F.lit(key).alias("attr_key"), u.alias("u"))
-    if not classes:
-        return x.select("dggid", "tid", "attr_key", (low + (high - low) * F.col("u")).alias("value_num"))
-    total, upto, label = sum(classes.values()), 0, F.lit(None).cast("string")
-    for name, weight in classes.items():
-        upto += weight
-        label = F.coalesce(label, F.when(F.col("u") < upto / total, F.lit(name)))
-    return x.select("dggid", "tid", "attr_key", label.alias("value_text"))
+def _draw(key: str, *salt: str) -> Column:
+    """A number from 0 to 1 by a hash of the cell's id, so that runs agree."""
+    return F.pmod(F.xxhash64(F.lit(key), *map(F.lit, salt), "dggid"), F.lit(1_000_000)) / 1_000_000
+
+
+def synthetic(zones: DataFrame, key: str, classes: dict[str, int] | None = None, low: float = 0.0, high: float = 1.0, pattern: str | None = None) -> DataFrame:
+    """A demo layer on the zones: weighted classes, or values between two bounds, evenly or by a pattern.
+
+    Patterns: temperature falls from the middle of the zones' latitudes to both ends; ocean_depth and elevation are spread
+    normally, with some trenches and shallows, mountains and lowlands.
+    """
+    tid, attr, u = F.lit(0).cast("bigint").alias("tid"), F.lit(key).alias("attr_key"), _draw(key)
+    if classes:
+        total, upto, label = sum(classes.values()), 0, F.lit(None).cast("string")
+        for name, weight in classes.items():
+            upto += weight
+            label = F.coalesce(label, F.when(u < upto / total, F.lit(name)))
+        return zones.select("dggid", tid, attr, label.alias("value_text"))
+    between = lambda a, b, *salt: F.lit(a) + (b - a) * _draw(key, *salt)
+    normal = F.sqrt(-2 * F.log(_draw(key, "r") + 1e-6)) * F.cos(2 * math.pi * _draw(key, "t"))
+    kind = _draw(key, "kind")
+    if pattern == "temperature":
+        ends = zones.agg(F.min("lat").alias("_s"), F.max("lat").alias("_n"))
+        zones = zones.crossJoin(F.broadcast(ends))
+        middle = 1 - F.abs(2 * F.coalesce((F.col("lat") - F.col("_s")) / F.nullif(F.col("_n") - F.col("_s"), F.lit(0.0)), F.lit(0.5)) - 1)
+        v, digits = F.lit(low) + (high - low) * middle + between(-5.0, 5.0, "noise"), 1
+    elif pattern == "ocean_depth":
+        v, digits = F.when(kind < 0.05, between(-8000.0, -6000.0, "deep")).when(kind < 0.1925, between(-200.0, 0.0, "shallow")).otherwise(-3000 + 1500 * normal), 0
+    elif pattern == "elevation":
+        v, digits = F.when(kind < 0.1, between(2000.0, 4500.0, "high")).when(kind < 0.28, between(0.0, 200.0, "low")).otherwise(500 + 400 * normal), 0
+    elif pattern is None:
+        v, digits = F.lit(low) + (high - low) * u, None
+    else:
+        raise ValueError(f"unknown pattern {pattern}")
+    v = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v))
+    return zones.select("dggid", tid, attr, (v if digits is None else F.round(v, digits)).alias("value_num"))
+
+
+@dataclass(frozen=True)
+class DemoLayer:
+    """A layer's name, level, box (west, south, east, north), attribute, and its weighted classes or its bounds and pattern."""
+
+    name: str
+    level: int
+    box: tuple[float, float, float, float]
+    key: str
+    classes: dict[str, int] | None = None
+    low: float = 0.0
+    high: float = 1.0
+    pattern: str | None = None
+
+
+#: The layers of a new installation; weights in percent.
+DEMO_LAYERS = (
+    DemoLayer("Global Regions (Lv2)", 2, (-140, -70, 140, 70), "region", {"region_a": 40, "region_b": 35, "region_c": 25}),
+    DemoLayer("Protected Areas (Lv3)", 3, (-130, 20, -60, 55), "protection_class", {"national_park": 50, "wildlife_reserve": 30, "marine_protected": 20}),
+    DemoLayer("Ocean Bathymetry (Lv4)", 4, (-180, -75, 180, 75), "depth", None, -8000, 0, "ocean_depth"),
+    DemoLayer("Global Temperature (Lv4)", 4, (-180, -80, 180, 80), "temp_celsius", None, -30, 45, "temperature"),
+    DemoLayer("Global Elevation (Lv4)", 4, (-180, -70, 180, 70), "elevation", None, 0, 4500, "elevation"),
+    DemoLayer("North America Climate (Lv5)", 5, (-130, 24, -65, 55), "temp_celsius", None, -20, 35, "temperature"),
+    DemoLayer("Europe Climate (Lv5)", 5, (-10, 35, 40, 70), "temp_celsius", None, -10, 30, "temperature"),
+    DemoLayer("South America Elevation (Lv5)", 5, (-80, -55, -35, 12), "elevation", None, 0, 6500, "elevation"),
+)
+
+
+def demo_layer(spark: SparkSession, grid: HexLattice, layer: DemoLayer) -> DataFrame:
+    """One demo layer on the cells of its box."""
+    return synthetic(grid.list_zones(spark, layer.level, *layer.box), layer.key, layer.classes, layer.low, layer.high, layer.pattern)

@@ -47,6 +47,24 @@ def cache_put(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("zone_id"), "zone_id", "left_anti").unionByName(new.dropDuplicates(["zone_id"]))
 
 
+def cache_count(cache: DataFrame) -> int:
+    """How many polygons are cached."""
+    return cache.count()
+
+
+def cache_clear(cache: DataFrame) -> DataFrame:
+    """An empty cache of the same form."""
+    return cache.limit(0)
+
+
+def cache_query(cache: DataFrame, sql: str) -> DataFrame:
+    """The rows of one SELECT over the cache, which the SQL names {cache}."""
+    words = sql.lower().split()
+    if not words or words[0] not in ("select", "with") or ";" in sql:
+        raise ValueError("only a single SELECT can be asked")
+    return cache.sparkSession.sql(sql, cache=cache)
+
+
 def cache_get(cache: DataFrame, ids: DataFrame) -> DataFrame:
     """Cached polygons of the given zones (zone_id)."""
     return cache.join(ids.select("zone_id"), "zone_id", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import iso_timestamp
@@ -64,3 +64,40 @@ def collections(scenes: DataFrame, covered: DataFrame) -> DataFrame:
 def newest(scenes: DataFrame) -> DataFrame:
     """Scenes by time, newest first, those without time last."""
     return scenes.orderBy(F.col("acquired").desc_nulls_last(), "id")
+
+
+def sample_scenes(scenes: DataFrame, headers: DataFrame, pixels: DataFrame, grid: HexLattice, level: int, bands: list[str], most: int = 100_000) -> DataFrame:
+    """Cell objects (dggid, tid, attr_key, value_num) from the named bands of scenes: the pixel at each cell's centre.
+
+    Cells are those in a scene's box, at most `most` a scene in id order; tid is the scene's time in seconds since 1970 (0
+    without a time). A band's file is found by its href in `headers` (path, west, north, pixel_width, pixel_height, rows,
+    cols, nodata, in degrees) and `pixels` (path, row, col, value). No data and values that aren't finite go. Where scenes of
+    one time overlap, the one with the greatest id stays.
+    """
+    from .vectors import _cells_in_box
+
+    s = scenes.where(F.size("bbox") >= 4).withColumn("tid", F.coalesce(F.unix_timestamp("acquired"), F.lit(0).cast("bigint")))
+    s = s.select("id", "tid", F.lit("box").alias("outer"), *[F.col("bbox")[k].alias(n) for k, n in enumerate("wsen")], F.explode(F.map_filter("bands", lambda k, v: k.isin(bands))).alias("band", "file"))
+    boxes = s.select(F.col("id").alias("feature_no"), "outer", "w", "s", "e", "n").distinct()
+    nth = F.row_number().over(Window.partitionBy("feature_no").orderBy("dggid"))
+    cells = _cells_in_box(scenes.sparkSession, boxes, grid, level).withColumn("nth", nth).where(F.col("nth") <= most).select(F.col("feature_no").alias("id"), "dggid", "lon", "lat")
+    at = cells.join(s.select("id", "tid", "band", F.col("file.href").alias("path")), "id").join(headers, "path")
+    row, col = F.floor((F.col("north") - F.col("lat")) / F.col("pixel_height")), F.floor((F.col("lon") - F.col("west")) / F.col("pixel_width"))
+    at = at.select("id", "tid", "band", "path", "dggid", "nodata", row.cast("int").alias("row"), col.cast("int").alias("col"))
+    x = at.join(pixels, ["path", "row", "col"]).where(~F.isnan("value") & (F.abs("value") < float("inf")) & (F.col("nodata").isNull() | (F.col("value") != F.col("nodata"))))
+    return x.groupBy("dggid", "tid", F.col("band").alias("attr_key")).agg(F.max_by("value", "id").alias("value_num"))
+
+
+def build_collection(items: DataFrame, name: str, collection: str, grid: HexLattice, box: tuple[float, float, float, float] | None = None, start: str | None = None, end: str | None = None, max_cloud: float | None = None, max_items: int = 50, level: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(collection, scenes): the newest scenes that a search finds, with the cells that they cover, and one row with name, scene_count, status and error."""
+    found = newest(normalise(search(items, collection, box, start, end, max_cloud))).limit(max_items)
+    scenes = found.join(coverage(found, grid, level), "id", "left")
+    n = scenes.agg(F.count("*").alias("scene_count"))
+    failed = F.col("scene_count") == 0
+    row = n.select(F.lit(name).alias("name"), F.lit(collection).alias("collection"), "scene_count", F.when(failed, "failed").otherwise("ready").alias("status"), F.when(failed, "No scenes found matching criteria").alias("error"))
+    return row, scenes
+
+
+def chosen(scenes: DataFrame, ids: list[str]) -> DataFrame:
+    """The scenes with these ids."""
+    return scenes.where(F.col("id").isin(ids))

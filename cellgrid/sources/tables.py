@@ -63,3 +63,42 @@ def insert_ignore(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old rows and those new ones whose key is not there; of new ones with one key, the greatest value."""
     fresh = new.join(old.select(*KEY), list(KEY), "left_anti")
     return old.unionByName(upsert(fresh.limit(0), fresh), allowMissingColumns=True)
+
+
+def _is(key: dict) -> Column:
+    if not key:
+        raise ValueError("a key is needed")
+    same = F.lit(True)
+    for name, value in key.items():
+        same &= F.coalesce(F.col(name) == F.lit(value), F.lit(False))
+    return same
+
+
+def keyed(names: tuple[str, ...], values: object) -> dict:
+    """A primary key as a dict: from one, from a tuple in the order of `names`, or, for a key of one column, from its value."""
+    if isinstance(values, dict):
+        if set(values) != set(names):
+            raise ValueError(f"the key is {', '.join(names)}")
+        return values
+    values = values if isinstance(values, tuple | list) else (values,)
+    if len(values) != len(names):
+        raise ValueError(f"the key is {', '.join(names)}")
+    return dict(zip(names, values, strict=True))
+
+
+def get_row(table: DataFrame, key: dict) -> DataFrame:
+    """The row with this key, if there is one."""
+    return table.where(_is(key))
+
+
+def update_row(table: DataFrame, key: dict, changes: dict) -> DataFrame:
+    """The table with new values in the row with this key."""
+    kinds = dict(table.dtypes)
+    if not set(changes) <= set(kinds):
+        raise ValueError(f"no columns {sorted(set(changes) - set(kinds))}")
+    return table.withColumns({c: F.when(_is(key), F.lit(v).cast(kinds[c])).otherwise(F.col(c)) for c, v in changes.items()})
+
+
+def delete_row(table: DataFrame, key: dict) -> DataFrame:
+    """The table without the row with this key."""
+    return table.where(~_is(key))

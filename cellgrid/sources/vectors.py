@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,66 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.select("feature_no", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties")).where(F.col("kind").isin("Point", "Polygon", "MultiPolygon"))
 
 
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same from newline-delimited GeoJSON, one feature a line, which Spark splits at any size; features are numbered in the order of the lines of a file's parts."""
+    x = spark.read.schema("geometry struct<type:string,coordinates:string>, properties map<string,string>").json(path)
+    f = x.select(F.monotonically_increasing_id().alias("feature_no"), F.col("geometry.type").alias("kind"), F.col("geometry.coordinates").alias("coordinates"), "properties")
+    return f.where(F.col("kind").isin("Point", "Polygon", "MultiPolygon"))
+
+
+def shapes_of(shp: bytes, dbf: bytes) -> list[tuple[int, str, str, dict[str, str]]]:
+    """(number, kind, coordinates as JSON, properties) of the points and polygons of a shapefile and its table."""
+    n, head, width = struct.unpack("<IHH", dbf[4:12])
+    fields, at = [], 32
+    while dbf[at] != 0x0D:
+        fields.append((dbf[at : at + 11].split(b"\0")[0].decode("latin-1"), dbf[at + 16]))
+        at += 32
+    rows = []
+    for k in range(n):
+        raw, at, row = dbf[head + k * width : head + (k + 1) * width], 1, {}
+        for name, size in fields:
+            row[name] = raw[at : at + size].decode("utf-8", "replace").strip()
+            at += size
+        rows.append(row)
+    out, at, k = [], 100, 0
+    while at + 12 <= len(shp):
+        size = struct.unpack(">i", shp[at + 4 : at + 8])[0] * 2
+        body, at, kind = shp[at + 8 : at + 8 + size], at + 8 + size, struct.unpack("<i", shp[at + 8 : at + 12])[0]
+        properties = rows[k] if k < n else {}
+        if kind % 10 == 1:  # points, also with heights and measures
+            out.append((k, "Point", json.dumps(struct.unpack("<2d", body[4:20])), properties))
+        elif kind % 10 == 5:
+            parts, points = struct.unpack("<2i", body[36:44])
+            starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
+            flat = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
+            polygons: list[list] = []
+            for a, z in zip(starts, starts[1:], strict=False):
+                ring = [[flat[2 * i], flat[2 * i + 1]] for i in range(a, z)]
+                clockwise = sum((q[0] - p[0]) * (q[1] + p[1]) for p, q in zip(ring, ring[1:], strict=False)) >= 0
+                if clockwise or not polygons:  # outer rings are clockwise, holes are not
+                    polygons.append([])
+                polygons[-1].append(ring)
+            out.append((k, "MultiPolygon", json.dumps(polygons), properties))
+        k += 1
+    return out
+
+
+def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
+    """Points and polygons of a shapefile (the .shp with its .dbf beside it), in degrees; other shapes are left out. Each file is read by one task."""
+    files = spark.read.format("binaryFile").load([path, path[:-4] + ".dbf"]).select("path", "content")
+    pair = files.groupBy(F.regexp_replace("path", r"\.(shp|dbf)$", "").alias("base")).agg(
+        F.max(F.when(F.col("path").endswith(".shp"), F.col("content"))).alias("shp"), F.max(F.when(F.col("path").endswith(".dbf"), F.col("content"))).alias("dbf"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
+        for b in batches:
+            rows = [r for shp, dbf in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for r in shapes_of(shp, dbf)]
+            columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [list(r[3].items()) for r in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["feature_no", "kind", "coordinates", "properties"])
+
+    return pair.mapInArrow(read, "feature_no bigint, kind string, coordinates string, properties map<string,string>")
+
+
 def burn(features: DataFrame, grid: HexLattice, level: int, attribute: str | None = None) -> DataFrame:
     """Cells (dggid, tid, attr_key, value_num): a point's cell, and the cells whose centre a polygon holds (holes excluded).
 
