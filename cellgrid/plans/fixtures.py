@@ -25,6 +25,14 @@ mask AS (SELECT dggid FROM grid JOIN supplier ON k=s_suppkey),
 zone AS (SELECT dggid, p_brand zone_id FROM part JOIN grid ON k=p_partkey),
 evt AS (SELECT event_id, dggid, ts, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS BIGINT) tid, event_type attr_key, value value_num FROM events JOIN grid ON k = user_id % (SELECT COUNT(*) FROM part)),
 ann AS (SELECT doc_id id, dggid, text AS content, source "type", CASE doc_id%3 WHEN 0 THEN 'public' WHEN 1 THEN 'private' ELSE 'shared' END visibility, 'u' || CAST(doc_id % 7 AS VARCHAR) created_by FROM documents JOIN grid ON k = doc_id % (SELECT COUNT(*) FROM part)),
+ds AS (SELECT CAST(c_custkey AS VARCHAR) id, CASE c_custkey % 5 WHEN 0 THEN 'Buffer Result' WHEN 1 THEN 'Result of ' || c_name WHEN 2 THEN c_name || ' result 100%' ELSE c_name END "name",
+  CASE c_custkey % 3 WHEN 0 THEN 'processing' WHEN 1 THEN 'active' ELSE 'failed' END status, CASE c_custkey % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'private' ELSE 'shared' END visibility,
+  'u' || CAST(c_custkey % 7 AS VARCHAR) created_by, 'u' || CAST(c_custkey % 4 AS VARCHAR) shared_user,
+  CASE c_custkey % 8 WHEN 0 THEN '{"source":"spatial_op","rows":5}' WHEN 1 THEN '{"type":"buffer","parents":["1","2"]}' WHEN 2 THEN '{"source_type":"operation","bands":[1,2]}' WHEN 3 THEN '{"source":"Spatial_Op"}' WHEN 4 THEN '{"type":"analysis"}' END metadata,
+  TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(c_custkey % 200 AS INT) created_at FROM customer),
+up AS (SELECT CAST(o_orderkey AS VARCHAR) id, 'file' || CAST(o_orderkey AS VARCHAR) || '.tif' filename, 'u' || CAST(o_custkey % 7 AS VARCHAR) created_by, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'active' ELSE 'processing' END status, CAST(o_orderdate AS TIMESTAMP) created_at FROM orders),
+items AS (SELECT 's' || CAST(o_orderkey AS VARCHAR) id, CASE o_custkey % 2 WHEN 0 THEN 'sentinel' ELSE 'landsat' END collection, CAST(o_custkey % 160 - 80 AS DOUBLE) w, CAST(o_orderkey % 80 - 40 AS DOUBLE) s, CAST(o_orderkey % 100 AS DOUBLE) cloud_cover,
+  CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END acquired, o_orderkey % 3 = 0 AS has_blue, o_orderkey % 5 = 0 AS has_thumb FROM orders),
 q97 AS (SELECT dggid, value_num FROM qty WHERE tid = 1997),
 q98 AS (SELECT dggid, value_num FROM qty WHERE tid = 1998),
 nb AS (SELECT a.dggid, a.value_num v, t.neighbor_dggid neighbor, b.value_num v_n FROM q97 a JOIN topo t ON t.dggid=a.dggid JOIN q97 b ON b.dggid=t.neighbor_dggid),
@@ -104,3 +112,44 @@ class Fixtures:
     def every(self, n: int) -> DataFrame:
         """Seeds: the cells whose part key is a multiple of n."""
         return self.grid().where(F.col("k") % n == 0).select("dggid")
+
+    def datasets(self) -> DataFrame:
+        """A catalogue of datasets, one for each customer, in all kinds of names, states and metadata."""
+        k = F.col("c_custkey")
+        pick = lambda n, *v: F.element_at(F.array(*[F.lit(x) if isinstance(x, str | None) else x for x in v]), (k % n + 1).cast("int"))
+        name = F.when(k % 5 == 0, F.lit("Buffer Result")).when(k % 5 == 1, F.concat(F.lit("Result of "), "c_name")).when(k % 5 == 2, F.concat("c_name", F.lit(" result 100%"))).otherwise(F.col("c_name"))
+        metadata = (
+            '{"source":"spatial_op","rows":5}', '{"type":"buffer","parents":["1","2"]}', '{"source_type":"operation","bands":[1,2]}',
+            '{"source":"Spatial_Op"}', '{"type":"analysis"}', None, None, None,
+        )
+        at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(hours=(k % 200).cast("int"))
+        return self.table("customer").select(
+            k.cast("string").alias("id"), name.alias("name"), F.lit(None).cast("string").alias("description"), F.lit("hex").alias("dggs_name"), F.lit(3).alias("level"),
+            F.concat(F.lit("u"), (k % 7).cast("string")).alias("created_by"), pick(3, "processing", "active", "failed").alias("status"), pick(3, "public", "private", "shared").alias("visibility"),
+            F.array(F.concat(F.lit("u"), (k % 4).cast("string"))).alias("shared_with"), pick(8, *metadata).alias("metadata"), at.alias("created_at"),
+        )
+
+    def uploads(self) -> DataFrame:
+        """Uploads, one for each order."""
+        k = F.col("o_orderkey")
+        status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "active").otherwise("processing")
+        return self.table("orders").select(
+            k.cast("string").alias("id"), F.concat(F.lit("file"), k.cast("string"), F.lit(".tif")).alias("filename"),
+            F.concat(F.lit("u"), (F.col("o_custkey") % 7).cast("string")).alias("created_by"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        )
+
+    def items(self) -> DataFrame:
+        """Items of a scene catalogue, one for each order: ten degrees wide, with a red band, a third of them with a blue one, a fifth with a thumbnail."""
+        k, c = F.col("o_orderkey"), F.col("o_custkey")
+        w, s = (c % 160 - 80).cast("double"), (k % 80 - 40).cast("double")
+        asset = lambda href, kind, role: F.struct(F.concat(F.lit(href), k.cast("string")).alias("href"), F.lit(kind).alias("type"), F.array(F.lit(role)).alias("roles"))
+        entry = lambda name, *a: F.struct(F.lit(name).alias("key"), asset(*a).alias("value"))
+        every = F.array(entry("B04", "red/", "image/tiff", "data"), entry("meta", "meta/", "text/xml", "metadata"))
+        blue, thumb = F.array(entry("B02", "blue/", "image/jp2", "data")), F.array(entry("thumbnail", "thumb/", "image/png", "thumbnail"))
+        none = F.slice(blue, 1, 0)
+        assets = F.map_from_entries(F.concat(every, F.when(k % 3 == 0, blue).otherwise(none), F.when(k % 5 == 0, thumb).otherwise(none)))
+        at = F.when(k % 9 != 0, F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        return self.table("orders").select(
+            F.concat(F.lit("s"), k.cast("string")).alias("id"), F.when(c % 2 == 0, "sentinel").otherwise("landsat").alias("collection"),
+            F.array(w, s, w + 10, s + 10).alias("bbox"), at.alias("datetime"), (k % 100).cast("double").alias("cloud_cover"), assets.alias("assets"),
+        )
