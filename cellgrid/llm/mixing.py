@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import numbered, table, written
 
 LEVELS = ("domain", "lang", "source")
 
@@ -71,38 +71,52 @@ def _md5(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts]).cast("binary"))
 
 
+def _tokens(docs: DataFrame, n: Column) -> DataFrame:
+    """A number of each row, doc_id, lang, source and tokens of the rows that have any."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(n.alias("n"), F.col("doc_id").cast("bigint").alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("tokens"))
+    return d.where("tokens > 0")
+
+
+def _taken(tokens: DataFrame, mix: Mixture) -> DataFrame:
+    """The rows of `tokens` (n, doc_id, lang, source, tokens) that the budget draws, with what it takes of each.
+
+    A leaf's documents are ordered with those of all leaves by ranges, ties by the row's number, and written; tokens are
+    added up range by range, and a range starts where the ranges before it end. So no task orders a whole leaf, and no id,
+    be it that of a third of all rows, is ordered in one task.
+    """
+    d = written(tokens.withColumn("domain", F.expr(mix.domain_sql)), "tokens")  # the texts are read once
+    leaves = leaf_budgets(d.groupBy(*LEVELS).agg(F.sum("tokens").alias("leaf_tokens")), mix).where("leaf_budget > 0")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    x = d.join(leaves.drop("leaf_tokens"), list(LEVELS)).withColumn("turn", _md5(mix.seed, F.col("full_epochs").cast("string"), "doc", key))
+    x = written(x.repartitionByRange(*LEVELS, "turn", "tokens", "n").withColumn("part", F.spark_partition_id()), "turns")
+    by = [*LEVELS, "part"]
+    before = F.sum("part_tokens").over(Window.partitionBy(*LEVELS).orderBy("part")) - F.col("part_tokens")
+    parts = x.groupBy(*by).agg(F.sum("tokens").alias("part_tokens")).select(*by, before.alias("before"))
+    upto = F.sum("tokens").over(Window.partitionBy(*by).orderBy("turn", "tokens", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.join(parts, by).withColumn("start", F.col("before") + upto - F.col("tokens"))
+    x = x.withColumn("last_take", F.greatest(F.lit(0), F.least("tokens", F.col("rest") - F.col("start"))))
+    return x.withColumn("taken", F.col("full_epochs") * F.col("tokens") + F.col("last_take")).where("taken > 0")
+
+
 def mix_documents(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
     """The documents that the budget draws, one row each: doc_id, its leaf, tokens, full_epochs, last_take and taken.
 
     A token is a word. `taken` is full_epochs times the tokens, plus last_take: what the prefix of the leaf's last epoch
-    reads of the document (the one that crosses the budget's end is read in part). In an epoch, 256 buckets by a hash of
-    doc_id come in an order seeded by the epoch, and documents in a bucket in a seeded order of their own; so a leaf that
-    holds a third of all rows is ordered in 256 parts. A null lang or source counts as the empty string; documents
+    reads of the document (the one that crosses the budget's end is read in part). In an epoch, a leaf's documents come in
+    an order by a hash of doc_id, seeded by the epoch. A null lang or source counts as the empty string; documents
     without words (null and empty texts) take no budget and are not drawn; null doc_ids count as one id; repeated rows are
     drawn one by one. An empty table gives no rows.
     """
-    mix = mix or Mixture()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("tokens"))
-    d = d.where("tokens > 0").withColumn("domain", F.expr(mix.domain_sql))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    d = written(d.withColumn("bucket", F.substring(_md5(mix.seed, key), 1, 2)), "tokens")  # the texts are read once
-    buckets = d.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
-    leaves = leaf_budgets(buckets.groupBy(*LEVELS).agg(F.sum("bucket_tokens").alias("leaf_tokens")), mix)
-    in_leaf = Window.partitionBy(*LEVELS).orderBy(_md5(mix.seed, F.col("full_epochs").cast("string"), F.col("bucket")), "bucket")
-    starts = buckets.join(leaves, list(LEVELS)).withColumn("bucket_start", F.sum("bucket_tokens").over(in_leaf.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bucket_tokens"))
-    starts = starts.where("full_epochs > 0 or bucket_start < rest").drop("bucket_tokens")
-    in_bucket = Window.partitionBy(*LEVELS, "bucket").orderBy(_md5(mix.seed, F.col("full_epochs").cast("string"), "doc", key), "tokens")
-    x = d.join(starts, [*LEVELS, "bucket"]).withColumn("start", F.col("bucket_start") + F.sum("tokens").over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens"))
-    x = x.withColumn("last_take", F.greatest(F.lit(0), F.least("tokens", F.col("rest") - F.col("start"))))
-    x = x.withColumn("taken", F.col("full_epochs") * F.col("tokens") + F.col("last_take"))
-    return x.where("taken > 0").select("doc_id", *LEVELS, "tokens", "full_epochs", "last_take", "taken", "leaf_budget")
+    x = _taken(_tokens(docs, F.monotonically_increasing_id()), mix or Mixture())
+    return x.select("doc_id", *LEVELS, "tokens", "full_epochs", "last_take", "taken", "leaf_budget")
 
 
 def drawn(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose document the budget draws, be it in part."""
-    ids = mix_documents(docs, mix).select(F.col("doc_id").alias("_drawn")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_drawn")), "left_semi")
+    """The rows of `docs`, with all their columns, that the budget draws, be it in part: row by row, whatever their ids."""
+    rows = numbered(docs)
+    ours = _taken(_tokens(rows.select("n", *[f"row.{c}" for c in ("doc_id", "lang", "source", "text")]), F.col("n")), mix or Mixture())
+    return rows.join(ours.select("n"), "n", "left_semi").select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +142,9 @@ def oracle_sql(mix: Mixture | None = None) -> str:
     weights = {k: v for k, v in (("domain", m.domain_weight_sql), ("lang", m.lang_weight_sql), ("source", m.source_weight_sql))}
     return f"""WITH d0 AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
   CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents),
-d AS (SELECT *, {domain} AS domain, COALESCE(CAST(doc_id AS VARCHAR), '') AS k, md5('{m.seed}:' || COALESCE(CAST(doc_id AS VARCHAR), ''))[1:2] AS bucket FROM d0 WHERE tokens > 0),
-buckets AS (SELECT domain, lang, source, bucket, SUM(tokens) AS bucket_tokens FROM d GROUP BY ALL),
+d AS (SELECT *, {domain} AS domain, COALESCE(CAST(doc_id AS VARCHAR), '') AS k FROM d0 WHERE tokens > 0),
 leaves AS (SELECT *, leaf_tokens * {m.max_epochs} AS cap3, CAST({weights["domain"]} AS BIGINT) AS w_domain, CAST({weights["lang"]} AS BIGINT) AS w_lang, CAST({weights["source"]} AS BIGINT) AS w_source
-  FROM (SELECT domain, lang, source, SUM(bucket_tokens) AS leaf_tokens FROM buckets GROUP BY ALL)),
+  FROM (SELECT domain, lang, source, SUM(tokens) AS leaf_tokens FROM d GROUP BY ALL)),
 langs AS (SELECT domain, lang, w_domain, w_lang, SUM(cap3) AS cap2, SUM(leaf_tokens) AS tokens2 FROM leaves GROUP BY ALL),
 doms0 AS (SELECT domain, w_domain, SUM(cap2) AS cap1, SUM(tokens2) AS tokens1 FROM langs GROUP BY ALL),
 doms1 AS (SELECT *, LEAST(SUM(tokens1) OVER () * {m.budget_percent} // 100, SUM(cap1) OVER ()) AS budget0 FROM doms0),
@@ -140,10 +153,8 @@ langs1 AS (SELECT langs.*, budget1 FROM langs JOIN doms USING (domain)),
 langs2 AS (SELECT * FROM {_fill_sql("langs1", "domain", "budget1", "cap2", "w_lang", "lang", "budget2")}),
 leaves1 AS (SELECT leaves.*, budget2 FROM leaves JOIN langs2 USING (domain, lang)),
 leaves2 AS (SELECT *, leaf_budget // leaf_tokens AS full_epochs, leaf_budget % leaf_tokens AS rest FROM {_fill_sql("leaves1", "domain, lang", "budget2", "cap3", "w_source", "source", "leaf_budget")}),
-starts AS (SELECT *, SUM(bucket_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{m.seed}:' || CAST(full_epochs AS VARCHAR) || ':' || bucket), bucket ROWS UNBOUNDED PRECEDING) - bucket_tokens AS bucket_start
-  FROM buckets JOIN leaves2 USING (domain, lang, source)),
-x AS (SELECT d.*, full_epochs, rest, leaf_budget, bucket_start + SUM(tokens) OVER (PARTITION BY domain, lang, source, bucket ORDER BY md5('{m.seed}:' || CAST(full_epochs AS VARCHAR) || ':doc:' || k), tokens ROWS UNBOUNDED PRECEDING) - tokens AS start
-  FROM d JOIN starts USING (domain, lang, source, bucket)),
+x AS (SELECT d.*, full_epochs, rest, leaf_budget, SUM(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{m.seed}:' || CAST(full_epochs AS VARCHAR) || ':doc:' || k), tokens ROWS UNBOUNDED PRECEDING) - tokens AS start
+  FROM d JOIN leaves2 USING (domain, lang, source)),
 y AS (SELECT *, GREATEST(0, LEAST(tokens, rest - start)) AS last_take FROM x)
 SELECT doc_id, domain, lang, source, tokens, CAST(full_epochs AS BIGINT) AS full_epochs, CAST(last_take AS BIGINT) AS last_take,
   CAST(full_epochs * tokens + last_take AS BIGINT) AS taken, CAST(leaf_budget AS BIGINT) AS leaf_budget FROM y WHERE full_epochs * tokens + last_take > 0"""

@@ -4,21 +4,21 @@ The ring has a fixed number of slots. Every shard owns many virtual nodes on it,
 at or after its slot. No shard takes more than its capacity: keys that reach a full shard continue clockwise to the next
 virtual node whose shard has room. Which keys continue is decided by their rank within their slot, so the walk needs only
 the number of keys of each slot: a table bounded by the ring, whatever the input. Its outcome, runs of ranks per slot and
-shard, is joined back to the keys, which Spark ranks slot by slot.
+shard, is joined back to the keys, which Spark ranks chunk by chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import listed, table
+from .common import listed, table, whole, written
 
 RING_SLOTS = 1 << 16
 VIRTUAL_NODES = 128
 SEED = 17
 
-RUNS = "ring_slot int, from_rank bigint, to_rank bigint, shard int, base bigint"
+RUNS = "run_slot int, from_rank bigint, to_rank bigint, shard int, base bigint"
 
 
 def virtual_nodes(spark: SparkSession, shards: int, nodes: int = VIRTUAL_NODES, seed: int = SEED) -> list[tuple[int, int]]:
@@ -78,39 +78,57 @@ def walk(counts: dict[int, int], nodes: list[tuple[int, int]], room: list[int])
     return runs
 
 
-def shard_rows(keys: DataFrame, shards: int, slack: float = 0.0, nodes: int = VIRTUAL_NODES, seed: int = SEED) -> DataFrame:
-    """`keys` (with doc_id, size, text_crc32) with its shard and its slot there, counted from 0 without gaps.
+def _text(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    Null doc_ids share one place on the ring; rows with equal doc_ids are ranked by size and checksum, and rows equal in
-    all three are interchangeable. An empty table gives no rows. Only the counts by ring slot come to the driver: at
-    most 65,536 rows.
+
+def _keyed(docs: DataFrame, row: Column) -> DataFrame:
+    """row, key, size and text_crc32 of every row; a null text has size 8 and checksum 0."""
+    size = (F.octet_length(_text(docs)) + 8).cast("bigint")
+    return docs.select(row.alias("row"), F.col("doc_id").cast("bigint").alias("key"), size.alias("size"), F.crc32(_text(docs).cast("binary")).alias("text_crc32"))
+
+
+def shard_rows(keyed: DataFrame, shards: int, slack: float = 0.0, nodes: int = VIRTUAL_NODES, seed: int = SEED) -> DataFrame:
+    """`keyed` (row, key, size, text_crc32) with ring_slot, shard and the slot there, counted from 0 without gaps.
+
+    Rows are ranked within their ring slot in chunks: by a hash of key, size and checksum, then by the part of the table
+    they are in. So a key with a third of all rows is ranked in many tasks, even if all its rows are equal; a chunk's first
+    rank is the number of rows in the chunks before. Null keys share one place on the ring; rows equal in all three columns
+    are interchangeable. An empty table gives no rows. Only the counts by ring slot come to the driver, and only the runs
+    go back: at most 65,536 rows and one more a shard.
     """
-    spark = keys.sparkSession
-    placed = keys.withColumn("ring_slot", _slot(F.xxhash64(F.lit(seed), F.lit("key"), "doc_id")))
-    counts = {r.ring_slot: r["count"] for r in placed.groupBy("ring_slot").count().collect()}
+    spark = keyed.sparkSession
+    slot = _slot(F.xxhash64(F.lit(seed), F.lit("key"), "key"))
+    chunk = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key", "size", "text_crc32"), 52).cast("int")
+    placed = written(keyed.withColumns({"ring_slot": slot, "chunk": chunk, "part": F.spark_partition_id()}), "keys")
+    by = ("ring_slot", "chunk", "part")
+    chunks = placed.groupBy(*by).agg(F.count("*").alias("rows"))
+    counts = {r.ring_slot: r.n for r in chunks.groupBy("ring_slot").agg(F.sum("rows").alias("n")).collect()}
     runs = walk(counts, virtual_nodes(spark, shards, nodes, seed), capacities(sum(counts.values()), shards, slack))
-    in_slot = Window.partitionBy("ring_slot").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
-    ranked = placed.withColumn("ring_rank", F.row_number().over(in_slot).cast("bigint") - 1)
-    run = listed(spark, runs, RUNS, "runs").withColumnRenamed("ring_slot", "run_slot")
-    found = ranked.join(run, (F.col("ring_slot") == F.col("run_slot")) & (F.col("ring_rank") >= F.col("from_rank")) & (F.col("ring_rank") < F.col("to_rank")))
-    return found.withColumn("slot", F.col("base") + F.col("ring_rank") - F.col("from_rank")).drop("run_slot", "from_rank", "to_rank", "base", "ring_rank")
+    before = F.sum("rows").over(Window.partitionBy("ring_slot").orderBy("chunk", "part")) - F.col("rows")
+    starts = chunks.select(*by, before.alias("before"))
+    in_chunk = Window.partitionBy(*by).orderBy(F.col("key").asc_nulls_first(), "size", "text_crc32")
+    ranked = placed.withColumn("nth", F.row_number().over(in_chunk).cast("bigint") - 1).join(starts, list(by))
+    run = F.broadcast(listed(spark, runs, RUNS, "runs").alias("run"))
+    rank = F.col("before") + F.col("nth")
+    found = ranked.join(run, (F.col("ring_slot") == F.col("run.run_slot")) & (rank >= F.col("from_rank")) & (rank < F.col("to_rank")))
+    return found.select("row", "key", "size", "text_crc32", "ring_slot", "shard", (F.col("base") + rank - F.col("from_rank")).alias("slot"))
 
 
 def documents_to_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for all rows, under the law `rows`: counts at most one apart.
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and ring_slot for all rows, under the law `rows`: counts at most one apart.
 
-    A null text has size 8 and checksum 0; other columns of `docs` are ignored.
+    Other columns of `docs` are ignored.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shard_rows(keys, shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "ring_slot")
+    x = shard_rows(_keyed(docs, F.lit(None).cast("int")), shards)
+    return x.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "ring_slot")
 
 
 def with_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     """All rows and columns of `docs` with size, text_crc32, shard and slot (columns of these names are replaced)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("size", (F.octet_length(text) + 8).cast("bigint")).withColumn("text_crc32", F.crc32(text.cast("binary")))
-    return shard_rows(keyed, shards).drop("ring_slot")
+    own = ("size", "text_crc32", "shard", "slot")
+    x = shard_rows(_keyed(docs, whole(docs)), shards)
+    return x.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own], *own)
 
 
 def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, slot string, tokens string, score string"
+OWN = "size slot tokens score shard base from_rank to_rank run_slot ring_slot ring_rank row key chunk part n h cls set kept id gone domain turn start place types others bucket item_id quality held_out x _drawn _gone _gone_set _set _leaked".split()
+SCHEMA = ", ".join(["doc_id bigint, text string, lang string, source string, n_chars bigint", *[f"{c} string" for c in OWN]])
 
 LONG = " ".join(f"word{k % 977} and so on {k}," for k in range(9000))
 EDGES = [
@@ -27,7 +28,7 @@ EDGES = [
 @pytest.fixture(scope="session")
 def edges(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and columns whose names the operators use themselves."""
-    return spark.createDataFrame([(*r, len(r[1] or ""), "s", "t", "u", "v") for r in EDGES], SCHEMA)
+    return spark.createDataFrame([(*r, len(r[1] or ""), *[f"{c}!" for c in OWN]) for r in EDGES], SCHEMA)
 
 
 @pytest.fixture(scope="session")

@@ -70,7 +70,15 @@ def test_mixing_edges(edges, nothing):
     assert {r.doc_id for r in rows} == {0, 4, 5, 6, 7, 8, None, 9} and len(rows) == 10
     assert M.mix_documents(nothing).count() == 0
     kept = M.drawn(edges, M.Mixture(budget_percent=400))
-    assert kept.columns == edges.columns and kept.count() == 10
+    assert kept.columns == edges.columns and kept.count() == 10 and kept.first().domain == "domain!"
+
+
+def test_rows_are_drawn_one_by_one(spark):
+    docs = spark.createDataFrame([(None if k % 3 else 7, "some words of a text " * (1 + k % 4), "en", "src1") for k in range(300)], "doc_id bigint, text string, lang string, source string").repartition(5)
+    mix = M.Mixture(budget_percent=50, max_epochs=1)
+    taken = M.mix_documents(docs, mix).collect()
+    assert sum(r.taken for r in taken) == sum(5 * (1 + k % 4) for k in range(300)) // 2
+    assert M.drawn(docs, mix).count() == len(taken) < 300
 
 
 def by_hand(counts, nodes, room):
@@ -117,6 +125,22 @@ def test_shards_are_even_and_gapless(spark, small, edges, nothing):
 
 
 def test_movement_is_limited(spark):
-    keys = spark.range(4000).select("id").withColumnRenamed("id", "doc_id").selectExpr("doc_id", "8 as size", "0 as text_crc32")
-    a, b = ({r.doc_id: r["shard"] for r in R.shard_rows(keys, n, slack=0.2).collect()} for n in (10, 11))
+    keys = spark.range(4000).selectExpr("0 as row", "id as key", "8L as size", "0L as text_crc32")
+    a, b = ({r.key: r["shard"] for r in R.shard_rows(keys, n, slack=0.2).collect()} for n in (10, 11))
     assert sum(a[k] != b[k] for k in a) < 0.45 * len(a)
+
+
+def test_a_hot_key_is_ranked_in_chunks(spark):
+    docs = spark.createDataFrame([(None if k % 3 else k, "the same text" if k % 2 else f"text {k}") for k in range(900)], "doc_id bigint, text string").repartition(6)
+    for x in (R.documents_to_shards(docs, 7), R.with_shards(docs, 7)):
+        slots = defaultdict(list)
+        for r in x.collect():
+            slots[r["shard"]].append(r.slot)
+        assert sum(map(len, slots.values())) == 900 and all(sorted(v) == list(range(len(v))) and len(v) in (128, 129) for v in slots.values())
+
+
+def test_columns_of_the_input_stay(edges):
+    got = R.with_shards(edges, 3)
+    assert sorted(got.columns) == sorted({*edges.columns, "size", "text_crc32", "shard", "slot"}) and len(set(got.columns)) == len(got.columns)
+    row = got.where("doc_id = 0").first()
+    assert row["ring_slot"] == "ring_slot!" and row["base"] == "base!" and row["size"] == 8 + len(row["text"]) and 0 <= row["shard"] < 3
