@@ -5,23 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The ten levels of the temporal hierarchy, from 0.
-LEVELS = ("instant", "minute", "hour", "day", "week", "month", "year", "decade", "century", "millennium")
+#: The ten levels of the temporal hierarchy, from 0, with what they say and the calendar's unit of each.
+LEVELS = {
+    "instantaneous": ("Single moment in time, no aggregation", None),
+    "minutely": ("Data aggregated to minute-level resolution", "minute"),
+    "hourly": ("Data aggregated to hourly resolution", "hour"),
+    "daily": ("Data aggregated to daily resolution", "day"),
+    "weekly": ("Data aggregated to weekly resolution", "week"),
+    "monthly": ("Data aggregated to monthly resolution", "month"),
+    "yearly": ("Data aggregated to yearly resolution", "year"),
+    "decade": ("Data aggregated to decade-level resolution", "decade"),
+    "century": ("Data aggregated to century-level resolution", "century"),
+    "millennium": ("Data aggregated to millennium-level resolution", "millennium"),
+}
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 
 
 def hierarchy(spark: SparkSession) -> DataFrame:
-    """The levels by number, with their names."""
-    return spark.range(len(LEVELS)).select(F.col("id").cast("int").alias("level"), F.element_at(F.array(*map(F.lit, LEVELS)), (F.col("id") + 1).cast("int")).alias("name"))
+    """The levels by number, with their names and descriptions."""
+    rows = [(k, name, text) for k, (name, (text, _)) in enumerate(LEVELS.items())]
+    return spark.createDataFrame(rows, "level int, name string, description string")
 
 
 def bucket(ts: Column, level: str) -> Column:
-    """The start of the bucket that holds a time, for the levels from minute on; decades and longer start at the era's first year."""
-    if level in ("minute", "hour", "day", "week", "month", "year", "decade", "century", "millennium"):
-        return F.date_trunc(level, ts)
-    if level == "instant":
-        return ts
-    raise ValueError(f"unknown level {level}")
+    """The start of the bucket that holds a time, by a level's name or unit; decades and longer start at the era's first year."""
+    units = {name: unit for name, (_, unit) in LEVELS.items()} | {unit: unit for _, unit in LEVELS.values() if unit}
+    if level not in units:
+        raise ValueError(f"unknown level {level}")
+    return ts if units[level] is None else F.date_trunc(units[level], ts)
 
 
 def snapshot(cells: DataFrame, tid: int) -> DataFrame:
@@ -67,17 +78,16 @@ def temporal_difference(a: DataFrame, b: DataFrame, tid_a: int, tid_b: int) -> D
 
 
 def timeseries(cells: DataFrame, dggid: str, key: str, start: int | None = None, end: int | None = None, labels: dict[int, str] | None = None) -> DataFrame:
-    """One cell's values of an attribute in time order, with a label of each time: that of `labels`, or t and the number."""
+    """One cell's values of an attribute in time order, with the granularity that each time stands for: by `labels`, else the level of that number, else unknown."""
     x = cells.where((F.col("dggid") == dggid) & (F.col("attr_key") == key))
     if start is not None:
         x = x.where(F.col("tid") >= start)
     if end is not None:
         x = x.where(F.col("tid") <= end)
-    names = F.create_map(*[F.lit(v) for kv in (labels or {}).items() for v in kv]) if labels else None
-    label = F.concat(F.lit("t"), F.col("tid").cast("string"))
-    if names is not None:
-        label = F.coalesce(F.try_element_at(names, F.col("tid").cast("int")), label)
-    return x.select("tid", label.alias("label"), "value_num").orderBy("tid")
+    names = F.create_map(*[F.lit(v) for kv in (dict(enumerate(LEVELS)) if labels is None else labels).items() for v in kv])
+    granularity = F.coalesce(F.try_element_at(names, F.col("tid").cast("int")), F.lit("unknown"))
+    slots = [v for v in ("value_num", "value_text") if v in cells.columns]
+    return x.select("tid", granularity.alias("granularity"), *slots).orderBy("tid")
 
 
 def moving_average(cells: DataFrame, before: int = 3, after: int = 3) -> DataFrame:

@@ -645,10 +645,14 @@ add(
 add(
     "timeseries",
     """
-        SELECT tid, CASE tid WHEN 1997 THEN 'base year' ELSE 't' || CAST(tid AS VARCHAR) END AS label, value_num
-        FROM qty WHERE dggid = 'C3-7-1'
-    """,
-    lambda f: temporal.timeseries(f.qty(), "C3-7-1", "quantity", labels={1997: "base year"}),
+        SELECT tid - 1995 AS tid, CASE WHEN tid >= 1995 THEN ['instantaneous', 'minutely', 'hourly', 'daily', 'weekly', 'monthly', 'yearly', 'decade'][tid - 1994]
+        ELSE 'unknown' END AS granularity, value_num FROM qty WHERE dggid = 'C3-7-1'
+    """,
+    lambda f: temporal.timeseries(
+        f.qty().withColumn("tid", F.col("tid") - 1995),
+        "C3-7-1",
+        "quantity",
+    ).drop("value_text"),
 )
 add(
     "temporal_moving_avg",

@@ -198,7 +198,9 @@ add(
 # -- time and automata
 add(
     "temporal_hierarchy",
-    "SELECT CAST(i AS INT) AS level, ['instant', 'minute', 'hour', 'day', 'week', 'month', 'year', 'decade', 'century', 'millennium'][i + 1] AS name FROM range(0, 10) r(i)",
+    """SELECT CAST(i AS INT) AS level, n AS name, CASE WHEN i = 0 THEN 'Single moment in time, no aggregation' ELSE 'Data aggregated to ' || CASE WHEN i = 1 THEN 'minute-level'
+        WHEN i > 6 THEN n || '-level' ELSE n END || ' resolution' END AS description
+        FROM (SELECT i, ['instantaneous', 'minutely', 'hourly', 'daily', 'weekly', 'monthly', 'yearly', 'decade', 'century', 'millennium'][i + 1] AS n FROM range(0, 10) r(i))""",
     lambda f: temporal.hierarchy(f.spark),
 )
 add(
@@ -296,6 +298,13 @@ def _through_csv(f: Fixtures) -> DataFrame:
     return tables.read_csv(f.spark, path).select(*CELL)
 
 
+def _through_json(f: Fixtures) -> DataFrame:
+    path = f"{work_dir(f.spark)}/json-{uuid.uuid4().hex}"
+    f.qty().select("dggid", F.col("tid").alias("time"), F.col("attr_key").alias("key"), F.col("value_num").alias("value")).write.json(path)
+    return tables.read_json_lines(f.spark, path).select(*CELL)
+
+
+add("cells_through_json", "SELECT dggid, tid, attr_key, value_num FROM qty", _through_json)
 add("store_one_dataset", "SELECT dggid, tid, attr_key, value_num FROM price", _stored)
 add("cells_through_csv", "SELECT dggid, tid, attr_key, value_num FROM qty", _through_csv)
 _POINTS = """xy AS (SELECT dggid, 30.0::DOUBLE * pow(3.0::DOUBLE, -1.5::DOUBLE) * sqrt(3.0::DOUBLE) * (q + r / 2.0::DOUBLE) x, 30.0::DOUBLE * pow(3.0::DOUBLE, -1.5::DOUBLE) * 1.5::DOUBLE * r y FROM grid),

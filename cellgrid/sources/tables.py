@@ -39,6 +39,13 @@ def read_json(spark: SparkSession, path: str, dataset_id: str | None = None) ->
     return parse_records(x.withColumns(nested), dataset_id)
 
 
+def read_json_lines(spark: SparkSession, path: str, dataset_id: str | None = None) -> DataFrame:
+    """Cells from newline-delimited JSON, one record a line, which Spark splits at any size."""
+    x = spark.read.option("primitivesAsString", True).json(path)
+    nested = {n: F.to_json(n) for n, k in x.dtypes if k.startswith(("struct", "array", "map"))}
+    return parse_records(x.withColumns(nested), dataset_id)
+
+
 def read_dataset(spark: SparkSession, path: str, dataset_id: str | None = None) -> DataFrame:
     """The store, or one dataset of it: the literal id prunes to its partitions."""
     x = spark.read.parquet(path)
