@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables that `settled` removes when it ends, innermost last.
+_passing: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: cuts lineage, and survives the loss of any executor."""
-    return cut(df, name, **options)
+    out = cut(df, name, **options)
+    if _passing:
+        _passing[-1].append(out)
+    return out
+
+
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `build` gives, written; the tables that it wrote on its way are removed."""
+    _passing.append([])
+    try:
+        out = cut(build(), name)
+    finally:
+        dropped(*_passing.pop())
+    if _passing:
+        _passing[-1].append(out)
+    return out
 
 
 def whole(df: DataFrame, row: str = "row") -> Column:

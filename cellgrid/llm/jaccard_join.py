@@ -4,8 +4,10 @@ Every text becomes a set of shingle hashes; texts with the same set form a class
 threshold share a shingle in their prefixes under any common order of shingles. The order used here puts shingles seen in
 many prefixes last, so the lists of the inverted index that passages would fill stay short. Skipping works on two levels:
 
-* Index level: an entry carries its place in its set and the set's size. Lists are cut into blocks of sizes that can link at
-  all, and entries whose places leave too little to share are skipped; so are pairs by what their prefixes share together.
+* Index level: an entry carries its place in its set and the set's size. Lists are cut into blocks by size. What an entry's
+  place leaves of its set bounds the size of sets that it can link to, so an entry looks only into the blocks up to there,
+  and into none if its place is too late: block and list together are the key of the join, and other blocks are never read.
+  Pairs are skipped by the other entry's place, and by what their prefixes share together.
 * Answer level: a long list is never paired with itself. The sets of its blocks form groups, one for each block's leader,
   and groups whose leaders are alike are one. A group has a centre, the elements that most of the sets like a leader have,
   and every set is kept by its delta, what it and the centre don't share. Two sets of a group differ by |dx| + |dy| - 2 |dx & dy|. So sets whose deltas are
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, dropped, in_bitmap, table, window_hashes, written
+from .common import bitmap_of, dropped, in_bitmap, settled, table, whole, window_hashes, written
 
 #: Lists of at most this many sets are paired directly; shingles in more prefixes than this come last in the order.
 SHORT_LIST = 24
@@ -227,29 +229,61 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def index_lists(signed: DataFrame) -> DataFrame:
-    """The inverted index over classes, without lists of one: h, cls, n, place, length of the list and rank in it by size."""
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    entries = classes.select("cls", "n", F.posexplode("prefix").alias("place", "h"))
-    by_list = Window.partitionBy("h")
-    return entries.withColumn("length", F.count("*").over(by_list)).where("length > 1").withColumn("rank", F.row_number().over(by_list.orderBy("n", "cls")))
+ENTRIES = "h bigint, cls bigint, n bigint, place int, long boolean"
+
 
+def index_lists(signed: DataFrame) -> DataFrame:
+    """The inverted index over classes: h, cls, n, place and whether the list is long; nearly all lists of one are left out.
 
-def _may_link(rule: Jaccard, x: str, y: str) -> Column:
-    """Sizes fit, and what is left after the places of a common first shingle is enough."""
+    Lists are counted first, by partial sums, and bitmaps of a fixed size tell the tasks that read the prefixes which
+    elements have more than one entry, and which have many. So no list, however long, is gathered or sorted in one task.
+    An element that shares a bit with a long list's counts as one too, which changes how its sets are compared, never which link.
+    """
+    classes = written(signed.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    counts = written(classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("length")).where("length > 1"), "lengths")
+    many = bitmap_of(counts, "h", BITMAP_BITS)
+    long = bitmap_of(counts.where(F.col("length") > SHORT_LIST), "h", BITMAP_BITS)
+    dropped(counts)
+    shared = signed.sparkSession.sparkContext.broadcast((many, long))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, long = shared.value
+        for b in _by_part(batches, 2048):
+            sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            h = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            kept = np.flatnonzero(in_bitmap(many, h))
+            of = np.repeat(np.arange(len(sizes)), sizes)[kept]
+            place = (np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[kept]
+            columns = [h[kept], b.column(0).to_numpy()[of], b.column(1).to_numpy()[of], place.astype(np.int32), in_bitmap(long, h[kept])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "cls", "n", "place", "long"])
+
+    return classes.mapInArrow(entries, ENTRIES)
+
+
+def size_block(n: Column, rule: Jaccard) -> Column:
+    """Blocks of sizes, two from a size to the largest that it can link to."""
+    return F.floor(F.log(n.cast("double")) * 2 / float(np.log(rule.den / rule.num)))
+
+
+def meetings(short: DataFrame, rule: Jaccard) -> DataFrame:
+    """Entries of one list, x and y, that may link: x looks into the blocks of sizes from its own up to the largest that its place leaves open."""
+    largest = F.least(F.floor((F.col("n") - F.col("place")) * (rule.den + rule.num) / rule.num) - F.col("n"), F.floor(F.col("n") * rule.den / rule.num))
+    x = short.withColumn("largest", largest).where("largest >= n")
+    x = x.withColumn("block", F.explode(F.sequence(size_block(F.col("n"), rule), size_block(F.col("largest"), rule)))).alias("x")
+    y = short.withColumn("block", size_block(F.col("n"), rule)).alias("y")
     c = lambda t, k: F.col(f"{t}.{k}")
-    left = 1 + F.least(c(x, "n") - c(x, "place"), c(y, "n") - c(y, "place")) - 1
-    return (rule.num * F.greatest(c(x, "n"), c(y, "n")) <= rule.den * F.least(c(x, "n"), c(y, "n"))) & (left >= rule.needed(c(x, "n"), c(y, "n")))
+    after = (c("x", "n") < c("y", "n")) | ((c("x", "n") == c("y", "n")) & (c("x", "cls") < c("y", "cls")))
+    enough = (c("y", "n") <= c("x", "largest")) & (c("y", "n") - c("y", "place") >= rule.needed(c("x", "n"), c("y", "n")))
+    return x.join(y, (c("x", "h") == c("y", "h")) & (c("x", "block") == c("y", "block")) & after & enough)
 
 
 def short_pairs(lists: DataFrame, rule: Jaccard) -> DataFrame:
     """Pairs from short lists that their sizes, places and what their prefixes share leave open."""
-    short = lists.where(F.col("length") <= SHORT_LIST)
-    x = short.alias("x").join(short.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.rank") < F.col("y.rank")) & _may_link(rule, "x", "y"))
+    x = meetings(lists.where("not long"), rule)
     x = x.groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.least("x.n", "y.n").alias("n1"), F.greatest("x.n", "y.n").alias("n2")).agg(
         F.count("*").alias("seen"), F.min(F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))).alias("left"))
     # after the last common shingle of the prefixes at most `left` - 1 more can be shared; lists that are long are not counted in `seen`
-    long = lists.where(F.col("length") > SHORT_LIST).groupBy("cls").agg(F.count("*").alias("more"))
+    long = lists.where("long").groupBy("cls").agg(F.count("*").alias("more"))
     x = x.join(long.withColumnRenamed("cls", "a"), "a", "left")
     return x.where(F.col("seen") + F.coalesce("more", F.lit(0)) + F.col("left") - 1 >= rule.needed(F.col("n1"), F.col("n2"))).select("a", "b")
 
@@ -257,7 +291,7 @@ def short_pairs(lists: DataFrame, rule: Jaccard) -> DataFrame:
 def long_lists(lists: DataFrame, rule: Jaccard) -> DataFrame:
     """The long lists with each entry's block of sizes and the leaders (smallest class) of its block and of the block below."""
     block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(rule.den / rule.num)))
-    big = lists.where(F.col("length") > SHORT_LIST).withColumn("block", block)
+    big = lists.where("long").withColumn("block", block)
     lead = big.groupBy("h", "block").agg(F.min("cls").alias("leader"))
     below = lead.select("h", (F.col("block") + 1).alias("block"), F.col("leader").alias("leader_below"))
     return big.join(lead, ["h", "block"]).join(below, ["h", "block"], "left")
@@ -350,35 +384,56 @@ def near_duplicates(docs: DataFrame, rule: Jaccard | None = None) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("cls").alias("set_class"))
 
 
-def _with_class(docs: DataFrame, rule: Jaccard) -> DataFrame:
-    """`docs` with the class of each row's set as _set."""
+def _with_set(rows: DataFrame, rule: Jaccard) -> DataFrame:
+    """`rows` with the class of each text's set as `set`."""
     def classes(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tool = Shingler(rule.words)
         for texts in parts:
             yield pa.array([_class_of(s) for at in range(0, len(texts), 256) for s in tool.sets(texts.slice(at, 256).to_pylist())], pa.int64())
 
     classes.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn("_set", F.arrow_udf(classes, "bigint")(F.col("text").cast("string")))
+    return rows.withColumn("set", F.arrow_udf(classes, "bigint")("text"))
 
 
 def one_of_each(docs: DataFrame, rule: Jaccard | None = None) -> DataFrame:
-    """The rows of `docs` to keep, with all their columns: of each component those with its smallest doc_id, and of these one set's.
+    """The rows of `docs` to keep, with all their columns: one of each component, a row with its smallest doc_id.
 
     Rows are judged by doc_id and set together, so rows that share an id, or have none, answer for their own components
-    alone. Of a component without any id one row stays. Copies with one set under one id all stay, and so do rows without words.
+    alone; of rows equal in both one stays. Of a component without any id one row stays. Rows without words all stay.
     """
     rule = rule or Jaccard()
-    rows = _in_components(docs, rule).where("cls is not null")
-    gone = written(rows.where("cls != kept or not doc_id <=> component_id").select(F.col("doc_id").alias("_gone"), F.col("cls").alias("_gone_set")).distinct(), "gone")
-    own_id = F.col("doc_id").cast("bigint")
-    named = _with_class(docs.where(own_id.isNotNull()), rule)
-    named = named.join(gone.where("_gone is not null"), (own_id == F.col("_gone")) & (F.col("_set") == F.col("_gone_set")), "left_anti").drop("_set")
-    bare = _with_class(docs.where(own_id.isNull()), rule)
-    bare = bare.join(gone.where("_gone is null"), F.col("_set") == F.col("_gone_set"), "left_anti")
-    bare = bare.withColumn("_wordless", F.when(F.col("_set").isNull(), F.monotonically_increasing_id())).dropDuplicates(["_set", "_wordless"])
-    return named.unionByName(bare.drop("_set", "_wordless"))
+
+    def judge() -> DataFrame:
+        groups = _in_components(docs, rule).where("cls is not null").groupBy("doc_id", "cls").agg(F.first("kept").alias("kept"), F.first("component_id").alias("component_id"), F.count("*").alias("rows"))
+        gone = (F.col("cls") != F.col("kept")) | ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+        return groups.select("doc_id", "cls", gone.alias("gone"), "rows").where("gone or rows > 1")
+
+    judged = settled(judge, "judged")
+    go = judged.where("gone").select(F.col("doc_id").alias("gone_id"), F.col("cls").alias("gone_set"))
+    several = judged.where("not gone").select(F.col("doc_id").alias("several_id")).distinct()  # ids that kept rows share
+    rows = docs.select(whole(docs), F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+
+    def kept(how: str) -> DataFrame:
+        part = _with_set(rows.join(several, F.col("id").eqNullSafe(F.col("several_id")), how), rule)
+        return part.join(go, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("set") == F.col("gone_set")), "left_anti")
+
+    again = kept("left_semi").withColumn("wordless", F.when(F.col("set").isNull(), F.monotonically_increasing_id()))
+    return kept("left_anti").select("row.*").unionByName(again.dropDuplicates(["id", "set", "wordless"]).select("row.*"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and component, 4-word shingles at 0.85."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def oracle_sql(rule: Jaccard | None = None) -> str:
+    """DuckDB SQL with the rows of op5_ngram_jaccard: all pairs that share a shingle, and all that each document reaches."""
+    r = rule or Jaccard()
+    lower = "translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH RECURSIVE d AS (SELECT ROW_NUMBER() OVER () AS k, CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT k, array_to_string(w[i : i + {r.words - 1}], ' ') AS g FROM d, range(1, greatest(len(w) - {r.words - 1}, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1) t(i)),
+n AS (SELECT k, COUNT(*) AS n FROM s GROUP BY 1),
+shares AS (SELECT a.k AS a, b.k AS b, COUNT(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+link AS (SELECT a, b FROM shares JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE {r.den} * m >= {r.num} * (x.n + y.n - m)),
+reach AS (SELECT k AS a, k AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT d.doc_id, COALESCE(ANY_VALUE(n.n), 0) AS n_shingles, MIN(o.doc_id) AS component_id FROM d LEFT JOIN n ON n.k = d.k JOIN reach ON reach.a = d.k JOIN d o ON o.k = reach.b GROUP BY d.k, d.doc_id"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import jaccard_join, mixing
 from .brown_lm import op10_brown_lm
 from .decision_list import op8_decision_list
 from .guess_cost import op4_guess_cost_secrets
@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op1_mixing": mixing.oracle_sql()}
+    return {"op1_mixing": mixing.oracle_sql(), "op5_ngram_jaccard": jaccard_join.oracle_sql()}

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, in_bitmap, table, window_hashes
+from .common import bitmap_of, in_bitmap, settled, table, whole, window_hashes
 
 WINDOW = 8
 #: A diagonal must cover this many words, or all but one of a shorter item's.
@@ -234,9 +234,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` whose document repeats no benchmark item, with all their columns."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_leaked")), "left_anti")
+    """The rows of `docs` that repeat no benchmark item, with all their columns: row by row, whatever their ids.
+
+    Whether a row does depends on its text alone, so rows go by a hash of their text. Those hashes are few and written
+    first, so that Spark sees whether they may be broadcast.
+    """
+    rows = docs.select(whole(docs), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    bad = settled(lambda: leaks(rows.select(F.col("h").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("h")).distinct(), "leaks")
+    return rows.join(bad, "h", "left_anti").select("row.*")
 
 
 def op7_template_decon(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+from collections import defaultdict
+
 import pytest
 
 from cellgrid.llm import template_decon as D
@@ -75,3 +79,88 @@ def test_edges(edges, nothing, spark, benchmark):
     assert D.leaks(edges, benchmark.limit(0)).count() == 0
     kept = D.without_leaks(edges, benchmark)
     assert kept.columns == edges.columns and kept.count() == edges.count()
+    assert kept.first().place == "place!"
+
+
+def test_rows_are_judged_one_by_one(spark, benchmark):
+    docs = spark.createDataFrame([(None, ITEM), (None, "a clean text"), (4, "another clean text"), (4, ITEM), (5, None)], "doc_id bigint, text string")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in D.without_leaks(docs, benchmark).collect()))) == sorted(map(str, [(None, "a clean text"), (4, "another clean text"), (5, None)]))
+
+
+def canonical(text):
+    """(template, value) of every word: value is the word where a slot stands for it."""
+    out, before, fresh = [], None, True
+    for w in text.split():
+        core = re.sub(r"^[^\w$€£+-]+|[^\w%]+$", "", w)
+        number = re.fullmatch(r"[+-]?[$€£]?\d[\d.,:/]*(st|nd|rd|th|%)?", core)
+        kind = "number" if number else "unit" if core.lower() in D.UNITS else "name" if core[:1].isupper() and not core.isupper() else None
+        slot = kind if kind == "number" or (kind == "unit" and before == "number") or (kind == "name" and not fresh) else None
+        out.append((f"<{slot}>" if slot else core.lower(), core.lower() if slot else None))
+        before, fresh = kind, w[-1] in ".!?:;|" or not core
+    return out
+
+
+def longest_match(doc, item):
+    """The most words of an item that a diagonal or a chain of pieces covers, by comparing every window with every window and trying every chain; None if too few."""
+    d, i = canonical(doc), canonical(item)
+    if not i:
+        return None
+    size = min(8, len(i))
+    lines = defaultdict(list)
+    for a in range(len(d) - size + 1):
+        for b in range(len(i) - size + 1):
+            x, y = d[a : a + size], i[b : b + size]
+            enough = sum(v is None for _, v in y) >= min(4, size)
+            same = [t for t, _ in x] == [t for t, _ in y] if enough else [v or t for t, v in x] == [v or t for t, v in y] and [v is None for _, v in x].count(True) < min(4, size)
+            if same:
+                lines[a - b].append((b, enough, {(q, p) for (_, p), (_, q) in zip(x, y) if q and enough}))
+    need, best, pieces = min(13, max(1, len(i) - (len(i) > 3))), 0, []
+    one_to_one = lambda m: len({q for q, _ in m}) == len(m) == len({p for _, p in m})
+    for line, hits in lines.items():
+        pairs = set().union(*(m for _, _, m in hits))
+        if not one_to_one(pairs):
+            hits, pairs = [h for h in hits if not h[1]], set()
+        covered = sorted({b + k for b, _, _ in hits for k in range(size)})
+        if len(covered) >= need:
+            best = max(best, len(covered))
+        runs = []
+        for b, _, _ in hits:
+            if runs and b <= runs[-1][1]:
+                runs[-1][1] = b + size
+            else:
+                runs.append([b, b + size])
+        pieces += [(line + a, a, z, pairs) for a, z in runs]
+
+    def chain(last, covered, pairs):
+        nonlocal best
+        if covered >= need:
+            best = max(best, covered)
+        for p in pieces:
+            if last[0] < p[0] and last[1] < p[1] and last[2] < p[2] and p[0] - (last[0] + last[2] - last[1]) <= 16 and p[1] - last[2] <= 16 and one_to_one(pairs | p[3]):
+                chain(p, covered + p[2] - max(p[1], last[2]), pairs | p[3])
+
+    for p in pieces:
+        chain(p, p[2] - p[1], p[3])
+    return best or None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_equals_all_windows_and_chains(spark, seed):
+    """Copies with words changed, put in, left out and other numbers, around the least length."""
+    rnd = random.Random(seed)
+    plain = [f"w{k}" for k in "abcdefghijklmnopqrstuvwx"]
+    word = lambda: rnd.choice([*plain, *plain, "Anna", "Boris", "12", "7", "km", "99"])
+    items = [" ".join(word() for _ in range(rnd.choice([3, 6, 10, 14, 20, 30]))) for _ in range(14)]
+    docs = []
+    for k in range(250):
+        w = rnd.choice(items).split()
+        a = rnd.randrange(0, 1 + len(w) // 3)
+        w = w[a : a + rnd.randrange(5, 31)]
+        for _ in range(rnd.choice([0, 0, 1, 1, 2, 3])):
+            at = rnd.randrange(len(w) or 1)
+            w[at : at + rnd.randrange(2)] = [word() for _ in range(rnd.randrange(3))]
+        swap = {"12": "31", "7": "12" if rnd.random() < 0.5 else "8", "Anna": "Clara"} if rnd.random() < 0.4 else {}
+        docs.append((k, " ".join([word() for _ in range(rnd.randrange(4))] + [swap.get(x, x) for x in w] + [word() for _ in range(rnd.randrange(4))])))
+    got = {(r.doc_id, r.item_id): r.covered_words for r in D.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()}
+    want = {(k, i): n for k, text in docs for i, item in enumerate(items) if (n := longest_match(text, item))}
+    assert got == want and len(want) > 30

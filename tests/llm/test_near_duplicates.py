@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -80,22 +81,48 @@ def test_edges(edges, nothing):
     assert J.near_duplicates(nothing).count() == 0
     kept = J.one_of_each(edges, J.Jaccard(5, 80, 100))
     assert kept.columns == edges.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([0, 1, 2, 3, 4, 5, 7, 8, None, 9, 9, 9])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([0, 1, 2, 3, 4, 5, 7, 8, None, 9, 9])
 
 
 def test_rows_of_one_id_answer_for_their_own_groups(spark):
     text = lambda k: " ".join(f"{k}word{i}" for i in range(40))
     rows = [
         (3, text("a")), (9, text("a") + " more"), (9, text("b")), (10, text("b") + " more"), (None, text("a") + " other"), (None, text("c")),
-        (None, text("d")), (None, text("d")), (None, text("d") + " more"), (None, ""), (None, None), (11, text("e")), (11, text("e") + " more"),
+        (None, text("d")), (None, text("d")), (None, text("d") + " more"), (None, ""), (None, None), (11, text("e")), (11, text("e") + " more"), (12, text("f")), (12, text("f")), (12, text("f")), (12, None), (12, None),
     ]
     kept = [(r.doc_id, r.text) for r in J.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), J.Jaccard(5, 80, 100)).collect()]
     d = [t for _, t in kept if t and t.startswith("d")]
     e = [(i, t) for i, t in kept if t and t.startswith("e")]
     assert len(d) == 1 and len(e) == 1 and e[0] in rows
-    assert Counter(k for k in kept if not (k[1] or "")[:1] in ("d", "e")) == Counter([(3, text("a")), (9, text("b")), (None, text("c")), (None, ""), (None, None)])
+    assert Counter(k for k in kept if not (k[1] or "")[:1] in ("d", "e")) == Counter([(3, text("a")), (9, text("b")), (None, text("c")), (None, ""), (None, None), (12, text("f")), (12, None), (12, None)])
 
 
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(70)] + [(100, 101)], "a bigint, b bigint")
     assert {(r.cls, r.label) for r in J.components(chain).collect()} == {(k, 0) for k in range(71)} | {(100, 100), (101, 100)}
+
+
+@pytest.mark.parametrize("rule", [J.Jaccard(), J.Jaccard(5, 80, 100)])
+def test_blocks_are_skipped_by_size_and_place(spark, rule):
+    """Entries meet exactly where sizes and places leave a link open, and blocks keep most other pairs of a list from being formed."""
+    rnd = random.Random(1)
+    entries = []
+    for h in range(40):
+        for cls in rnd.sample(range(1000), 12):
+            n = rnd.randrange(5, 400)
+            entries.append((h, cls, n, rnd.randrange(rule.prefix(n))))
+    got = {(r["h"], *sorted((r["a"], r["b"]))) for r in J.meetings(spark.createDataFrame(entries, "h bigint, cls bigint, n bigint, place int"), rule).selectExpr("x.h", "x.cls a", "y.cls b").collect()}
+    want, blocked, all_pairs = set(), 0, 0
+    block = lambda n: math.floor(math.log(n) * 2 / math.log(rule.den / rule.num))
+    for k, (h, a, n, p) in enumerate(entries):
+        for g, b, m, q in entries[k + 1 :]:
+            if g != h:
+                continue
+            all_pairs += 1
+            need = -(-rule.num * (n + m) // (rule.den + rule.num))
+            if min(n - p, m - q) >= need and rule.num * max(n, m) <= rule.den * min(n, m):
+                want.add((h, *sorted((a, b))))
+            (n1, p1), (m1, _) = sorted([(n, p), (m, q)])
+            largest = min((n1 - p1) * (rule.den + rule.num) // rule.num - n1, n1 * rule.den // rule.num)
+            blocked += largest >= n1 and block(n1) <= block(m1) <= block(largest)
+    assert got == want and len(want) <= blocked < all_pairs / 4
