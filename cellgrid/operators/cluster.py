@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, dropped, running_total
+from ..session import cut, cut_and_seen, dropped, running_total
 from .neighborhood import pairs
 from .reach import hops
 
@@ -35,10 +35,11 @@ def least_labels(edges: DataFrame) -> DataFrame:
         low = edges.join(labels.withColumnRenamed("dggid", "neighbor"), "neighbor").groupBy("dggid").agg(F.min("label").alias("low"))
         low = labels.join(low, "dggid").select("dggid", "label", F.least("label", "low").alias("low"))
         jump = labels.select(F.col("dggid").alias("low"), F.col("label").alias("far"))
-        after = cut(low.join(jump, "low").select("dggid", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("moved")))
+        step = low.join(jump, "low").select("dggid", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("moved"))
+        after, seen = cut_and_seen(step, F.max("moved").alias("moved"))
         dropped(labels)
         labels = after.select("dggid", "label")
-        if after.where("moved").isEmpty():
+        if not seen["moved"]:
             dropped(edges)
             return labels
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, dropped
+from ..session import cut_and_seen, dropped
 from .neighborhood import pairs
 
 
@@ -27,14 +27,17 @@ def flow_accumulation(elevation: DataFrame, direction: DataFrame, max_depth: int
     over 2^k steps, one join gives both for k + 1; so the rounds grow with the logarithm of the longest path, and paths are
     never listed. It ends when no pointer is left, or where paths reach `max_depth`, if given (the next power of two).
     """
-    flow = cut(elevation.where("value_num is not null").select("dggid", F.lit(1).cast("bigint").alias("flow")))
-    to = cut(direction.select("dggid", "target"))
+    start = elevation.where("value_num is not null").select("dggid", F.lit(1).cast("bigint").alias("flow"))
+    pointers = F.count("target").alias("pointers")
+    state, seen = cut_and_seen(start.join(direction.select("dggid", "target"), "dggid", "left"), pointers)
     reach = 1
-    while (max_depth is None or reach < max_depth) and not to.isEmpty():
-        sent = to.join(flow, "dggid").groupBy(F.col("target").alias("dggid")).agg(F.sum("flow").alias("more"))
-        more = cut(flow.join(sent, "dggid", "left").select("dggid", (F.col("flow") + F.coalesce("more", F.lit(0))).alias("flow")))
-        on = cut(to.join(to.select(F.col("dggid").alias("target"), F.col("target").alias("far")), "target").select("dggid", F.col("far").alias("target")))
-        dropped(flow, to)
-        flow, to = more, on
+    while seen["pointers"] and (max_depth is None or reach < max_depth):
+        sent = state.where("target is not null").groupBy(F.col("target").alias("dggid")).agg(F.sum("flow").alias("more"))
+        far = state.select(F.col("dggid").alias("target"), F.col("target").alias("far"))
+        ahead = state.join(far, "target", "left").select("dggid", "flow", F.col("far").alias("target"))
+        step = ahead.join(sent, "dggid", "left").select("dggid", (F.col("flow") + F.coalesce("more", F.lit(0))).alias("flow"), "target")
+        after, seen = cut_and_seen(step, pointers)
+        dropped(state)
+        state = after
         reach *= 2
-    return flow
+    return state.select("dggid", "flow")

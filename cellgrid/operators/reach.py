@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, dropped
+from ..session import cut, cut_and_seen, dropped
 
 #: Steps in one plan before it is cut.
 PLAN_STEPS = 6
@@ -121,8 +121,8 @@ def voronoi(seeds: DataFrame, topo: DataFrame, radius: int = 50) -> DataFrame:
     for k in range(1, radius + 1):
         near = levels[-1].join(edges, "dggid").groupBy(F.col("neighbor_dggid").alias("dggid")).agg(F.min("seed").alias("seed"))
         met = levels[-1].select("dggid") if k == 1 else levels[-1].select("dggid").union(levels[-2].select("dggid"))
-        new = cut(near.join(met, "dggid", "left_anti").withColumn("distance", F.lit(k).cast("bigint")))
-        if new.isEmpty():
+        new, seen = cut_and_seen(near.join(met, "dggid", "left_anti").withColumn("distance", F.lit(k).cast("bigint")), F.count("dggid").alias("cells"))
+        if not seen["cells"]:
             break
         levels.append(new)
     return reduce(DataFrame.unionByName, levels)
@@ -197,12 +197,11 @@ def shortest_path(topo: DataFrame, start: str, end: str, cost: DataFrame | None
         step = F.struct((F.col("best.cost") + F.col("c")).alias("cost"), (F.col("best.hops") + 1).alias("hops"), F.col("dggid").alias("before"))
         found = front.join(edges, "dggid").select(F.col("to").alias("dggid"), step.alias("best"), F.lit(True).alias("new"))
         both = state.withColumn("new", F.lit(False)).unionByName(found)
-        after = cut(both.groupBy("dggid").agg(F.min(F.struct("best", "new")).alias("m")).select("dggid", "m.best", "m.new"))
+        step = both.groupBy("dggid").agg(F.min(F.struct("best", "new")).alias("m")).select("dggid", "m.best", "m.new")
+        after, seen = cut_and_seen(step, F.max("new").alias("new"), F.min(F.when(F.col("dggid") == end, F.col("best.cost"))).alias("bound"))
         dropped(state)
-        state = after
-        now = state.agg(F.max("new").alias("new"), F.min(F.when(F.col("dggid") == end, F.col("best.cost"))).alias("bound")).first()
-        bound = now.bound
-        if not now.new:
+        state, bound = after, seen["bound"]
+        if not seen["new"]:
             break
     way = state.select("dggid", F.col("best.before").alias("before"))
     line, stretch, far = cut(spark.range(1).select(F.lit(end).alias("dggid"), F.lit(0).alias("back"))), cut(way.where("before is not null")), 1

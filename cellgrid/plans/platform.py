@@ -455,4 +455,15 @@ add(
 
 # -- no SQL: the hull's corners
 add("zone_hull", None, lambda f: geometry.convex_hull(f.zone().withColumn("c", LATTICE.centroid(F.col("dggid"))).select("zone_id", "dggid", "c.lon", "c.lat"), "zone_id"))
-add("demo_layer_regions", None, lambda f: rasters.demo_layer(f.spark, LATTICE, rasters.DEMO_LAYERS[0]))
+
+# -- demo layers
+_L2 = f"""lattice AS (SELECT a.v AS q, b.v AS r FROM range(-40, 41) a(v), range(-40, 41) b(v)),
+        xy AS (SELECT q, r, 10.0::DOUBLE * sqrt(3.0::DOUBLE) * (q + r / 2.0::DOUBLE) x, 15.0::DOUBLE * r y FROM lattice),
+        ll AS (SELECT q, r, x * cos(pi() / 3) - y * sin(pi() / 3) lon, degrees(asin(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, radians(x * sin(pi() / 3) + y * cos(pi() / 3)))))) lat FROM xy),
+        z AS (SELECT {_ID.format(l=2, q='q', r='r')} AS dggid, lon, lat FROM ll),
+        u AS (SELECT *, CAST(('0x' || md5('region:' || dggid)[1:8]) AS BIGINT) % 1000000 / 1000000.0::DOUBLE AS u FROM z)"""
+add(
+    "demo_layer_regions",
+    f"WITH {_L2} SELECT dggid, CAST(0 AS BIGINT) AS tid, 'region' AS attr_key, CASE WHEN u < 0.4 THEN 'region_a' WHEN u < 0.75 THEN 'region_b' ELSE 'region_c' END AS value_text FROM u WHERE lon BETWEEN -140 AND 140 AND lat BETWEEN -70 AND 70",
+    lambda f: rasters.demo_layer(f.spark, LATTICE, rasters.DEMO_LAYERS[0]),
+)

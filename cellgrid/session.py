@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,13 @@ def cut(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_and_seen(df: DataFrame, *seen: Column, name: str = "step") -> tuple[DataFrame, dict]:
+    """`df` as by `cut`, and what aggregates over its rows give, gathered while it is written: no second job."""
+    watch = Observation()
+    out = cut(df.observe(watch, *seen), name)
+    return out, watch.get
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files behind tables made by `cut` that nothing will read again."""
     for df in tables:

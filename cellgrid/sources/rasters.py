@@ -86,7 +86,8 @@ def to_ingest(manifest: DataFrame, datasets: DataFrame) -> DataFrame:
 
 def _draw(key: str, *salt: str) -> Column:
     """A number from 0 to 1 by a hash of the cell's id, so that runs agree."""
-    return F.pmod(F.xxhash64(F.lit(key), *map(F.lit, salt), "dggid"), F.lit(1_000_000)) / 1_000_000
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(key), *map(F.lit, salt), F.col("dggid")).cast("binary")), 1, 8), 16, 10)
+    return F.pmod(h.cast("bigint"), F.lit(1_000_000)) / 1_000_000
 
 
 def synthetic(zones: DataFrame, key: str, classes: dict[str, int] | None = None, low: float = 0.0, high: float = 1.0, pattern: str | None = None) -> DataFrame:
