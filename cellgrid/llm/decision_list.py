@@ -157,12 +157,13 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], bins: int = 48
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(features, bad) of the labelled sample; rows without doc_id or quality don't count, of repeated labels the lowest does."""
+    """(features, bad) of the labelled sample, one row for each id; rows without doc_id or quality don't count, of repeated labels the lowest does, and of rows that share an id those with the least features."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = hash_sample(chosen, "doc_id", sample_rows)
     x = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id")
-    rows = x.select("doc_id", "quality", *[v.alias(k) for k, v in features().items()]).collect()  # about sample_rows ids, times copies of an id
-    rows.sort(key=lambda r: tuple(r))
+    x = x.select("doc_id", "quality", F.struct(*[v.alias(k) for k, v in features().items()]).alias("x"))
+    rows = x.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).select("doc_id", "quality", "x.*").collect()
+    rows.sort(key=lambda r: r.doc_id)
     values = np.array([list(r)[2:] for r in rows], float).reshape(-1, len(FEATURES))
     return values, np.array([r.quality == 0 for r in rows], bool)
 

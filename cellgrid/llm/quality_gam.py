@@ -153,15 +153,16 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, sample_r
     """The model from labelled documents outside the held-out fold (crc32 of doc_id as text, modulo 4).
 
     Labels without doc_id or quality don't count; of repeated labels of a document the lowest does. About `sample_rows`
-    label ids at most are broadcast, and only their documents' features come to the driver.
+    label ids at most are broadcast, and only their documents' features come to the driver, one row for each id: where rows
+    share an id, those that are least.
     """
     chosen = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     if held_out is not None:
         chosen = chosen.where(crc32_of_id("doc_id") % 4 != held_out)
     chosen = hash_sample(chosen, "doc_id", sample_rows)
     few = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-    rows = with_features(few).join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
+    rows = with_features(few).groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(chosen), "doc_id").collect()
+    rows.sort(key=lambda r: r.doc_id)
     return fit(np.array([r.x for r in rows], float).reshape(-1, len(FEATURES)), np.array([float(r.quality > 0) for r in rows]))
 
 
