@@ -158,8 +158,8 @@ def unpack_chunk(n_ids: int, plane_bytes: list[int], planes: bytes, block_ids: i
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, layout: str = "byte", level: int = 3) -> None:
     """Writes the ids of every text of `docs` (doc_id, text) to `path`, in ascending doc_id order over the files.
 
-    The texts are dealt by ranges of doc_id and sorted within a range, each range makes one file, and the file numbers
-    follow the ranges. A null text is empty (its document is the end id alone); a null doc_id comes first; repeated
+    The texts are dealt by ranges of doc_id and row and sorted within a range, so an id that many rows share is spread over
+    ranges like any other ids; each range makes one file, and the file numbers follow the ranges. A null text is empty (its document is the end id alone); a null doc_id comes first; repeated
     doc_ids stay as separate documents, side by side. An empty table writes files without chunks.
     """
     end = np.array([end_id], "<u4").tobytes()
@@ -192,8 +192,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
         if held:
             yield chunk()
 
-    ranged = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encode, CHUNKS).write.option("compression", "none").parquet(path)
+    order = [F.col("doc_id").asc_nulls_first(), "row_no"]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row_no"))
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    sorted_rows.mapInArrow(encode, CHUNKS).write.option("compression", "none").parquet(path)
 
 
 CHUNK_ARROW = pa.schema([("file_no", pa.int32()), ("chunk_no", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("plane_bytes", pa.list_(pa.int32())), ("planes", pa.binary())])

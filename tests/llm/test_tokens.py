@@ -81,3 +81,16 @@ def test_counts(edges, nothing):
         n = len(ref.encode(r.text or "", add_special_tokens=False).ids)
         want.append((str(r.doc_id), len((r.text or "").encode()), n, n > 1024))
     assert got == sorted(want) and C.count_tokens(nothing).count() == 0
+
+
+def test_rows_of_one_id_are_spread_over_files(spark, tmp_path):
+    docs = spark.createDataFrame([(None if k % 4 else k, "the same words " * (1 + k % 3)) for k in range(2000)], "doc_id bigint, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        T.write_token_files(docs, str(tmp_path / "hot"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = T.read_token_files(spark, str(tmp_path / "hot")).orderBy("start").collect()
+    assert len(rows) == 2000 and all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:], strict=False))
+    ids = [-1 if r.doc_id is None else r.doc_id for r in rows]
+    assert ids == sorted(ids) and len({r.file_no for r in rows if r.doc_id is None}) > 1
