@@ -1,9 +1,11 @@
 """Secret scans by the cost of guessing.
 
 Values in credential contexts are segmented by dynamic programming into words, dates, repeats, sequences, keyboard walks and
-brute-force spans, each with a number of guesses; the cheapest segmentation gives the value's guess cost. Three fixed
-patterns (assign, access, hex) are always reported; in wider contexts (passphrases, bearer tokens, connection strings, private keys) a value is
-reported only if its guess cost is high, so ordinary words after such a label are left alone.
+brute-force spans, each with a number of guesses; the cheapest segmentation gives the value's guess cost. Words cost their
+rank in a dictionary: fixed credential words first, then the corpus's own words by frequency, counted over all texts.
+Three fixed patterns (assign, access, hex) are always reported; in wider contexts a value is reported only if its guess cost
+is high, so ordinary words after such a label are left alone: after a credential's label, in connection strings, in key
+blocks, and, at a much higher cost, after any name (key=value, YAML, .env, JSON and header lines).
 """
 
 from __future__ import annotations
@@ -11,19 +13,22 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, insort
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import dropped, table, written
 
 #: The base patterns, as the contract fixes them.
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-KINDS = ("assign", "access", "hex", "context", "url", "key_block")
+#: Whole runs of at least 24 hexadecimal letters: what the base pattern `[0-9a-f]+` keeps.
+HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+KINDS = ("assign", "access", "hex", "context", "url", "key_block", "value")
 
 #: Wider contexts, looked at only where one of these marks is in the text.
 CONTEXT = re.compile(r"(?ai:\b(?:pass_?phrase|passcode|pwd|credentials?|authorization|bearer|auth_?key|access_?key|private_?key|client_?secret|session_?id)\b)[\"']?\x20*(?:[:=]|\x20is\x20|\x20)\x20*(?ai:bearer\x20+|basic\x20+)?[\"']?([^\s\"'<>|,;]{6,})")
@@ -32,23 +37,31 @@ KEY_MARK = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
 #: What stands between the mark of a block that was cut off and the next block's.
 KEY_LINES = re.compile(r"[A-Za-z0-9+/=\s]*")
 KEY_LEAST = 16
+#: A value after any name.
+NAMED = re.compile(r"(?<=[\w\"'\]])\x20?[:=]\x20?[\"']?([A-Za-z0-9+/_=.$!#%^&*~-]{16,})")
 _ASSIGN_MARKS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _CONTEXT_MARKS = ("pass", "pwd", "credential", "auth", "bearer", "key", "secret", "session")
 
 #: log10 of the guesses from which a value in a wider context counts as a secret.
 THRESHOLD = 8.0
+#: The same for a value after any name.
+NAMED_THRESHOLD = 20.0
+#: Words of the dictionary that the corpus gives, and the lengths of words that count.
+DICTIONARY_WORDS = 1 << 14
+WORD_LENGTHS = (3, 16)
+FLUSH = 400_000
 #: Longest block that counts as repeated.
 LONGEST_BLOCK = 16
 
 #: Words of credentials and configuration in order of use; a word costs its rank in guesses.
 WORDS = "password admin user root test guest login welcome letmein master dragon monkey shadow sunshine princess football baseball iloveyou secret token default changeme example sample demo public private server database system service client local localhost production staging development access account company office support manager internet computer superman batman hello world love summer winter spring autumn monday friday january october november december my the your for and with this that none null true false value string required unknown hidden removed redacted placeholder".split()
 _RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 #: Keyboard rows, along which walks go.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _AT = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
 _LEET = str.maketrans("@430!1$5", "aaeoiiss")
-_DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+_DAY = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
+_YEAR = re.compile(r"(?:19|20)\d\d")
 _VOWELS = frozenset("aeiouyáéíóúàèâêîôûäöü")
 
 
@@ -65,8 +78,8 @@ def _char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation of `value`; 0 for an empty one.
+def guess_cost(value: str, ranks: Mapping[str, int] = _RANK) -> float:
+    """log10 of the guesses of the cheapest segmentation of `value`; 0 for an empty one. `ranks` is the dictionary.
 
     best[j] is the cheapest way to the first j characters: from some i by one segment. Runs (repeats, sequences, walks)
     cost a start, a step and a length; words cost their rank, doubled for capitals or look-alike signs; dates cost the days
@@ -94,12 +107,15 @@ def guess_cost(value: str) -> float:
 
         if best[i] + chars[i] + extra < best[i + 1]:
             best[i + 1] = best[i] + chars[i] + extra
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):  # words
-            rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
+        for j in range(i + WORD_LENGTHS[0], min(n, i + WORD_LENGTHS[1]) + 1):  # words
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
-                to(j, math.log10(rank + 1) + (split if s[i:j] != low[i:j] else 0) + (split if low[i:j] not in _RANK else 0))
-        if m := _DATE.match(s, i):
-            to(m.end(), math.log10(119) if m.end() - i == 4 else math.log10(36500) + split)
+                to(j, math.log10(rank + 1) + (split if s[i:j] != low[i:j] else 0) + (split if low[i:j] not in ranks else 0))
+        if s[i].isdigit():
+            if m := _DAY.match(s, i):
+                to(m.end(), math.log10(36500) + split)
+            if _YEAR.match(s, i):
+                to(i + 4, math.log10(119))
         for size, same in enumerate(repeated, 1):  # one character, or a block, again and again
             if same[i] >= max(size, 2):
                 j = i + size + same[i] // size * size
@@ -165,65 +181,122 @@ def key_blocks(t: str) -> Iterator[tuple[int, int, str]]:
         begin = m if m[1] == "BEGIN" else None
 
 
-def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int, float]], list[tuple[int, int, int]]]:
-    """(all spans as (start, kind, end, guess cost), base spans as (start, kind, end)) of one whole text; null counts as empty."""
+class Spans:
+    """Intervals that don't overlap, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.held: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if self.held and a < self.held[-1][1]:
+                self.held[-1] = (self.held[-1][0], max(b, self.held[-1][1]))
+            else:
+                self.held.append((a, b))
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.held, (b,))
+        return not k or self.held[k - 1][1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        insort(self.held, (a, b))
+
+
+def find_secrets(text: str | None, ranks: Mapping[str, int] = _RANK) -> tuple[list[tuple[int, int, int, float]], list[tuple[int, int, int]]]:
+    """(all spans as (start, kind, end, guess cost), base spans as (start, kind, end)) of one whole text; null counts as empty.
+
+    Base spans may overlap each other; the others overlap none, and of two of them the kind that is named first stays.
+    """
     t = text or ""
     low = t.lower()
     base: list[tuple[int, int, int]] = []
-    found: list[tuple[int, int, int, float]] = []
+    values: list[str] = []
     if any(m in low for m in _ASSIGN_MARKS):
         for m in ASSIGN.finditer(t):
             if len(m[2]) >= 6:
                 base.append((m.start(), 0, m.end()))
-                found.append((m.start(), 0, m.end(), guess_cost(m[2])))
+                values.append(m[2])
     if "AKIA" in t:
         for m in ACCESS.finditer(t):
             if m.end() - m.start() >= 20:
                 base.append((m.start(), 1, m.end()))
-                found.append((m.start(), 1, m.end(), guess_cost(m[0])))
-    if _LONG_HEX.search(t):
-        for m in _LONG_HEX.finditer(t):
-            base.append((m.start(), 2, m.end()))
-            found.append((m.start(), 2, m.end(), guess_cost(m[0])))
-    held = [(a, b) for a, _, b in base]
+                values.append(m[0])
+    for m in HEX.finditer(t):
+        base.append((m.start(), 2, m.end()))
+        values.append(m[0])
+    found = [(*span, guess_cost(v, ranks)) for span, v in zip(base, values, strict=True)]
+    held = Spans([(a, b) for a, _, b in base])
 
     def add(kind: int, start: int, end: int, value: str, least: float = THRESHOLD) -> None:
-        if not any(a < end and start < b for a, b in held) and (cost := guess_cost(value)) >= least:
+        if held.free(start, end) and (cost := guess_cost(value, ranks)) >= least:
+            held.add(start, end)
             found.append((start, kind, end, cost))
 
     if any(m in low for m in _CONTEXT_MARKS):
         for m in CONTEXT.finditer(t):
             value = m[1].rstrip(".:)]}")
-            if any(c.isdigit() for c in value) or guess_cost(value) >= 2 * THRESHOLD:
-                add(3, m.start(1), m.start(1) + len(value), value)
+            add(3, m.start(1), m.start(1) + len(value), value, THRESHOLD if any(c.isdigit() for c in value) else 2 * THRESHOLD)
     if "://" in t:
         for m in URL.finditer(t):
             add(4, m.start(1), m.end(1), m[1], THRESHOLD / 2)
     if "PRIVATE KEY-----" in t:
         for start, end, body in key_blocks(t):
             add(5, start, end, "".join(body.split()))
+    for m in NAMED.finditer(t):
+        value = m[1].rstrip(".")
+        if value[0] not in "/.~" and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):  # no paths
+            add(6, m.start(1), m.start(1) + len(value), value, NAMED_THRESHOLD)
     return sorted(found), sorted(base)
 
 
-#: Whole runs of at least 24 hexadecimal letters: what the base pattern keeps.
-_LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+def ranked_words(docs: DataFrame, most: int = DICTIONARY_WORDS) -> dict[str, int]:
+    """The dictionary: the fixed words, then at most `most` of the most frequent words of letters in all texts, each with its rank; words of one count are in it together or not at all.
+
+    Words are counted in the tasks and by Spark. How many words have each count gives the least count that counts, so only
+    the list itself, of a fixed size, comes to the driver.
+    """
+    least, longest = WORD_LENGTHS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            w = [w for w in seen if least <= len(w) <= longest and w.isalpha()]
+            return pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([seen[x] for x in w], pa.int64())], ["word", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                seen.update((t or "").lower().split())
+                if len(seen) > FLUSH:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = written(words, "words")
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")))
+    least = words.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    top = words.where(F.col("n") >= (least if least is not None else 1 << 62)).collect()
+    dropped(words)
+    return {w: k for k, w in enumerate(dict.fromkeys([*WORDS, *(r.word for r in sorted(top, key=lambda r: (-r.n, r.word)))]), 1)}
 
 
 def _join(spans: list) -> str:
     return ",".join(f"{KINDS[s[1]]}:{s[0]}:{s[2]}" for s in spans)
 
 
-def scan_documents(docs: DataFrame) -> DataFrame:
+def scan_documents(docs: DataFrame, ranks: Mapping[str, int] | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_secrets and hardest (log10 guesses).
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind. Null, empty and clean texts have no
-    spans, zeros, the hash of the empty string and a null `hardest`. Null and repeated doc_ids are kept, one row each. No shuffle.
+    spans, zeros, the hash of the empty string and a null `hardest`. Null and repeated doc_ids are kept, one row each. Texts
+    are not shuffled. Without `ranks`, the dictionary is counted from all texts of `docs` first.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(dict(ranked_words(docs) if ranks is None else ranks))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
             for t in b.column(1).to_pylist():
-                spans, base = find_secrets(t)
+                spans, base = find_secrets(t, shared.value)
                 row = (*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans), len(spans), max((s[3] for s in spans), default=None))
                 for column, v in zip(out, row, strict=True):
                     column.append(v)
