@@ -197,7 +197,8 @@ add(
     lambda f: rollup.rollup_mode(f.zone().withColumnRenamed("zone_id", "value_text"), f.parent()),
 )
 _ID = """
-    'C{l}-' || CASE WHEN {q}<0 THEN 'n' ELSE '' END || CAST(abs({q}) AS VARCHAR) || '-' || CASE WHEN {r}<0 THEN 'n' ELSE '' END || CAST(abs({r}) AS VARCHAR)
+    'C{l}-' || CASE WHEN {q}<0 THEN 'n' ELSE '' END || CAST(abs({q}) AS VARCHAR) || '-' || CASE WHEN {r}<0 THEN 'n'
+    ELSE '' END || CAST(abs({r}) AS VARCHAR)
 """
 _UP = "CASE ((q-r)%3+3)%3 WHEN 1 THEN q-1 WHEN 2 THEN q+1 ELSE q END"
 add(
@@ -328,7 +329,8 @@ add(
 
 # -- neighbourhoods
 _SIG = """
-    CASE WHEN abs({z}) >= 2.58 THEN 'p<0.01' WHEN abs({z}) >= 1.96 THEN 'p<0.05' WHEN abs({z}) >= 1.65 THEN 'p<0.10' ELSE 'not significant' END
+    CASE WHEN abs({z}) >= 2.58 THEN 'p<0.01' WHEN abs({z}) >= 1.96 THEN 'p<0.05' WHEN abs({z}) >= 1.65 THEN 'p<0.10'
+    ELSE 'not significant' END
 """
 add(
     "morans_i",
@@ -365,9 +367,9 @@ add(
     "lisa",
     f"""
         WITH {_LISA} SELECT dggid, v AS value, ROUND(z, 4) AS z, ROUND(z * lag, 4) AS local_i, ROUND(lag, 4) AS lag,
-        k AS neighbor_count,
-        CASE WHEN abs(z * lag) <= 1.96 THEN 'NS' WHEN z > 0 AND lag > 0 THEN 'HH' WHEN z < 0 AND lag < 0 THEN 'LL' WHEN z > 0 AND lag < 0 THEN 'HL' WHEN z < 0 AND lag > 0 THEN 'LH' ELSE 'NS' END AS cluster_type,
-        abs(z * lag) > 1.96 AS significant FROM x
+        k AS neighbor_count, CASE WHEN abs(z * lag) <= 1.96 THEN 'NS' WHEN z > 0 AND lag > 0 THEN 'HH' WHEN z < 0
+        AND lag < 0 THEN 'LL' WHEN z > 0 AND lag < 0 THEN 'HL' WHEN z < 0 AND lag > 0 THEN 'LH'
+        ELSE 'NS' END AS cluster_type, abs(z * lag) > 1.96 AS significant FROM x
     """,
     lambda f: neighborhood.lisa(f.year(1997), f.topo()),
 )
@@ -404,9 +406,10 @@ add(
     """
         SELECT * FROM (SELECT COALESCE(a.dggid, b.dggid) AS dggid, a.value_num AS before, b.value_num AS after,
         COALESCE(b.value_num, 0) - COALESCE(a.value_num, 0) AS abs_change,
-        ROUND((b.value_num - a.value_num) / NULLIF(abs(a.value_num), 0) * 100, 6) AS pct_change,
-        CASE WHEN a.dggid IS NULL THEN 'appeared' WHEN b.dggid IS NULL THEN 'disappeared' WHEN b.value_num = a.value_num THEN 'stable' WHEN b.value_num > a.value_num THEN 'gain' ELSE 'loss' END AS change_type
-        FROM q97 a FULL JOIN q98 b ON a.dggid = b.dggid) WHERE change_type <> 'stable'
+        ROUND((b.value_num - a.value_num) / NULLIF(abs(a.value_num), 0) * 100, 6) AS pct_change, CASE
+        WHEN a.dggid IS NULL THEN 'appeared' WHEN b.dggid IS NULL THEN 'disappeared'
+        WHEN b.value_num = a.value_num THEN 'stable' WHEN b.value_num > a.value_num THEN 'gain'
+        ELSE 'loss' END AS change_type FROM q97 a FULL JOIN q98 b ON a.dggid = b.dggid) WHERE change_type <> 'stable'
     """,
     lambda f: rounded(neighborhood.change(f.year(1997), f.year(1998)), "pct_change"),
 )
@@ -623,7 +626,16 @@ add(
     """,
     lambda f: temporal.snapshot(f.qty(), 1998).select("dggid", "attr_key", "tid", "value_num"),
 )
-for _how, _f in (("mean", "AVG(value_num)"), ("sum", "SUM(value_num)"), ("min", "MIN(value_num)"), ("max", "MAX(value_num)"), ("count", "CAST(COUNT(value_num) AS DOUBLE)"), ("first", "arg_min(value_num, tid)"), ("last", "arg_max(value_num, tid)")):
+_OVER_TIME = {
+    "mean": "AVG(value_num)",
+    "sum": "SUM(value_num)",
+    "min": "MIN(value_num)",
+    "max": "MAX(value_num)",
+    "count": "CAST(COUNT(value_num) AS DOUBLE)",
+    "first": "arg_min(value_num, tid)",
+    "last": "arg_max(value_num, tid)",
+}
+for _how, _f in _OVER_TIME.items():
     add(
         f"temporal_aggregate_{_how}",
         f"""
@@ -645,14 +657,11 @@ add(
 add(
     "timeseries",
     """
-        SELECT tid - 1995 AS tid, CASE WHEN tid >= 1995 THEN ['instantaneous', 'minutely', 'hourly', 'daily', 'weekly', 'monthly', 'yearly', 'decade'][tid - 1994]
+        SELECT tid - 1995 AS tid, CASE
+        WHEN tid >= 1995 THEN ['instantaneous', 'minutely', 'hourly', 'daily', 'weekly', 'monthly', 'yearly', 'decade'][tid - 1994]
         ELSE 'unknown' END AS granularity, value_num FROM qty WHERE dggid = 'C3-7-1'
     """,
-    lambda f: temporal.timeseries(
-        f.qty().withColumn("tid", F.col("tid") - 1995),
-        "C3-7-1",
-        "quantity",
-    ).drop("value_text"),
+    lambda f: temporal.timeseries(f.qty().withColumn("tid", F.col("tid") - 1995), "C3-7-1", "quantity").drop("value_text"),
 )
 add(
     "temporal_moving_avg",
@@ -735,8 +744,8 @@ add(
 add(
     "annotations_filter",
     """
-        SELECT id, dggid, "type", visibility FROM ann
-        WHERE visibility = 'public' AND "type" IN ('src1', 'src2', 'src3')
+        SELECT id, dggid, "type", visibility FROM ann WHERE visibility = 'public'
+        AND "type" IN ('src1', 'src2', 'src3')
     """,
     lambda f: access.list_annotations(f.ann(), "public", ["src1", "src2", "src3"]).select("id", "dggid", "type", "visibility"),
 )
@@ -756,7 +765,8 @@ add(
 # -- shapes, upkeep and calendars
 _XY = """
     xy AS (SELECT dggid, q,
-    r, 30.0::DOUBLE * pow(3.0::DOUBLE, -1.5::DOUBLE) * sqrt(3.0::DOUBLE) * (q + r / 2.0::DOUBLE) x, 30.0::DOUBLE * pow(3.0::DOUBLE, -1.5::DOUBLE) * 1.5::DOUBLE * r y
+    r, 30.0::DOUBLE * pow(3.0::DOUBLE, -1.5::DOUBLE) * sqrt(3.0::DOUBLE) * (q + r / 2.0::DOUBLE) x,
+    30.0::DOUBLE * pow(3.0::DOUBLE, -1.5::DOUBLE) * 1.5::DOUBLE * r y
     FROM grid), ll AS (SELECT dggid, x * cos(pi() / 2) - y * sin(pi() / 2) lon, degrees(asin(greatest(-1.0::DOUBLE,
     least(1.0::DOUBLE, radians(x * sin(pi() / 2) + y * cos(pi() / 2)))))) lat FROM xy)
 """
@@ -823,8 +833,8 @@ add(
 add(
     "cells_upsert",
     """
-        SELECT COALESCE(b.dggid, a.dggid) AS dggid, COALESCE(b.value_num, a.value_num) AS value_num FROM q97 a
-        FULL JOIN q98 b ON a.dggid = b.dggid
+        SELECT COALESCE(b.dggid, a.dggid) AS dggid, COALESCE(b.value_num, a.value_num) AS value_num FROM q97 a FULL
+        JOIN q98 b ON a.dggid = b.dggid
     """,
     lambda f: tables.upsert(_at0(f.qty(), 1997).select(*CELL), _at0(f.qty(), 1998).select(*CELL)).select("dggid", "value_num"),
 )
@@ -854,12 +864,13 @@ add(
 _LOS = """
     o AS (SELECT value_num + 1.8::DOUBLE eye FROM elev
     WHERE dggid = 'C3-2-2'), t AS (SELECT g.dggid, g.q, g.r, e.value_num elevation,
-    (abs(q - 2) + abs(r - 2) + abs(q - 2 + r - 2)) // 2 AS depth
-    FROM grid g JOIN elev e ON e.dggid = g.dggid), n AS (SELECT t.*,
-    j, 'C3-' || CAST(CAST(round(2 + (q - 2) * j / depth::DOUBLE) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(round(2 + (r - 2) * j / depth::DOUBLE) AS BIGINT) AS VARCHAR) AS here
-    FROM t, range(1, 6) x(j)
-    WHERE depth BETWEEN 1 AND 6 AND j < depth), m AS (SELECT n.dggid, MAX((e.value_num - eye) / j) most
-    FROM n JOIN elev e ON e.dggid = n.here, o GROUP BY 1)
+    (abs(q - 2) + abs(r - 2) + abs(q - 2 + r - 2)) // 2 AS depth FROM grid g
+    JOIN elev e ON e.dggid = g.dggid), n AS (SELECT t.*,
+    j, 'C3-' || CAST(CAST(round(2 + (q - 2) * j / depth::DOUBLE) AS BIGINT) AS VARCHAR)
+    || '-' || CAST(CAST(round(2 + (r - 2) * j / depth::DOUBLE) AS BIGINT) AS VARCHAR) AS here
+    FROM t, range(1, 6) x(j) WHERE depth BETWEEN 1 AND 6
+    AND j < depth), m AS (SELECT n.dggid, MAX((e.value_num - eye) / j) most FROM n JOIN elev e ON e.dggid = n.here, o
+    GROUP BY 1)
 """
 add(
     "viewshed_los_r6",
