@@ -49,11 +49,6 @@ def whole(df: DataFrame, row: str = "row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """`df` written with its columns as the struct `row` and a number `n` of each row, which is the same whenever the rows are read again."""
-    return written(df.select(F.monotonically_increasing_id().alias("n"), whole(df)), "numbered")
-
-
 def listed(spark: SparkSession, rows: Iterable[tuple], schema: str, name: str) -> DataFrame:
     """A table of the driver's own numbers, few by their nature: written as one text file to the shared folder and read by Spark, so that no Python runs on executors."""
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}.csv"

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, table, written
+from .common import settled, table, whole, written
 
 LEVELS = ("domain", "lang", "source")
 
@@ -71,24 +71,29 @@ def _md5(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts]).cast("binary"))
 
 
-def _tokens(docs: DataFrame, n: Column) -> DataFrame:
-    """A number of each row, doc_id, lang, source and tokens of the rows that have any."""
+def _tokens(docs: DataFrame, *own: Column) -> DataFrame:
+    """A number n of each row, doc_id, domain, lang, source and tokens, besides the columns `own`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(n.alias("n"), F.col("doc_id").cast("bigint").alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("tokens"))
-    return d.where("tokens > 0")
+    tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+    leaf = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
+    return docs.select(*own, F.monotonically_increasing_id().alias("n"), F.col("doc_id").cast("bigint").alias("doc_id"), *leaf, tokens.alias("tokens"))
+
+
+def _turn(mix: Mixture) -> Column:
+    """Where a document comes in the leaf's last epoch."""
+    return _md5(mix.seed, F.col("full_epochs").cast("string"), "doc", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
 def _taken(tokens: DataFrame, mix: Mixture) -> DataFrame:
-    """The rows of `tokens` (n, doc_id, lang, source, tokens) that the budget draws, with what it takes of each.
+    """The rows of the written table `tokens` (n, doc_id, lang, source, tokens) that the budget draws, with what it takes of each.
 
     A leaf's documents are ordered with those of all leaves by ranges, ties by the row's number, and written; tokens are
     added up range by range, and a range starts where the ranges before it end. So no task orders a whole leaf, and no id,
     be it that of a third of all rows, is ordered in one task.
     """
-    d = written(tokens.withColumn("domain", F.expr(mix.domain_sql)), "tokens")  # the texts are read once
+    d = tokens.where("tokens > 0").withColumn("domain", F.expr(mix.domain_sql))
     leaves = leaf_budgets(d.groupBy(*LEVELS).agg(F.sum("tokens").alias("leaf_tokens")), mix).where("leaf_budget > 0")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    x = d.join(leaves.drop("leaf_tokens"), list(LEVELS)).withColumn("turn", _md5(mix.seed, F.col("full_epochs").cast("string"), "doc", key))
+    x = d.join(leaves.drop("leaf_tokens"), list(LEVELS)).withColumn("turn", _turn(mix))
     x = written(x.repartitionByRange(*LEVELS, "turn", "tokens", "n").withColumn("part", F.spark_partition_id()), "turns")
     by = [*LEVELS, "part"]
     before = F.sum("part_tokens").over(Window.partitionBy(*LEVELS).orderBy("part")) - F.col("part_tokens")
@@ -108,15 +113,27 @@ def mix_documents(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
     without words (null and empty texts) take no budget and are not drawn; null doc_ids count as one id; repeated rows are
     drawn one by one. An empty table gives no rows.
     """
-    x = _taken(_tokens(docs, F.monotonically_increasing_id()), mix or Mixture())
+    x = _taken(written(_tokens(docs), "tokens"), mix or Mixture())  # the texts are read once
     return x.select("doc_id", *LEVELS, "tokens", "full_epochs", "last_take", "taken", "leaf_budget")
 
 
 def drawn(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
-    """The rows of `docs`, with all their columns, that the budget draws, be it in part: row by row, whatever their ids."""
-    rows = numbered(docs)
-    ours = _taken(_tokens(rows.select("n", *[f"row.{c}" for c in ("doc_id", "lang", "source", "text")]), F.col("n")), mix or Mixture())
-    return rows.join(ours.select("n"), "n", "left_semi").select("row.*")
+    """The rows of `docs`, with all their columns, that the budget draws, be it in part: row by row, whatever their ids.
+
+    What is drawn of a leaf is a prefix of its order, so each leaf's last drawn row tells for every row whether it is drawn.
+    There is one such row a leaf, and they are written first, so that Spark sees whether they may be broadcast; then no text is
+    shuffled.
+    """
+    mix = mix or Mixture()
+    rows = written(_tokens(docs, whole(docs)), "rows")
+    place = lambda: F.struct("turn", "tokens", "n")
+
+    def ends() -> DataFrame:
+        return _taken(rows.drop("row"), mix).groupBy(*LEVELS, "full_epochs").agg(F.max(place()).alias("last"))
+
+    last = settled(ends, "last-drawn")
+    x = rows.where("tokens > 0").withColumn("domain", F.expr(mix.domain_sql)).join(last, list(LEVELS)).withColumn("turn", _turn(mix))
+    return x.where(place() <= F.col("last")).select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
