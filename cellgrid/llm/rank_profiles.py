@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +24,8 @@ from .common import crc32_of_id, table
 
 #: What texts without letters are, and all texts where nothing was learned.
 UNKNOWN = "und"
-#: Numbers that count as word characters without being letters, such as fractions.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORDS = re.compile(r"[^\W\d_]+")
+_MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
 @dataclass(frozen=True)
@@ -37,51 +35,57 @@ class Profiles:
     longest: int = 5
     ranks: int = 400
     languages: int = 8192
-    #: Words whose n-grams a worker remembers, and n-grams that it counts before it passes them on.
-    memo: int = 200_000
-    flush: int = 500_000
-
-
-class Ranker:
-    """Ranks the n-grams of texts."""
-
-    def __init__(self, profiles: Profiles):
-        self.profiles = profiles
-        self.memo: dict[str, np.ndarray] = {}
-
-    def grams(self, word: str) -> np.ndarray:
-        """Hashes of the n-grams of a word, one for each place; a lone blank is none of them."""
-        known = self.memo.get(word)
-        if known is None:
-            padded, n = f" {word} ", len(word) + 2
-            texts = [padded[i : i + k] for k in range(1, self.profiles.longest + 1) for i in range(n - k + 1)]
-            known = np.array([xxhash.xxh64_intdigest(t) for t in texts if t != " "], np.uint64)
-            if len(word) <= 40:
-                if len(self.memo) >= self.profiles.memo:
-                    self.memo.clear()
-                self.memo[word] = known
-        return known
-
-    def counted(self, words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct n-grams of words that occur so often, by hash, and their counts."""
-        if not words:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        each = [self.grams(w) for w in words]
-        h = np.concatenate(each)
-        c = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in each])
-        order = np.argsort(h)
-        h = h[order]
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        return h[starts], np.add.reduceat(c[order], starts)
-
-    def ranked(self, text: str) -> np.ndarray:
-        """A text's most frequent n-grams, the first one first."""
-        h, c = self.counted(Counter(_WORDS.findall(text.lower())))
-        top = self.profiles.ranks
-        if len(h) > top:  # only those that are as frequent as the last one can stay
-            least = -np.partition(-c, top - 1)[top - 1]
-            h, c = h[c >= least], c[c >= least]
-        return h[np.lexsort((h, -c))][:top]
+    #: Distinct words that a task gathers before it passes on the counts of their n-grams.
+    flush: int = 250_000
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case: runs of letters."""
+    found = _WORDS.findall(text.lower())
+    if not found or "".join(found).isalpha():
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]  # fractions and the like aren't letters
+
+
+def sorting(h: np.ndarray) -> np.ndarray:
+    """An order in which equal hashes are neighbours: by the upper bits, with the place in the lower ones, which sorts faster than places by hashes do."""
+    low = np.uint64((1 << len(h).bit_length()) - 1)
+    key = np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64))
+    order, key = (key & low).astype(np.int64), key & ~low
+    mixed = (key[1:] == key[:-1]) & (h[order[1:]] != h[order[:-1]])
+    return np.argsort(h) if mixed.any() else order  # two hashes share their upper bits
+
+
+def counted(words: Counter[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of words that occur so often, by hash, and their counts. A lone blank is none."""
+    if not words:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    letters = np.frombuffer(f" {'  '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word, times = np.repeat(np.arange(len(words)), sizes), np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)
+    h, hashes, counts = np.zeros(len(letters), np.uint64), [], []
+    for k in range(min(longest, len(letters))):
+        n = len(letters) - k
+        h = (h[:n] ^ letters[k:]) * _MIX
+        h ^= h >> _SHIFT
+        inside = word[:n] == word[k:] if k else letters != ord(" ")
+        hashes.append(h[inside])
+        counts.append(times[:n][inside])
+    h, c = np.concatenate(hashes), np.concatenate(counts)
+    order = sorting(h)
+    h = h[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[starts], np.add.reduceat(c[order], starts)
+
+
+def ranked(text: str, profiles: Profiles) -> np.ndarray:
+    """A text's most frequent n-grams, the first one first."""
+    h, c = counted(Counter(words_of(text)), profiles.longest)
+    top = profiles.ranks
+    if len(h) > top:  # only those that are as frequent as the last one can stay
+        least = -np.partition(-c, top - 1)[top - 1]
+        h, c = h[c >= least], c[c >= least]
+    return h[np.lexsort((h, -c))][:top]
 
 
 @dataclass
@@ -114,17 +118,17 @@ def learn(docs: DataFrame, profiles: Profiles = Profiles()) -> Model:
     Each task passes on its counts of n-grams; only the `ranks` first of each language come to the driver.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranker, words = Ranker(profiles), {}
+        words: dict[str, Counter[str]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, seen in words.items():
-                h, c = ranker.counted(seen)
+                h, c = counted(seen, profiles.longest)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(c)], ["lang", "h", "c"])
             words.clear()
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(_WORDS.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(words_of(text))
                 if sum(map(len, words.values())) > profiles.flush:
                     yield from out()
         yield from out()
@@ -154,11 +158,10 @@ def predict(docs: DataFrame, model: Model, profiles: Profiles = Profiles()) -> D
     one row each (a null id counts as the empty string); an empty table gives no rows; other columns are not looked at.
     """
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranker = Ranker(profiles)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                found = [model.judge(ranker.ranked(t), profiles.ranks) for t in part.column(2).to_pylist()]
+                found = [model.judge(ranked(t, profiles), profiles.ranks) for t in part.column(2).to_pylist()]
                 langs, scores = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
