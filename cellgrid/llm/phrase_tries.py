@@ -1,12 +1,14 @@
 """Phrases whose words keep together, mined with count tries.
 
-Every shard of the corpus counts its phrases in a trie of limited depth (language at the root, a word on each edge) and writes
-it sorted. Ranges of the sorted order are dealt to tasks, each of which merges the runs of all shards that fall into it and keeps
-the frequent nodes. A walk over a range holds the path to the current node, so the counts of a phrase's left parts are on it;
+Every shard of the corpus counts its phrases in a trie of limited depth (language at the root, a word on each edge) and passes
+it on level by level, sorted. Ranges of the sorted order are dealt to tasks, each of which merges the runs of all shards that fall
+into it and keeps the frequent nodes. A walk over a range holds the path to the current node, so the counts of a phrase's left parts are on it;
 the right parts come by suffix links, from a phrase to the one without its first word.
 
 Tries grow in steps: words, then two words, then the rest. A phrase is as rare as its rarest part at least, so a step follows only
 words and pairs that the step before found frequent (a bitmap of their hashes: it may keep a phrase too much, never lose one).
+The first steps only decide what is followed, so their runs are dealt by hash and merged at once; the last one's are written, since
+ranges are found by sampling.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ class Mining:
     top: int = 2000
     scale: int = 2_000_000
     #: Words and borders that a shard gathers before it writes its trie.
-    gathered: int = 1 << 21
+    gathered: int = 1 << 20
     #: Bits of a bitmap for each frequent phrase, and of the whole bitmap at most (64 MB).
     bits_each: int = 16
     most_bits: int = 1 << 29
@@ -78,6 +80,23 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
+NODE = ["lang", "phrase", "f"]
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys (not negative) in order, each key's number among them, and how often each occurs; places ride in the lower bits where they fit, which sorts faster."""
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True, return_counts=True)
+    packed = np.sort((keys << bits) | np.arange(len(keys)))
+    order, key = packed & ((1 << bits) - 1), packed >> bits
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return key[starts], number, np.diff(starts, append=len(keys))
+
+
 class Shard:
     """The count trie of some texts: words get numbers as they come, the trie is built level by level when it is written."""
 
@@ -102,40 +121,36 @@ class Shard:
         self.roots.append((self.langs.setdefault(lang, len(self.langs)), len(w) + 1))
         self.size += len(w) + 1
 
-    def nodes(self) -> pa.RecordBatch:
-        """lang, phrase and count of the trie's nodes from level `first` to `last`, in the order of the trie."""
-        names, langs = list(self.ids), list(self.langs)
+    def nodes(self) -> Iterator[pa.RecordBatch]:
+        """lang, phrase and count of the trie's nodes from level `first` to `last`, each level in the order of the trie; before the first level, the roots with all words."""
+        names, langs = list(self.ids), sorted(self.langs)
         order = np.array(sorted(range(1, len(names)), key=names.__getitem__), np.int64)
-        lang_order = np.array(sorted(range(len(langs)), key=langs.__getitem__), np.int64)
         place, lang_place = np.full(len(names), -1, np.int64), np.empty(len(langs), np.int64)
-        place[order], lang_place[lang_order] = np.arange(len(order)), np.arange(len(langs))
-        vocabulary, langs = [names[k] for k in order], [langs[k] for k in lang_order]
-        w = place[np.concatenate(self.words)] if self.words else np.empty(0, np.int64)
-        root = np.repeat(lang_place[[k for k, _ in self.roots]], [n for _, n in self.roots]) if self.roots else np.empty(0, np.int64)
-        known = self.followed(w, root, vocabulary, langs)
-        level, phrases, path, out = root, [b""] * len(langs), np.arange(len(langs))[:, None], []
+        place[order] = np.arange(len(order))
+        lang_place[[self.langs[x] for x in langs]] = np.arange(len(langs))
+        vocabulary = [names[k] for k in order]
+        w = place[np.concatenate(self.words)]
+        level = np.repeat(lang_place[[k for k, _ in self.roots]], [n for _, n in self.roots])
+        self.clear()
+        known = self.followed(w, level, vocabulary, langs)
+        words, lang = pa.array(vocabulary, pa.binary()).cast(pa.string()), pa.array(langs, pa.string())
+        if self.first == 1:
+            all_words = np.bincount(level[w >= 0], minlength=len(langs))
+            yield pa.RecordBatch.from_arrays([lang, pa.array([""] * len(langs), pa.string()), pa.array(all_words, pa.int64())], NODE)
         for d in range(1, self.last + 1):
             if d >= max(2, self.first):
                 known = known[:-1] & known[1:]
             n = len(known)
             alive = np.flatnonzero(known & (w[d - 1 : d - 1 + n] >= 0) & (level[:n] >= 0))
-            keys, node, counts = np.unique(level[alive] * len(vocabulary) + w[alive + d - 1], return_inverse=True, return_counts=True)
-            parent, word = keys // max(1, len(vocabulary)), keys % max(1, len(vocabulary))
+            keys, node, counts = grouped(level[alive] * len(words) + w[alive + d - 1])
+            parent, word = np.divmod(keys, max(1, len(words)))
             level = np.full(n, -1, np.int64)
             level[alive] = node
-            phrases = [phrases[p] + b" " * (d > 1) + vocabulary[k] for p, k in zip(parent.tolist(), word.tolist(), strict=True)]
-            path = np.column_stack([path[parent], word])
+            parent, label = pa.array(parent), words.take(pa.array(word))
+            lang = lang.take(parent)
+            phrases = label if d == 1 else pc.binary_join_element_wise(phrases.take(parent), label, " ")
             if d >= self.first:
-                full = np.full((len(keys), self.last + 1), -1, np.int64)
-                full[:, : d + 1] = path
-                out.append((full, phrases, counts))
-        self.clear()
-        rows = np.concatenate([x for x, _, _ in out]) if out else np.empty((0, self.last + 1), np.int64)
-        by = np.lexsort(rows.T[::-1])
-        every, counts = [p for _, ps, _ in out for p in ps], np.concatenate([c for _, _, c in out]) if out else np.empty(0, np.int64)
-        lang = pa.array(langs, pa.string()).take(pa.array(rows[by, 0])) if langs else pa.array([], pa.string())
-        phrase = pa.array(every, pa.binary()).cast(pa.string()).take(pa.array(by))
-        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(counts[by], pa.int64())], ["lang", "phrase", "f"])
+                yield pa.RecordBatch.from_arrays([lang, phrases, pa.array(counts, pa.int64())], NODE)
 
     def followed(self, w: np.ndarray, root: np.ndarray, vocabulary: list[bytes], langs: list[str]) -> np.ndarray:
         """At which places a phrase may start: every word in the first step, later those where a frequent phrase of the step before starts."""
@@ -162,16 +177,16 @@ def shard_tries(docs: DataFrame, first: int, last: int, frequent: np.ndarray | N
                 for part in _parts(text.encode().lower().translate(_BORDERS)):
                     shard.add(lang, part)
                     if shard.size >= mining.gathered:
-                        yield shard.nodes()
+                        yield from shard.nodes()
         if shard.size:
-            yield shard.nodes()
+            yield from shard.nodes()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(build, "lang string, phrase string, f bigint")
 
 
-def merged_tries(nodes: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, phrase, f, h (its hash), m (its words) and l1, l2, ... of every phrase that occurs `least` times.
+def merged_tries(nodes: DataFrame, least: int, longest: int, ranges: bool = False) -> DataFrame:
+    """lang, phrase, f, h (its hash), m (its words; 0 at a root) and l1, l2, ... of every phrase that occurs `least` times.
 
     l1 is the count of its first word, and so on; null where there is no such part, or where that part is in an earlier range.
     """
@@ -204,30 +219,31 @@ def merged_tries(nodes: DataFrame, least: int, longest: int) -> DataFrame:
             yield walk.out()
 
     columns = ", ".join(f"l{k} bigint" for k in range(1, longest))
-    ranged = nodes.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
-    return ranged.mapInArrow(merge, f"lang string, phrase string, f bigint, h bigint, m int, {columns}")
+    key = ["phrase", "lang"]  # sorts faster than the language first
+    dealt = nodes.repartitionByRange(*key) if ranges else nodes.repartition(*key)
+    return dealt.sortWithinPartitions(*key).mapInArrow(merge, f"lang string, phrase string, f bigint, h bigint, m int, {columns}")
 
 
 class Walk:
-    """A walk over the sorted phrases of one range, with the counts of those that the current one begins with."""
+    """A walk over the sorted phrases of one range, with the counts of those that the current one begins with, by language."""
 
     def __init__(self, longest: int):
-        self.longest, self.lang, self.rows = longest, None, []
+        self.longest, self.rows = longest, []
         self.path: list[str] = []
-        self.counts: dict[str, int] = {}
+        self.counts: dict[str, dict[str, int]] = {}
 
     def take(self, lang: str, phrase: str, f: int) -> None:
-        if lang != self.lang:
-            self.lang, self.path, self.counts = lang, [], {}
         while self.path and not phrase.startswith(self.path[-1]):
             del self.counts[self.path.pop()]
         left, at = [], phrase.find(" ")
         while at >= 0:
-            left.append(self.counts.get(phrase[:at]))
+            left.append(self.counts.get(phrase[:at], {}).get(lang))
             at = phrase.find(" ", at + 1)
-        self.path.append(phrase)
-        self.counts[phrase] = f
-        self.rows.append((lang, phrase, f, len(left) + 1, *left, *[None] * (self.longest - 1 - len(left))))
+        if phrase not in self.counts:
+            self.path.append(phrase)
+            self.counts[phrase] = {}
+        self.counts[phrase][lang] = f
+        self.rows.append((lang, phrase, f, len(left) + 1 if phrase else 0, *left, *[None] * (self.longest - 1 - len(left))))
 
     def out(self) -> pa.RecordBatch:
         lang, phrase, f, m, *left = zip(*self.rows, strict=True)
@@ -250,18 +266,14 @@ def bitmap_of_phrases(frequent: DataFrame, mining: Mining) -> np.ndarray:
 
 def frequent_phrases(docs: DataFrame, mining: Mining) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to `longest` words that occur `least` times, as `merged_tries` gives them, every left part known; and lang, n: all words."""
-    nodes = written(shard_tries(docs, 1, 1, None, mining), "tries")
-    n = written(nodes.groupBy("lang").agg(F.sum("f").alias("n")), "words")
-    found = written(merged_tries(nodes, mining.least, 2), "frequent")
-    whole = found.select("lang", "phrase", "f")
-    for first, last in [(2, 2), (3, mining.longest)]:
-        if first > mining.longest:
-            break
-        nodes = written(shard_tries(docs, first, min(last, mining.longest), bitmap_of_phrases(found, mining), mining), "tries")
-        if last < mining.longest:
-            found = written(merged_tries(nodes, mining.least, first), "frequent")
-            whole = whole.unionByName(found.select("lang", "phrase", "f"))
-    every = written(merged_tries(whole.unionByName(nodes) if mining.longest > 1 else whole, mining.least, max(2, mining.longest)), "phrases")
+    found = written(merged_tries(shard_tries(docs, 1, 1, None, mining), mining.least, 2), "words")
+    n, whole = found.where("m = 0").select("lang", F.col("f").alias("n")), found.where("m > 0").select(*NODE)
+    found = found.where("m > 0")
+    if mining.longest > 2:
+        found = written(merged_tries(shard_tries(docs, 2, 2, bitmap_of_phrases(found, mining), mining), mining.least, 2), "pairs")
+        whole = whole.unionByName(found.select(*NODE))
+    nodes = written(shard_tries(docs, min(3, mining.longest), mining.longest, bitmap_of_phrases(found, mining), mining), "tries")
+    every = written(merged_tries(whole.unionByName(nodes), mining.least, mining.longest, ranges=True), "phrases")
     return with_left_parts(every, mining.longest), n
 
 
