@@ -30,20 +30,79 @@ class Raster:
         e, s = self.west + self.cols * self.pixel_width, self.north - self.rows * self.pixel_height
         if self.crs in DEGREES:
             return self.west, s, e, self.north
-        turn = lambda x, y: (math.degrees(x / EARTH), math.degrees(2 * math.atan(math.exp(y / EARTH)) - math.pi / 2))
-        return *turn(self.west, s), *turn(e, self.north)
+        if self.crs == MERCATOR:
+            turn = lambda x, y: (math.degrees(x / EARTH), math.degrees(2 * math.atan(math.exp(y / EARTH)) - math.pi / 2))
+            return *turn(self.west, s), *turn(e, self.north)
+        zone = utm_zone(self.crs)  # edges bend, so the box is that of many points on them
+        at = [k / 64 for k in range(65)]
+        edge = [(self.west + (e - self.west) * k, y) for k in at for y in (s, self.north)] + [(x, s + (self.north - s) * k) for k in at for x in (self.west, e)]
+        lons, lats = zip(*[zone.back(x, y) for x, y in edge], strict=True)
+        return min(lons), min(lats), max(lons), max(lats)
 
 
 #: Reference systems in degrees, the web's Mercator, and its radius in metres.
 DEGREES, MERCATOR, EARTH = ("EPSG:4326", "OGC:CRS84"), "EPSG:3857", 6378137.0
 
 
+@dataclass(frozen=True)
+class TransverseMercator:
+    """A transverse Mercator projection of an ellipsoid, by Krueger's series in the third flattening (to the fourth power: below a millimetre within a zone)."""
+
+    middle: float
+    false_north: float = 0.0
+    false_east: float = 500_000.0
+    scale: float = 0.9996
+    radius: float = EARTH
+    flattening: float = 1 / 298.257223563
+
+    def _series(self) -> tuple[float, float, list[float], list[float]]:
+        """Eccentricity, the radius of the rectifying sphere, and the series' coefficients to the plane and back."""
+        n = self.flattening / (2 - self.flattening)
+        a = self.radius / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+        to = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+        back = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+        return math.sqrt(self.flattening * (2 - self.flattening)), a, to, back
+
+    def to(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        """East and north of a point in degrees; null a quarter of the way round and more."""
+        ecc, a, to, _ = self._series()
+        phi, lam = F.radians(lat), F.radians(F.pmod(lon - self.middle + 180, F.lit(360.0)) - 180)
+        t = F.sinh(F.atanh(F.sin(phi)) - ecc * F.atanh(ecc * F.sin(phi)))
+        xi, eta = F.atan2(t, F.cos(lam)), F.asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam)))
+        x = eta + reduce(lambda v, k: v + to[k - 1] * F.cos(2 * k * xi) * F.sinh(2 * k * eta), range(1, 5), F.lit(0.0))
+        y = xi + reduce(lambda v, k: v + to[k - 1] * F.sin(2 * k * xi) * F.cosh(2 * k * eta), range(1, 5), F.lit(0.0))
+        near = (F.abs(lam) < math.pi / 2) & (F.abs(lat) < 90)
+        return F.when(near, self.false_east + self.scale * a * x), F.when(near, self.false_north + self.scale * a * y)
+
+    def back(self, east: float, north: float) -> tuple[float, float]:
+        """Longitude and latitude of a point in the plane."""
+        ecc, a, _, back = self._series()
+        xi, eta = (north - self.false_north) / (self.scale * a), (east - self.false_east) / (self.scale * a)
+        x, y = xi, eta
+        for k, b in enumerate(back, 1):
+            x -= b * math.sin(2 * k * xi) * math.cosh(2 * k * eta)
+            y -= b * math.cos(2 * k * xi) * math.sinh(2 * k * eta)
+        chi = math.asin(math.sin(x) / math.cosh(y))
+        phi = chi
+        for _ in range(6):  # the latitude whose conformal latitude is chi
+            phi = math.asin(math.tanh(math.atanh(math.sin(chi)) + ecc * math.atanh(ecc * math.sin(phi))))
+        return self.middle + math.degrees(math.atan2(math.sinh(y), math.cos(x))), math.degrees(phi)
+
+
+def utm_zone(crs: str) -> TransverseMercator:
+    """The projection of a UTM zone, EPSG:32601 to 32660 in the north and 32701 to 32760 in the south."""
+    code = crs.removeprefix("EPSG:")
+    if len(code) != 5 or code[:3] not in ("326", "327") or not code.isdecimal() or not 1 <= int(code[3:]) <= 60:
+        raise ValueError(f"{crs} is not supported")
+    return TransverseMercator(6.0 * int(code[3:]) - 183, 10_000_000.0 if code[2] == "7" else 0.0)
+
+
 def projected(lon: Column, lat: Column, crs: str) -> tuple[Column, Column]:
     """A point's coordinates in a raster's reference system."""
     if crs in DEGREES:
         return lon, lat
     if crs != MERCATOR:
-        raise ValueError(f"{crs} is not supported")
+        return utm_zone(crs).to(lon, lat)
     return F.radians(lon) * EARTH, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * EARTH
 
 
@@ -70,14 +129,18 @@ def sample(pixels: DataFrame, raster: Raster, zones: DataFrame, key: str, tid: i
     if clamp:
         col, row = F.greatest(F.lit(0), F.least(F.lit(raster.cols - 1), col)), F.greatest(F.lit(0), F.least(F.lit(raster.rows - 1), row))
     v = pixels.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("value").cast("double").alias("value_num"))
-    x = zones.select("dggid", row.alias("row"), col.alias("col")).join(v, ["row", "col"]).where(F.col("value_num").isNotNull() & ~F.isnan("value_num") & (F.abs("value_num") < float("inf")))
-    if raster.nodata is not None:
-        x = x.where(F.col("value_num") != raster.nodata)
+    x = cleaned(zones.select("dggid", row.alias("row"), col.alias("col"), F.lit(raster.nodata).cast("double").alias("nodata")).join(v, ["row", "col"]))
     if least is not None:
         x = x.where(F.col("value_num") >= least)
     return x.select("dggid", F.lit(tid).cast("bigint").alias("tid"), F.lit(key).alias("attr_key"), "value_num")
 
 
+def cleaned(cells: DataFrame) -> DataFrame:
+    """Rows whose value_num is a finite number other than their nodata."""
+    v = F.col("value_num")
+    return cells.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & (F.col("nodata").isNull() | (v != F.col("nodata"))))
+
+
 def to_ingest(manifest: DataFrame, datasets: DataFrame) -> DataFrame:
     """Manifest rows (name, min_lvl, max_lvl) to load: new ones, and those whose dataset isn't ready or has other levels."""
     have = datasets.where("status in ('ready', 'active')").select("name", F.get_json_object("metadata", "$.min_lvl").try_cast("int").alias("min_lvl"), F.get_json_object("metadata", "$.max_lvl").try_cast("int").alias("max_lvl"))

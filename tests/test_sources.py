@@ -306,7 +306,7 @@ def test_geotiff_of_the_web(spark, tmp_path):
     assert raster.crs == "EPSG:3857" and abs(raster.box()[0]) < 1e-9 and abs(raster.box()[1]) < 1e-9 and 17 < raster.box()[2] < 18
     zones = spark.createDataFrame([("a", 0.5, 0.5), ("b", 17.9, 17.5), ("c", 20.0, 1.0)], "dggid string, lon double, lat double")
     assert {r.dggid: r.value_num for r in rasters.sample(geotiff.read_pixels(spark, str(tmp_path / "m.tif")), raster, zones, "k").collect()} == {"a": 380.0, "b": 19.0}
-    for bad in (b"nothing at all", tiff(np.zeros((2, 2), "uint8")).replace(b"\x03\x01\x03\x00\x01\x00\x00\x00\x01", b"\x03\x01\x03\x00\x01\x00\x00\x00\x05")):
+    for bad in (b"nothing at all", tiff(np.zeros((2, 2), "uint8")).replace(b"\x03\x01\x03\x00\x01\x00\x00\x00\x01", b"\x03\x01\x03\x00\x01\x00\x00\x00\x07")):
         with pytest.raises(ValueError):
             list(geotiff.blocks_of(bad))
     assert list(rasters.level_range()) == list(range(1, 11)) and list(rasters.level_range(4)) == [4] and list(rasters.level_range(5, 3)) == [3, 4, 5]
