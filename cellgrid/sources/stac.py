@@ -48,11 +48,14 @@ def missing_bands(scenes: DataFrame, wanted: list[str]) -> DataFrame:
 
 def coverage(scenes: DataFrame, grid: HexLattice, level: int = 5, most: int = 500) -> DataFrame:
     """Scenes with the ids of the cells in their box, at most `most` in id order."""
-    from .vectors import _cells_in_box
+    from .cover import cells_of, cover_boxes, expanded
 
-    p = scenes.select(F.col("id").alias("feature_no"), F.lit("box").alias("outer"), F.col("bbox")[0].alias("w"), F.col("bbox")[1].alias("s"), F.col("bbox")[2].alias("e"), F.col("bbox")[3].alias("n"))
-    z = _cells_in_box(scenes.sparkSession, p, grid, level).groupBy("feature_no").agg(F.sort_array(F.collect_set("dggid")).alias("zones"))
-    return z.select(F.col("feature_no").alias("id"), F.slice("zones", 1, most).alias("zones"), F.size("zones").cast("bigint").alias("zone_count"))
+    box = [F.col("bbox")[k].alias(c) for k, c in enumerate("wsen")]
+    covers = cover_boxes(scenes.select("id", *box), grid, level)
+    counted = covers.groupBy("id").agg(cells_of(level).alias("zone_count"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("dggid"))
+    first = expanded(covers, grid, level).select("id", "dggid").distinct().withColumn("nth", nth).where(F.col("nth") <= most)
+    return first.groupBy("id").agg(F.sort_array(F.collect_list("dggid")).alias("zones")).join(counted, "id")
 
 
 def collections(scenes: DataFrame, covered: DataFrame) -> DataFrame:
@@ -74,13 +77,13 @@ def sample_scenes(scenes: DataFrame, headers: DataFrame, pixels: DataFrame, grid
     cols, nodata, in degrees) and `pixels` (path, row, col, value). No data and values that aren't finite go. Where scenes of
     one time overlap, the one with the greatest id stays.
     """
-    from .vectors import _cells_in_box
+    from .vectors import cells_in_boxes
 
     s = scenes.where(F.size("bbox") >= 4).withColumn("tid", F.coalesce(F.unix_timestamp("acquired"), F.lit(0).cast("bigint")))
-    s = s.select("id", "tid", F.lit("box").alias("outer"), *[F.col("bbox")[k].alias(n) for k, n in enumerate("wsen")], F.explode(F.map_filter("bands", lambda k, v: k.isin(bands))).alias("band", "file"))
-    boxes = s.select(F.col("id").alias("feature_no"), "outer", "w", "s", "e", "n").distinct()
+    s = s.select("id", "tid", *[F.col("bbox")[k].alias(n) for k, n in enumerate("wsen")], F.explode(F.map_filter("bands", lambda k, v: k.isin(bands))).alias("band", "file"))
+    boxes = s.select(F.col("id").alias("feature_no"), "w", "s", "e", "n").distinct()
     nth = F.row_number().over(Window.partitionBy("feature_no").orderBy("dggid"))
-    cells = _cells_in_box(scenes.sparkSession, boxes, grid, level).withColumn("nth", nth).where(F.col("nth") <= most).select(F.col("feature_no").alias("id"), "dggid", "lon", "lat")
+    cells = cells_in_boxes(boxes, grid, level).withColumn("nth", nth).where(F.col("nth") <= most).select(F.col("feature_no").alias("id"), "dggid", "lon", "lat")
     at = cells.join(s.select("id", "tid", "band", F.col("file.href").alias("path")), "id").join(headers, "path")
     row, col = F.floor((F.col("north") - F.col("lat")) / F.col("pixel_height")), F.floor((F.col("lon") - F.col("west")) / F.col("pixel_width"))
     at = at.select("id", "tid", "band", "path", "dggid", "nodata", row.cast("int").alias("row"), col.cast("int").alias("col"))

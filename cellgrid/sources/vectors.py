@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import in_ring
 from ..grid import HexLattice
+from .cover import cover_boxes, cover_polygons, expanded
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -84,10 +84,9 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
 def burn(features: DataFrame, grid: HexLattice, level: int, attribute: str | None = None) -> DataFrame:
     """Cells (dggid, tid, attr_key, value_num): a point's cell, and the cells whose centre a polygon holds (holes excluded).
 
-    The value is the attribute's number, or 1. Of several features at a cell the last one stays. Candidate cells come from
-    each polygon's own bounding box, so features are never paired with the whole grid.
+    The value is the attribute's number, or 1. Of several features at a cell the last one stays. Each polygon is
+    covered from coarse cells to fine ones along its edge, so features are never paired with the whole grid.
     """
-    spark = features.sparkSession
     value = F.coalesce(F.col("properties")[attribute].try_cast("double"), F.lit(1.0)) if attribute else F.lit(1.0)
     x = features.withColumn("value_num", value)
     points = x.where("kind = 'Point'").withColumn("c", F.from_json("coordinates", "array<double>"))
@@ -95,21 +94,14 @@ def burn(features: DataFrame, grid: HexLattice, level: int, attribute: str | Non
     polys = F.when(F.col("kind") == "Polygon", F.array(F.from_json("coordinates", "array<array<array<double>>>"))).otherwise(F.from_json("coordinates", "array<array<array<array<double>>>>"))
     p = x.where("kind != 'Point'").select("feature_no", "value_num", F.explode(polys).alias("rings"))
     rings = F.transform("rings", lambda ring: F.transform(ring, lambda c: F.struct(c[0].alias("lon"), c[1].alias("lat"))))
-    p = p.withColumn("rings", rings).withColumn("outer", F.col("rings")[0]).where(F.size("outer") >= 3)
-    side = lambda f, k: f(F.transform("outer", lambda c: c[k]))
-    p = p.select("*", side(F.array_min, "lon").alias("w"), side(F.array_min, "lat").alias("s"), side(F.array_max, "lon").alias("e"), side(F.array_max, "lat").alias("n"))
-    inside = _cells_in_box(spark, p, grid, level).where(F.aggregate("rings", F.lit(0), lambda k, ring: k + in_ring(F.col("lon"), F.col("lat"), ring).cast("int")) % 2 == 1)
+    p = p.withColumn("rings", rings).where(F.size(F.col("rings")[0]) >= 3)
+    inside = expanded(cover_polygons(p, grid, level), grid, level)
     cells = points.unionByName(inside.select("feature_no", "dggid", "value_num")).where("dggid is not null")
     last = Window.partitionBy("dggid").orderBy(F.desc("feature_no"), F.desc("value_num"))
     return cells.withColumn("k", F.row_number().over(last)).where("k = 1").select("dggid", F.lit(0).cast("bigint").alias("tid"), F.lit(attribute or "value").alias("attr_key"), "value_num")
 
 
-def _cells_in_box(spark: SparkSession, p: DataFrame, grid: HexLattice, level: int) -> DataFrame:
+def cells_in_boxes(p: DataFrame, grid: HexLattice, level: int) -> DataFrame:
     """p with the cells (dggid, lon, lat) whose centre is in its box w, s, e, n."""
-    step = grid.size * 3 ** (-level / 2)
-    lats = F.array_distinct(F.transform(F.sequence(F.lit(0), F.ceil((F.col("n") - F.col("s")) / (step * 0.4)).cast("int") + 1), lambda k: F.least(F.col("n"), F.col("s") + k * step * 0.4)))
-    lons = F.array_distinct(F.transform(F.sequence(F.lit(0), F.ceil((F.col("e") - F.col("w")) / (step * 0.4)).cast("int") + 1), lambda k: F.least(F.col("e"), F.col("w") + k * step * 0.4)))
-    at = p.withColumn("y", F.explode(lats)).withColumn("x", F.explode(lons))
-    z = at.withColumn("dggid", grid.zone_at_point(F.col("x"), F.col("y"), level)).drop("x", "y").dropDuplicates(["feature_no", "outer", "dggid"])
-    z = z.withColumn("c", grid.centroid(F.col("dggid"))).select("*", F.col("c.lon").alias("lon"), F.col("c.lat").alias("lat")).drop("c")
-    return z.where(F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")))
+    z = expanded(cover_boxes(p, grid, level), grid, level).drop("cell_level").withColumn("_c", F.explode(F.array(grid.centroid(F.col("dggid")))))
+    return z.select("*", F.col("_c.lon").alias("lon"), F.col("_c.lat").alias("lat")).drop("_c")
