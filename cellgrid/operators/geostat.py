@@ -28,7 +28,8 @@ def near(targets: DataFrame, sources: DataFrame, radius: float) -> DataFrame:
     around = F.array(*[F.struct((square("x") + i).alias("i"), (square("y") + j).alias("j")) for i, j in product((-1, 0, 1), (-1, 0, 1))])
     t = targets.select("dggid", "x", "y", F.explode(around).alias("at")).select("dggid", "x", "y", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
     s = sources.select(F.col("dggid").alias("source"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("value_num").alias("v"), square("x").alias("i"), square("y").alias("j"))
-    d = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
+    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    d = F.sqrt(dx * dx + dy * dy)
     return t.join(s, ["i", "j"]).withColumn("d", d).where(F.col("d") <= radius).drop("i", "j")
 
 

@@ -838,14 +838,6 @@ add(
     """,
     lambda f: tables.upsert(_at0(f.qty(), 1997).select(*CELL), _at0(f.qty(), 1998).select(*CELL)).select("dggid", "value_num"),
 )
-add(
-    "durations_year",
-    """
-        SELECT i AS tid, 'YEAR' AS unit, CAST(make_date(1000 + i, 1, 1) AS VARCHAR) AS begins,
-        CAST(make_date(1001 + i, 1, 1) AS VARCHAR) AS ends FROM range(0, 2000) r(i)
-    """,
-    lambda f: geometry.durations(f.spark).withColumns({n: F.col(n).cast("string") for n in ("begins", "ends")}),
-)
 add(
     "cells_records",
     """

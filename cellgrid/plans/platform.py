@@ -265,38 +265,6 @@ add(
         "result",
     ),
 )
-_LL = """
-    lattice AS (SELECT a.v AS q, b.v AS r FROM range(-40, 41) a(v), range(-40, 41) b(v)), xy AS (SELECT q,
-    r, 30.0::DOUBLE * pow(3.0::DOUBLE, -1.5::DOUBLE) * sqrt(3.0::DOUBLE) * (q + r / 2.0::DOUBLE) x,
-    30.0::DOUBLE * pow(3.0::DOUBLE, -1.5::DOUBLE) * 1.5::DOUBLE * r y
-    FROM lattice), ll AS (SELECT q, r, x * cos(pi() / 2) - y * sin(pi() / 2) lon, degrees(asin(greatest(-1.0::DOUBLE,
-    least(1.0::DOUBLE, radians(x * sin(pi() / 2) + y * cos(pi() / 2)))))) lat FROM xy)
-"""
-_BOX = (-40.5, -30.25, 55.75, 41.5)
-add(
-    "zones_in_box",
-    f"""
-        WITH {_LL} SELECT {_ID.format(l=3, q='q', r='r')} AS dggid, ROUND(lon, 5) + 0.0::DOUBLE AS lon,
-        ROUND(lat, 5) + 0.0::DOUBLE AS lat FROM ll WHERE lon BETWEEN -40.5 AND 55.75 AND lat BETWEEN -30.25 AND 41.5
-    """,
-    lambda f: rounded(
-        LATTICE.list_zones(f.spark, 3, *_BOX),
-        "lon",
-        "lat",
-        digits=5,
-    ).withColumns({n: F.col(n) + 0.0 for n in ("lon", "lat")}),
-)
-add(
-    "zone_at_point",
-    f"""
-        WITH {_LL} SELECT {_ID.format(l=3, q='q', r='r')} AS dggid, {_ID.format(l=3, q='q', r='r')} AS found FROM ll
-        WHERE lon BETWEEN -40.5 AND 55.75 AND lat BETWEEN -30.25 AND 41.5
-    """,
-    lambda f: LATTICE.list_zones(f.spark, 3, *_BOX).select(
-        "dggid",
-        LATTICE.zone_at_point(F.col("lon") + 0.5, F.col("lat") - 0.5, 3).alias("found"),
-    ),
-)
 
 
 def _split(f: Fixtures) -> DataFrame:
@@ -324,17 +292,6 @@ add(
 )
 
 # -- time and automata
-add(
-    "temporal_hierarchy",
-    """
-        SELECT CAST(i AS INT) AS level, n AS name, CASE WHEN i = 0 THEN 'Single moment in time, no aggregation'
-        ELSE 'Data aggregated to ' || CASE WHEN i = 1 THEN 'minute-level' WHEN i > 6 THEN n || '-level'
-        ELSE n END || ' resolution' END AS description
-        FROM (SELECT i, ['instantaneous', 'minutely', 'hourly', 'daily', 'weekly', 'monthly', 'yearly', 'decade', 'century', 'millennium'][i + 1] AS n
-        FROM range(0, 10) r(i))
-    """,
-    lambda f: temporal.hierarchy(f.spark),
-)
 add(
     "temporal_snapshot_slots",
     """
@@ -424,7 +381,6 @@ for _name, _t, _h, _w in (("normal", 25, 50, 10), ("dry", 35, 20, 15), ("extreme
         """,
         lambda f, name=_name: rounded(ml.fire_risk(f.year(1997).withColumn("value_num", F.col("value_num") / 50), name), "score"),
     )
-add("services", "SELECT 'fire-spread' AS id, 'ANALYTIC' AS kind", lambda f: ml.services(f.spark).select("id", "kind"))
 
 
 def _wide(f: Fixtures) -> DataFrame:
@@ -693,18 +649,6 @@ add(
     "SELECT id, name FROM ds WHERE created_by = 'u3'",
     lambda f: f.datasets().where(access.may_change("u3", "editor")).select(*_SEE),
 )
-add(
-    "role_permissions",
-    """
-        SELECT 'admin' AS role,
-        unnest(['create_dataset', 'edit_any_dataset', 'delete_any_dataset', 'create_user', 'edit_user',
-        'delete_user', 'manage_system', 'view_any_dataset', 'run_any_operation', 'delete_any_operation']) AS permission
-        UNION ALL SELECT 'editor',
-        unnest(['create_dataset', 'edit_own_dataset', 'delete_own_dataset', 'view_any_dataset', 'run_any_operation'])
-        UNION ALL SELECT 'viewer', unnest(['view_own_dataset', 'view_any_dataset'])
-    """,
-    lambda f: access.role_permissions(f.spark),
-)
 
 # -- scenes
 add(
@@ -821,23 +765,3 @@ add(
         "zone_id",
     ),
 )
-
-# -- demo layers
-_L2 = f"""
-    lattice AS (SELECT a.v AS q, b.v AS r FROM range(-40, 41) a(v), range(-40, 41) b(v)), xy AS (SELECT q,
-    r, 10.0::DOUBLE * sqrt(3.0::DOUBLE) * (q + r / 2.0::DOUBLE) x, 15.0::DOUBLE * r y
-    FROM lattice), ll AS (SELECT q, r, x * cos(pi() / 3) - y * sin(pi() / 3) lon, degrees(asin(greatest(-1.0::DOUBLE,
-    least(1.0::DOUBLE, radians(x * sin(pi() / 3) + y * cos(pi() / 3)))))) lat
-    FROM xy), z AS (SELECT {_ID.format(l=2, q='q', r='r')} AS dggid, lon, lat
-    FROM ll), u AS (SELECT *, CAST(('0x' || md5('region:' || dggid)[1:8]) AS BIGINT) % 1000000 / 1000000.0::DOUBLE AS u
-    FROM z)
-"""
-add(
-    "demo_layer_regions",
-    f"""
-        WITH {_L2} SELECT dggid, CAST(0 AS BIGINT) AS tid, 'region' AS attr_key, CASE WHEN u < 0.4 THEN 'region_a'
-        WHEN u < 0.75 THEN 'region_b' ELSE 'region_c' END AS value_text FROM u WHERE lon BETWEEN -140 AND 140
-        AND lat BETWEEN -70 AND 70
-    """,
-    lambda f: rasters.demo_layer(f.spark, LATTICE, rasters.DEMO_LAYERS[0]),
-)
