@@ -1,4 +1,4 @@
-"""Geostatistics on cells: variograms, ordinary kriging, and regressions with a spatial lag or a spatial error.
+"""Geostatistics on cells: variograms, ordinary kriging, local outlier factors, and regressions with a spatial lag or a spatial error.
 
 `places` is (dggid, x, y), each cell's centre in a plane; distances are straight lines in it. Neighbours are found by squares as wide
 as the search goes, so each cell meets those of nine squares only. Regressions are sums of products over all cells; only the few
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, cut_and_seen
+
 
 def near(targets: DataFrame, sources: DataFrame, radius: float) -> DataFrame:
     """(dggid, x, y of a target; source, sx, sy, v of a source; d) for all pairs at most `radius` apart.
@@ -221,3 +223,52 @@ def spatial_error_model(cells: DataFrame, topo: DataFrame, y: str, xs: list[str]
     errors = np.sqrt(np.maximum(0.0, np.diag(inverse)) * rest / max(1.0, n))
     out = _estimates(cells, ["lambda", "const", *xs], np.append(lam, beta), np.append(math.nan, errors))
     return out.withColumn("std_error", F.nanvl("std_error", F.lit(None).cast("double")))
+
+
+def nearest(values: DataFrame, places: DataFrame, k: int, weight: float = 0.0, radius: float | None = None) -> DataFrame:
+    """(dggid, source, d, reach) for the `k` nearest other measured cells of each measured one, those as near as the k-th included; reach is the k-th's distance.
+
+    Distances are in the plane, with `weight` times the difference of the values as a third direction. The search takes a radius,
+    keeps the cells whose k-th neighbour lies within it (none outside can be nearer) and goes on with twice the radius for the
+    others, until none is left. With fewer than k + 1 cells, all others are neighbours.
+    """
+    m = cut(_measured(values, places))
+    s = m.agg(F.count("*").alias("n"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    k = min(k, s.n - 1)
+    schema = "dggid string, source string, d double, reach double"
+    if k < 1:
+        return m.sparkSession.createDataFrame([], schema)
+    radius = radius or max(math.sqrt(2 * k * max(s[1], s[2] / 1e3, 1e-9) * max(s[2], s[1] / 1e3, 1e-9) / (math.pi * s.n)), 1e-9)
+    left, found = m, []
+    while True:
+        own = left.select("dggid", F.col("value_num").alias("own"))
+        p = near(left, m, radius).where("dggid != source").join(own, "dggid")
+        dv = weight * (F.col("v") - F.col("own"))
+        p = p.select("dggid", "source", F.sqrt(F.col("d") * F.col("d") + dv * dv).alias("d"))
+        nth = F.row_number().over(Window.partitionBy("dggid").orderBy("d", "source"))
+        done = p.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("dggid").agg(F.count("*").alias("n"), F.max("d").alias("reach"))
+        done = done.where((F.col("n") == k) & (F.col("reach") <= radius)).select("dggid", "reach")
+        step, seen = cut_and_seen(p.join(done, "dggid").where("d <= reach").select("dggid", "source", "d", "reach"), F.count("*").alias("rows"))
+        if seen["rows"]:
+            found.append(step)
+            left = left.join(step.select("dggid").distinct(), "dggid", "left_anti")
+        left, seen = cut_and_seen(left, F.count("*").alias("rows"))
+        if not seen["rows"]:
+            return reduce(DataFrame.unionByName, found)
+        radius *= 2
+
+
+def local_outliers(values: DataFrame, places: DataFrame, k: int = 8, weight: float = 0.0, radius: float | None = None) -> DataFrame:
+    """(dggid, neighbors, density, lof) of every measured cell: the local outlier factor over its `k` nearest measured cells.
+
+    The density of a cell is one over the mean distance at which it reaches its neighbours (at least each neighbour's own k-th
+    distance); the factor is how much denser its neighbours are: about 1 inside a cluster, clearly more for an outlier. Distances
+    are those of `nearest`. Cells at one place with equal values have an infinite density and no factor.
+    """
+    n = nearest(values, places, k, weight, radius)
+    reach = n.groupBy("dggid").agg(F.first("reach").alias("far")).select(F.col("dggid").alias("source"), "far")
+    density = n.join(reach, "source").groupBy("dggid").agg((1 / F.nullif(F.avg(F.greatest("d", "far")), F.lit(0.0))).alias("density"), F.count("*").alias("neighbors"))
+    density = cut(density)
+    theirs = density.select(F.col("dggid").alias("source"), F.col("density").alias("theirs"))
+    mean = n.join(theirs, "source").groupBy("dggid").agg(F.when(F.count("theirs") == F.count("*"), F.avg("theirs")).alias("mean"))
+    return density.join(mean, "dggid").select("dggid", "neighbors", "density", (F.col("mean") / F.col("density")).alias("lof"))

@@ -163,6 +163,21 @@ def _kriged(f: Fixtures) -> DataFrame:
 
 add("kriging", None, _kriged)
 
+add(
+    "local_outliers",
+    f"""
+        WITH {_PLACES}, m AS (SELECT dggid, x, y, value_num v FROM q97 JOIN places USING (dggid)),
+        p AS (SELECT a.dggid, b.dggid source, sqrt(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) * sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))
+        + 0.05::DOUBLE * (b.v - a.v) * (0.05::DOUBLE * (b.v - a.v))) d FROM m a JOIN m b ON a.dggid != b.dggid),
+        k AS (SELECT *, row_number() OVER (PARTITION BY dggid ORDER BY d, source) nth FROM p),
+        far AS (SELECT dggid, d reach FROM k WHERE nth = 5), n AS (SELECT k.dggid, source, d, reach FROM k JOIN far USING (dggid) WHERE d <= reach),
+        l AS (SELECT n.dggid, 1 / AVG(greatest(n.d, o.reach)) density, COUNT(*) neighbors FROM n JOIN far o ON o.dggid = n.source GROUP BY 1),
+        t AS (SELECT n.dggid, AVG(l.density) theirs FROM n JOIN l ON l.dggid = n.source GROUP BY 1)
+        SELECT dggid, neighbors, ROUND(density, 6) AS density, ROUND(theirs / density, 6) AS lof FROM l JOIN t USING (dggid)
+    """,
+    lambda f: rounded(geostat.local_outliers(f.year(1997), _places(f), 5, 0.05), "density", "lof"),
+)
+
 
 def _covariates(f: Fixtures) -> DataFrame:
     return f.year(1997).select("dggid", F.col("value_num").alias("y")).join(f.elev().select("dggid", F.col("value_num").alias("x")), "dggid")

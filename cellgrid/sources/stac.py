@@ -74,9 +74,11 @@ def sample_scenes(scenes: DataFrame, headers: DataFrame, pixels: DataFrame, grid
 
     Cells are those in a scene's box, at most `most` a scene in id order; tid is the scene's time in seconds since 1970 (0
     without a time). A band's file is found by its href in `headers` (path, west, north, pixel_width, pixel_height, rows,
-    cols, nodata, in degrees) and `pixels` (path, row, col, value). No data and values that aren't finite go. Where scenes of
-    one time overlap, the one with the greatest id stays.
+    cols, nodata, and crs for files that aren't in degrees) and in `pixels`: (path, row, col, value), or the packed blocks of
+    GeoTIFF files, of which only those with a cell's centre are unpacked. No data and values that aren't finite go. Where scenes
+    of one time overlap, the one with the greatest id stays.
     """
+    from . import geotiff, rasters
     from .vectors import cells_in_boxes
 
     s = scenes.where(F.size("bbox") >= 4).withColumn("tid", F.coalesce(F.unix_timestamp("acquired"), F.lit(0).cast("bigint")))
@@ -85,8 +87,17 @@ def sample_scenes(scenes: DataFrame, headers: DataFrame, pixels: DataFrame, grid
     nth = F.row_number().over(Window.partitionBy("feature_no").orderBy("dggid"))
     cells = cells_in_boxes(boxes, grid, level).withColumn("nth", nth).where(F.col("nth") <= most).select(F.col("feature_no").alias("id"), "dggid", "lon", "lat")
     at = cells.join(s.select("id", "tid", "band", F.col("file.href").alias("path")), "id").join(headers, "path")
-    row, col = F.floor((F.col("north") - F.col("lat")) / F.col("pixel_height")), F.floor((F.col("lon") - F.col("west")) / F.col("pixel_width"))
-    at = at.select("id", "tid", "band", "path", "dggid", "nodata", row.cast("int").alias("row"), col.cast("int").alias("col"))
+    east, north = F.col("lon"), F.col("lat")
+    if "crs" in headers.columns:
+        systems = [r.crs for r in headers.select("crs").distinct().limit(geotiff.MOST_SYSTEMS + 1).collect()]
+        if len(systems) > geotiff.MOST_SYSTEMS:
+            raise ValueError(f"more than {geotiff.MOST_SYSTEMS} reference systems")
+        places = {crs: rasters.projected(F.col("lon"), F.col("lat"), crs) for crs in systems}
+        east, north = (F.coalesce(F.lit(None).cast("double"), *[F.when(F.col("crs") == crs, p[k]) for crs, p in places.items()]) for k in (0, 1))
+    row, col = F.floor((F.col("north") - north) / F.col("pixel_height")), F.floor((east - F.col("west")) / F.col("pixel_width"))
+    at = at.withColumns({"_row": row.cast("int"), "_col": col.cast("int")}).where((F.col("_row") >= 0) & (F.col("_col") >= 0) & (F.col("_row") < F.col("rows")) & (F.col("_col") < F.col("cols")))
+    at = at.select("id", "tid", "band", "path", "dggid", "nodata", F.col("_row").alias("row"), F.col("_col").alias("col"))
+    pixels = geotiff.values_at(at, pixels, headers) if "data" in pixels.columns else pixels
     x = at.join(pixels, ["path", "row", "col"]).where(~F.isnan("value") & (F.abs("value") < float("inf")) & (F.col("nodata").isNull() | (F.col("value") != F.col("nodata"))))
     return x.groupBy("dggid", "tid", F.col("band").alias("attr_key")).agg(F.max_by("value", "id").alias("value_num"))
 

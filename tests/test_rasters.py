@@ -138,3 +138,29 @@ def test_transverse_mercator(spark):
     for bad in ("EPSG:32661", "EPSG:32600", "EPSG:2154", "nothing"):
         with pytest.raises(ValueError):
             rasters.projected(F.lit(0.0), F.lit(0.0), bad)
+
+
+def test_scenes_in_their_own_systems(spark):
+    """Bands of scenes from packed blocks, one file in UTM and one in degrees; the centre of each cell decides."""
+    from cellgrid.grid import HexLattice
+    from cellgrid.sources import stac, vectors
+
+    grid, zone = HexLattice(), rasters.utm_zone("EPSG:32633")
+    v = np.arange(3600, dtype="int32").reshape(60, 60)
+    utm = Raster(400_000.0, 5_700_000.0, 3000.0, 3000.0, 60, 60, crs="EPSG:32633")
+    plain = Raster(30.0, 52.0, 0.05, 0.05, 60, 60)
+    source = files(spark, {"u": geotiff.file_of(v, utm, 16), "d": geotiff.file_of(v + 10_000, plain, 16)})
+    band = lambda path: {"B04": {"href": path, "type": "image/tiff", "roles": ["data"]}}
+    items = [("s1", "c", list(utm.box()), "2024-05-01T10:00:00Z", 5.0, band("u")), ("s2", "c", list(plain.box()), "2024-05-01T10:00:00Z", 5.0, band("d"))]
+    scenes = stac.normalise(spark.createDataFrame(items, stac.ITEMS))
+    names = [k for r in scenes.select("bands").collect() for k in r.bands]
+    got = {r.dggid: r.value_num for r in stac.sample_scenes(scenes, geotiff.headers_of(source), geotiff.blocks(source), grid, 9, names).collect()}
+    from pyspark.sql import functions as F
+
+    want, boxes = {}, spark.createDataFrame([("u", *utm.box()), ("d", *plain.box())], "k string, w double, s double, e double, n double")
+    east, north = zone.to(F.col("lon"), F.col("lat"))
+    for r in vectors.cells_in_boxes(boxes, grid, 9).select("k", "dggid", "lon", "lat", east.alias("x"), north.alias("y")).collect():
+        at = (math.floor((5_700_000 - r.y) / 3000), math.floor((r.x - 400_000) / 3000)) if r.k == "u" else (math.floor((52 - r.lat) / 0.05), math.floor((r.lon - 30) / 0.05))
+        if all(0 <= i < 60 for i in at):
+            want[r.dggid] = float(v[at] + 10_000 * (r.k == "d"))
+    assert got == want and len(want) > 20 and {x >= 10_000 for x in want.values()} == {True, False}
