@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_and_seen
 
 #: A rule: (state, function from a state's name to the number of neighbours in it) to the next state.
 Rule = Callable[[Column, Callable[[str], Column]], Column]
@@ -57,15 +57,34 @@ def step(state: DataFrame, topo: DataFrame, rule: str = "fire", mask: DataFrame
     return x.select("dggid", after.alias("state"))
 
 
-def run(state: DataFrame, topo: DataFrame, steps: int = 1, rule: str = "fire", mask: DataFrame | None = None, until_stable: bool = False) -> DataFrame:
-    """The state after 1 to 100 steps, or once nothing changes any more; the plan is cut every few steps."""
-    steps = min(max(steps, 1), 100)
+def share_to_stop(stop: str | None) -> float | None:
+    """The share of cells that must keep their state in a step for a run to end: all by `no_changes`, x by `threshold:x`."""
+    if stop is None:
+        return None
+    name, _, share = stop.partition(":")
+    try:
+        value = 1.0 if stop == "no_changes" else float(share) if name == "threshold" else -1.0
+    except ValueError:
+        value = -1.0
+    if not 0 <= value <= 1:
+        raise ValueError(f"unknown stop condition {stop}")
+    return value
+
+
+def run(state: DataFrame, topo: DataFrame, steps: int = 1, rule: str = "fire", mask: DataFrame | None = None, until_stable: bool = False, stop: str | None = None) -> DataFrame:
+    """The state after 1 to 100 steps, or after the first one that meets `stop` (`until_stable` is `no_changes`); the plan is cut every few steps."""
+    steps, share = min(max(steps, 1), 100), share_to_stop("no_changes" if until_stable and stop is None else stop)
     for k in range(1, steps + 1):
         after = step(state, topo, rule, mask)
-        if until_stable or (k % 5 == 0 and k < steps):
-            after = cut(after)
-            if until_stable and after.join(state.withColumnRenamed("state", "before"), "dggid").where("state != before").isEmpty():
+        if share is not None:
+            kept = F.col("state").eqNullSafe(F.col("before"))
+            both = after.join(state.withColumnRenamed("state", "before"), "dggid")
+            after, seen = cut_and_seen(both, F.count("*").alias("n"), F.count(F.when(kept, 1)).alias("kept"))
+            after = after.drop("before")
+            if seen["kept"] >= share * seen["n"]:
                 return after
+        elif k % 5 == 0 and k < steps:
+            after = cut(after)
         state = after
     return state
 

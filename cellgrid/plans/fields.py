@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import access, ml
 from ..grid import HexLattice
-from ..operators import geometry, geostat, series, temporal
+from ..operators import automata, geometry, geostat, series, temporal
 from ..session import cut
 from ..sources import cover, geotiff, rasters, vectors
 from .fixtures import Fixtures
@@ -215,6 +215,26 @@ add(
 )
 add("seasonal_decomposition", None, lambda f: series.decompose(f.qty(), 3))
 
+add(
+    "playback_next",
+    "SELECT event_id, (tid + 1) % 201 AS shown FROM evt",
+    lambda f: f.evt().select("event_id", temporal.next_tid(F.col("tid"), 200).alias("shown")),
+)
+
+# -- automata and topology
+_reached = "WITH w AS (SELECT dggid FROM grid WHERE k % 211 = 0 UNION SELECT t.neighbor_dggid FROM w JOIN topo t ON t.dggid = w.dggid)"
+add(
+    "ca_run_no_changes",
+    f"{_reached} SELECT grid.dggid, CASE WHEN w.dggid IS NULL THEN 'unburned' ELSE 'burned' END AS state FROM grid LEFT JOIN w ON w.dggid = grid.dggid",
+    lambda f: automata.run(
+        f.grid().select("dggid", F.when(F.col("k") % 211 == 0, "burning").otherwise("unburned").alias("state")), f.topo(), 100, stop="no_changes"),
+)
+add(
+    "topology_of_cells",
+    "SELECT t.dggid, t.neighbor_dggid, p.parent_dggid, 3 AS level FROM topo t JOIN parent p ON p.dggid = t.dggid",
+    lambda f: LATTICE.topology(f.grid().select("dggid")),
+)
+
 # -- fixed tables beside given rows
 add(
     "temporal_hierarchy",

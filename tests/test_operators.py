@@ -284,3 +284,17 @@ def test_running_total(spark, keys, seed):
         total += v
         want[k] = total
     assert got == want
+
+
+def test_automata_stop_at_a_share(spark):
+    """A line of ten cells burns from one end: one cell catches fire and one burns out in each step, so eight of ten keep their state."""
+    from cellgrid.operators import automata
+
+    topo = spark.createDataFrame([(str(a), str(b)) for a in range(10) for b in (a - 1, a + 1) if 0 <= b < 10], "dggid string, neighbor_dggid string")
+    state = spark.createDataFrame([(str(k), "burning" if k == 0 else "unburned") for k in range(10)], "dggid string, state string")
+    count = lambda **how: automata.run(state, topo, 50, **how).where("state != 'unburned'").count()
+    assert count(stop="threshold:0.8") == 2 and count(stop="threshold:0") == 2
+    assert count(stop="threshold:0.9") == 10 and count(stop="no_changes") == count(until_stable=True) == 10
+    for bad in ("threshold:2", "threshold:x", "never", "threshold", "no_changes:1"):
+        with pytest.raises(ValueError):
+            automata.run(state, topo, 1, stop=bad)
