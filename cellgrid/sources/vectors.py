@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..grid import HexLattice
 from .cover import cover_boxes, cover_polygons, expanded
+from .rasters import EARTH, TransverseMercator
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -65,20 +68,50 @@ def shapes_of(shp: bytes, dbf: bytes) -> list[tuple[int, str, str, dict[str, str
     return out
 
 
+def degrees_by(prj: str | None) -> Callable[[float, float], tuple[float, float]] | None:
+    """How a shapefile's coordinates become degrees, by the text of its .prj; None if they are degrees (or nothing is said).
+
+    Transverse Mercator (UTM among them) and the web's Mercator are known, in any unit of length; others are an error, since
+    their shapes would land in wrong cells.
+    """
+    text = (prj or "").strip()
+    if not text or text.upper().startswith(("GEOGCS", "GEOGCRS")):
+        return None
+    named = {k.lower(): float(v) for k, v in re.findall(r'PARAMETER\["(\w+)",\s*([-+.\deE]+)\]', text)}
+    kind = (re.search(r'PROJECTION\["(\w+)"', text) or ["", ""])[1].lower()
+    radius, inverse = next(((float(m[1]), float(m[2])) for m in re.finditer(r'(?:SPHEROID|ELLIPSOID)\["[^"]*",\s*([\d.]+),\s*([\d.]+)', text)), (EARTH, 298.257223563))
+    unit = float(([("", "1")] + re.findall(r'UNIT\["([^"]*)",\s*([-+.\deE]+)', text))[-1][1])
+    east, north = named.get("false_easting", 0.0) * unit, named.get("false_northing", 0.0) * unit
+    if kind == "transverse_mercator" and not named.get("latitude_of_origin"):
+        plane = TransverseMercator(named.get("central_meridian", 0.0), north, east, named.get("scale_factor", 1.0), radius, 1 / inverse if inverse else 0.0)
+        return lambda x, y: plane.back(x * unit, y * unit)
+    if kind in ("mercator_auxiliary_sphere", "popular_visualisation_pseudo_mercator"):
+        middle = named.get("central_meridian", 0.0)
+        return lambda x, y: (middle + math.degrees((x * unit - east) / EARTH), math.degrees(2 * math.atan(math.exp((y * unit - north) / EARTH)) - math.pi / 2))
+    raise ValueError(f"the projection {kind or text[:40]} of a shapefile is not supported")
+
+
+def _turned(c: list, turn: Callable[[float, float], tuple[float, float]]) -> list:
+    """Nested coordinates with every point turned."""
+    return list(turn(c[0], c[1])) if c and not isinstance(c[0], list) else [_turned(x, turn) for x in c]
+
+
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """Points and polygons of a shapefile (the .shp with its .dbf beside it), in degrees; other shapes are left out. Each file is read by one task."""
-    files = spark.read.format("binaryFile").load([path, path[:-4] + ".dbf"]).select("path", "content")
-    pair = files.groupBy(F.regexp_replace("path", r"\.(shp|dbf)$", "").alias("base")).agg(
-        F.max(F.when(F.col("path").endswith(".shp"), F.col("content"))).alias("shp"), F.max(F.when(F.col("path").endswith(".dbf"), F.col("content"))).alias("dbf"))
+    """Points and polygons of a shapefile (the .shp with its .dbf and, if there is one, its .prj beside it), in degrees; other shapes are left out. Each file is read by one task."""
+    files = spark.read.format("binaryFile").load(path[:-4] + ".{shp,dbf,prj}").select("path", "content")
+    part = lambda kind: F.max(F.when(F.col("path").endswith("." + kind), F.col("content"))).alias(kind)
+    whole = files.groupBy(F.regexp_replace("path", r"\.(shp|dbf|prj)$", "").alias("base")).agg(part("shp"), part("dbf"), part("prj"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
         for b in batches:
-            rows = [r for shp, dbf in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for r in shapes_of(shp, dbf)]
-            columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [list(r[3].items()) for r in rows]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["feature_no", "kind", "coordinates", "properties"])
+            for shp, dbf, prj in zip(*[b.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
+                rows, turn = shapes_of(shp, dbf), degrees_by(prj.decode("utf-8", "replace") if prj else None)
+                places = [json.dumps(_turned(json.loads(r[2]), turn)) if turn else r[2] for r in rows]
+                columns = [[r[0] for r in rows], [r[1] for r in rows], places, [list(r[3].items()) for r in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["feature_no", "kind", "coordinates", "properties"])
 
-    return pair.mapInArrow(read, "feature_no bigint, kind string, coordinates string, properties map<string,string>")
+    return whole.mapInArrow(read, "feature_no bigint, kind string, coordinates string, properties map<string,string>")
 
 
 def burn(features: DataFrame, grid: HexLattice, level: int, attribute: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from datetime import datetime
 
 import pytest
@@ -332,6 +333,16 @@ def test_shapefile(spark, tmp_path):
     burned = {r.dggid: r.value_num for r in vectors.burn(f.where("kind = 'MultiPolygon'"), LAT, 6, "cat").collect()}
     inside = {r.dggid for r in LAT.list_zones(spark, 6, 0, 0, 10, 10).where("not (lon between 4 and 6 and lat between 4 and 6)").collect()}
     assert set(burned) == inside and set(burned.values()) == {2.5} and vectors.burn(f.where("kind = 'Point'"), LAT, 6, "cat").first().value_num == 7.0
+    # the same file in a plane of its own: a point 2.5 km east and 3.5 km north of the zone's origin on the equator
+    sphere = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],UNIT["Degree",0.0174532925199433]]'
+    utm = f'PROJCS["x",{sphere},PROJECTION["Transverse_Mercator"],PARAMETER["False_Easting",0.0],PARAMETER["Central_Meridian",15.0],PARAMETER["Scale_Factor",0.9996],PARAMETER["Latitude_Of_Origin",0.0],UNIT["Kilometer",1000.0]]'
+    web = f'PROJCS["y",{sphere},PROJECTION["Mercator_Auxiliary_Sphere"],PARAMETER["False_Easting",0.0],PARAMETER["Central_Meridian",0.0],UNIT["Kilometer",1000.0]]'
+    for text, lon, lat in ((sphere, 2.5, 3.5), (utm, *rasters.TransverseMercator(15.0, false_east=0.0).back(2500.0, 3500.0)), (web, math.degrees(2500 / 6378137), math.degrees(3500 / 6378137))):
+        (tmp_path / "s.prj").write_text(text)
+        at = json.loads(vectors.read_shapefile(spark, str(tmp_path / "s.shp")).where("kind = 'Point'").first().coordinates)
+        assert abs(at[0] - lon) < 1e-7 and abs(at[1] - lat) < 1e-7
+    with pytest.raises(ValueError):
+        vectors.degrees_by('PROJCS["z",PROJECTION["Lambert_Conformal_Conic"],UNIT["Meter",1.0]]')
 
 
 def test_geojson_lines(spark, tmp_path):
