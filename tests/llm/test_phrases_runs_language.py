@@ -174,10 +174,13 @@ def test_runs_are_maximal_and_of_smallest_period():
 def test_ranges_of_lags_find_the_same(spark, edges):
     rng = random.Random(5)
     docs = docs_of(spark, [(k, repeating(rng), "en") for k in range(25)] + [(None, repeating(rng), "en"), (3, repeating(rng), "en")]).select("doc_id", "text").unionByName(edges.select("doc_id", "text"))
+    docs, long = docs.where("text IS NULL OR length(text) < 100000"), docs.where("length(text) >= 100000")
     key = lambda r: tuple((x is None, x) for x in r)
     want = sorted((plain_row(r.doc_id, r.text, Repeats()) for r in docs.collect()), key=key)
     for repeats in (Repeats(), Repeats(long_bytes=40, work=500)):
         assert sorted(map(tuple, periodic_runs.periodic_runs(docs, repeats).collect()), key=key) == want
+    whole, ranges = (periodic_runs.periodic_runs(long, Repeats(long_bytes=n)).collect() for n in (1 << 30, 1 << 16))
+    assert whole == ranges and len(whole) == 1  # too long for plain loops
 
 
 def test_runs_of_nothing(spark, nothing):
