@@ -15,7 +15,7 @@ import math
 import re
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,16 +46,13 @@ _CONTEXT_MARKS = ("pass", "pwd", "credential", "auth", "bearer", "key", "secret"
 THRESHOLD = 8.0
 #: The same for a value after any name.
 NAMED_THRESHOLD = 20.0
-#: Words of the dictionary that the corpus gives, and the lengths of words that count.
+#: Words of the dictionary that the corpus gives, and the lengths of words that it holds: with both, the dictionary is at most 4 MB of letters.
 DICTIONARY_WORDS = 1 << 14
-WORD_LENGTHS = (3, 16)
+WORD_LENGTHS = (3, 255)
 FLUSH = 400_000
-#: Longest block that counts as repeated.
-LONGEST_BLOCK = 16
 
 #: Words of credentials and configuration in order of use; a word costs its rank in guesses.
 WORDS = "password admin user root test guest login welcome letmein master dragon monkey shadow sunshine princess football baseball iloveyou secret token default changeme example sample demo public private server database system service client local localhost production staging development access account company office support manager internet computer superman batman hello world love summer winter spring autumn monday friday january october november december my the your for and with this that none null true false value string required unknown hidden removed redacted placeholder".split()
-_RANK = {w: k + 1 for k, w in enumerate(WORDS)}
 #: Keyboard rows, along which walks go.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _AT = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
@@ -65,6 +62,22 @@ _YEAR = re.compile(r"(?:19|20)\d\d")
 _VOWELS = frozenset("aeiouyáéíóúàèâêîôûäöü")
 
 
+def word_lengths(words: Iterable[str]) -> list[int]:
+    """The lengths of the words that are long enough to count, shortest first."""
+    return sorted({len(w) for w in words if len(w) >= WORD_LENGTHS[0]})
+
+
+class Ranks(dict):
+    """Words with their ranks, and the lengths that words have, so that a value is only cut where a word can end."""
+
+    def __init__(self, words: Iterable[str]):
+        super().__init__((w, k) for k, w in enumerate(dict.fromkeys(words), 1))
+        self.lengths = word_lengths(self)
+
+
+_RANK = Ranks(WORDS)
+
+
 def _next_to(a: str, b: str) -> bool:
     """Whether two keys touch (in a row, or in the rows above and below)."""
     if a not in _AT or b not in _AT:
@@ -94,7 +107,8 @@ def guess_cost(value: str, ranks: Mapping[str, int] = _RANK) -> float:
     extra = 0.3 * max(0, mixed - 1)  # a character of a mixed value comes from a larger alphabet
     split = math.log10(2)
     chars = [_char_cost(c) for c in s]
-    repeated = [_same_after(s, size) for size in range(1, min(LONGEST_BLOCK, n // 2) + 1)]
+    lengths = ranks.lengths if isinstance(ranks, Ranks) else word_lengths(ranks)
+    repeats = repeated_blocks(s)
     up, down = (_run_ends(n, lambda j, step=step: ord(s[j]) - ord(s[j - 1]) == step) for step in (1, -1))
     walks = _run_ends(n, lambda j: _next_to(low[j - 1], low[j]))
     ends, vowels = _like_words(s, low)
@@ -107,7 +121,9 @@ def guess_cost(value: str, ranks: Mapping[str, int] = _RANK) -> float:
 
         if best[i] + chars[i] + extra < best[i + 1]:
             best[i + 1] = best[i] + chars[i] + extra
-        for j in range(i + WORD_LENGTHS[0], min(n, i + WORD_LENGTHS[1]) + 1):  # words
+        for size in lengths:  # words
+            if (j := i + size) > n:
+                break
             rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
                 to(j, math.log10(rank + 1) + (split if s[i:j] != low[i:j] else 0) + (split if low[i:j] not in ranks else 0))
@@ -116,10 +132,8 @@ def guess_cost(value: str, ranks: Mapping[str, int] = _RANK) -> float:
                 to(m.end(), math.log10(36500) + split)
             if _YEAR.match(s, i):
                 to(i + 4, math.log10(119))
-        for size, same in enumerate(repeated, 1):  # one character, or a block, again and again
-            if same[i] >= max(size, 2):
-                j = i + size + same[i] // size * size
-                to(j, sum(chars[i : i + size]) + math.log10(j - i))
+        for size, j in repeats[i]:  # one character, or a block, again and again
+            to(j, sum(chars[i : i + size]) + math.log10(j - i))
         for j in (up[i], down[i]):  # 123, cba
             if j - i >= 3:
                 to(j, math.log10(10 if s[i].isdigit() else 26) + math.log10(2 * (j - i)))
@@ -132,13 +146,60 @@ def guess_cost(value: str, ranks: Mapping[str, int] = _RANK) -> float:
     return best[n]
 
 
-def _same_after(s: str, size: int) -> list[int]:
-    """For each place, how many characters from there on equal those `size` further."""
-    out = [0] * len(s)
-    for i in range(len(s) - size - 1, -1, -1):
-        if s[i] == s[i + size]:
-            out[i] = out[i + 1] + 1
-    return out
+def _common_starts(s: Sequence) -> list[int]:
+    """For each place, how many items from there on equal the first ones (the z-function)."""
+    n = len(s)
+    z, left, right = [n] + [0] * (n - 1) if n else [], 0, 0
+    for i in range(1, n):
+        k = min(z[i - left], right - i) if i < right else 0
+        while i + k < n and s[k] == s[i + k]:
+            k += 1
+        z[i] = k
+        if i + k > right:
+            left, right = i, i + k
+    return z
+
+
+def _periodic_stretches(s: str) -> set[tuple[int, int, int]]:
+    """(start, end, period) of every stretch of at least two periods that cannot be longer, for all periods.
+
+    By halves: a stretch across a middle holds the place one period after it or one before it, and how far the text there
+    agrees with the text at the middle, both ways, gives its ends. All halves of one depth take one pass over `s`; the number
+    of depths is the logarithm of its length. Parts of a stretch may come beside the whole.
+    """
+    found, parts = set(), [(0, len(s))]
+    while parts:
+        lo, hi = parts.pop()
+        if hi - lo < 2:
+            continue
+        mid = (lo + hi) // 2
+        parts += [(lo, mid), (mid, hi)]
+        u, v, whole = s[lo:mid], s[mid:hi], s[lo:hi]
+        ahead = _common_starts([*v, None, *whole])[len(v) + 1 :]  # of each place with the middle, forwards
+        behind = _common_starts([*u[::-1], None, *whole[::-1]])[len(u) + 1 :][::-1]  # of what ends with each place with what ends before the middle
+        for p in range(1, max(len(u), len(v)) + 1):
+            for at in (mid + p, mid - p):
+                if lo <= at <= hi:
+                    start = min(at, mid) - (behind[at - lo - 1] if at > lo else 0)
+                    end = max(at, mid) + (ahead[at - lo] if at < hi else 0)
+                    if end - start >= 2 * p:
+                        found.add((start, end, p))
+    return found
+
+
+def repeated_blocks(s: str) -> list[list[tuple[int, int]]]:
+    """For each place, (size, end) of the blocks from there that come twice or more in a row, a single character three times or more, as far as they go.
+
+    Blocks of any size count, but none that is itself a repeat: the smaller block costs less and goes as far or further.
+    """
+    least: dict[tuple[int, int], int] = {}
+    for a, b, p in _periodic_stretches(s):
+        least[a, b] = min(p, least.get((a, b), p))
+    out: list[dict[int, int]] = [{} for _ in s]
+    for (a, b), p in least.items():
+        for i in range(a, b - max(2 * p, 3) + 1):
+            out[i][p] = max(out[i].get(p, 0), i + (b - i) // p * p)
+    return [sorted(x.items()) for x in out]
 
 
 def _run_ends(n: int, goes_on: Callable[[int], bool]) -> list[int]:
@@ -247,7 +308,7 @@ def find_secrets(text: str | None, ranks: Mapping[str, int] = _RANK) -> tuple[li
     return sorted(found), sorted(base)
 
 
-def ranked_words(docs: DataFrame, most: int = DICTIONARY_WORDS) -> dict[str, int]:
+def ranked_words(docs: DataFrame, most: int = DICTIONARY_WORDS) -> Ranks:
     """The dictionary: the fixed words, then at most `most` of the most frequent words of letters in all texts, each with its rank; words of one count are in it together or not at all.
 
     Words are counted in the tasks and by Spark. How many words have each count gives the least count that counts, so only
@@ -276,7 +337,7 @@ def ranked_words(docs: DataFrame, most: int = DICTIONARY_WORDS) -> dict[str, int
     least = words.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).where(F.col("upto") <= most).agg(F.min("n")).first()[0]
     top = words.where(F.col("n") >= (least if least is not None else 1 << 62)).collect()
     dropped(words)
-    return {w: k for k, w in enumerate(dict.fromkeys([*WORDS, *(r.word for r in sorted(top, key=lambda r: (-r.n, r.word)))]), 1)}
+    return Ranks([*WORDS, *(r.word for r in sorted(top, key=lambda r: (-r.n, r.word)))])
 
 
 def _join(spans: list) -> str:
@@ -290,7 +351,7 @@ def scan_documents(docs: DataFrame, ranks: Mapping[str, int] | None = None) -> D
     spans, zeros, the hash of the empty string and a null `hardest`. Null and repeated doc_ids are kept, one row each. Texts
     are not shuffled. Without `ranks`, the dictionary is counted from all texts of `docs` first.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(dict(ranked_words(docs) if ranks is None else ranks))
+    shared = docs.sparkSession.sparkContext.broadcast(ranked_words(docs) if ranks is None else ranks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

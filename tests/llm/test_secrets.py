@@ -111,13 +111,15 @@ def cheapest(s, ranks):
         x, split, costs = s[i:j], math.log10(2) if i else 0.0, []
         if j - i == 1:
             costs.append(char(x) + extra)
-        if 3 <= j - i <= 16 and (low[i:j] in ranks or plain[i:j] in ranks):
+        if j - i >= 3 and (low[i:j] in ranks or plain[i:j] in ranks):
             costs.append(split + math.log10((ranks.get(low[i:j]) or ranks[plain[i:j]]) + 1) + math.log10(2) * ((x != low[i:j]) + (low[i:j] not in ranks)))
         if re.fullmatch(r"(19|20)\d\d", x):
             costs.append(split + math.log10(119))
         if re.fullmatch(r"(19|20)\d\d[-/.]?(0[1-9]|1[0-2])[-/.]?(0[1-9]|[12]\d|3[01])|(0[1-9]|[12]\d|3[01])[-/.]?(0[1-9]|1[0-2])[-/.]?(19|20)\d\d", x):
             costs.append(split + math.log10(36500) + math.log10(2))
-        for size in range(1, min(16, n // 2) + 1):
+        for size in range(1, n // 2 + 1):
+            if any(size % k == 0 and x[:size] == x[:k] * (size // k) for k in range(1, size)):
+                continue  # the block repeats a smaller one
             times = (j - i) // size
             if (j - i) % size == 0 and times >= 2 and j - i >= 3 and x == x[:size] * times and s[j : j + size] != x[:size]:
                 costs.append(split + sum(map(char, x[:size])) + math.log10(j - i))
@@ -170,3 +172,35 @@ def test_many_spans_take_linear_time():
     began = time.perf_counter()
     spans, base = G.find_secrets(text)
     assert len(base) == 6000 and len(spans) == 12_000 and time.perf_counter() - began < 20
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text("ab", max_size=40), st.text("abc", max_size=24), st.tuples(st.text("abcd", min_size=1, max_size=19), st.integers(1, 4), st.text("abcd", max_size=5)).map(lambda x: x[0] * x[1] + x[2])))
+def test_repeated_blocks_of_any_size(s):
+    want = []
+    for i in range(len(s)):
+        here = []
+        for size in range(1, (len(s) - i) // 2 + 1):
+            block, times = s[i : i + size], 1
+            while s[i + times * size : i + (times + 1) * size] == block:
+                times += 1
+            if times >= 2 and times * size >= 3 and not any(size % k == 0 and block == block[:k] * (size // k) for k in range(1, size)):
+                here.append((size, i + times * size))
+        want.append(here)
+    assert G.repeated_blocks(s) == want
+
+
+def test_no_bound_on_blocks_and_words():
+    """Blocks of 17 and 40 characters cost what their letters do, as shorter ones; words of 17, 20 and 60 letters cost their rank."""
+    block = "q7Zk0vX2pLr9TdWm3yBn8sHf1cJg6aQe5uRiKoPx"
+    for size in (16, 17, 40):
+        assert G.guess_cost(block[:size] * 4) <= G.guess_cost(block[:size]) + math.log10(4 * size) + 0.31
+    words = ["qkzv" * 4 + "x", "xwqj" * 5, "zkvqw" * 12]
+    ranks = G.Ranks([*map(str, range(49)), *words])
+    for k, w in enumerate(words, 50):
+        assert abs(G.guess_cost(w, ranks) - math.log10(k + 1)) < 1e-9
+
+
+def test_long_values_stay_cheap_to_cost():
+    hexes = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(150))
+    assert G.guess_cost(hexes) > 1000 and G.guess_cost(hexes * 2) < G.guess_cost(hexes) + 5
