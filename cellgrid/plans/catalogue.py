@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, fields, platform, terrain  # noqa: F401  (they register their queries)
+from . import analysis, changes, fields, platform, terrain  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL, Query
 
 

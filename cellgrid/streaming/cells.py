@@ -12,6 +12,8 @@ from ..sources.tables import upsert
 
 #: Times (tid) that lie in one part of the stored table: a day of hours.
 PART_TIDS = 24
+#: Version files that stay, so that the list of them does not grow with the batches.
+VERSIONS = 20
 
 
 def hourly_cells(readings: DataFrame, delay: str = "2 hours", window: str = "1 hour") -> DataFrame:
@@ -25,24 +27,31 @@ def _files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in order; none where there is no such folder."""
+    at, files = _files(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
+
+
 def current(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
     """(last batch, folder of each part) of the table at `path`, by its highest version file; (-1, {}) before the first batch."""
-    at, files = _files(spark, f"{path}/versions")
-    names = sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
-    names = [n for n in names if n.endswith(".json")]
+    names = [n for n in names_in(spark, f"{path}/versions") if n.endswith(".json")]
     if not names:
         return -1, {}
     text = spark.read.text(f"{path}/versions/{names[-1]}", wholetext=True).first()[0]
     return int(names[-1].removesuffix(".json")), json.loads(text)
 
 
-def _name_version(spark: SparkSession, path: str, batch_id: int, parts: dict[str, str]) -> None:
+def name_version(spark: SparkSession, path: str, batch_id: int, parts: dict[str, str] | dict[str, list[str]]) -> None:
+    """Makes `parts` the table's current version, whole or not at all, and forgets versions older than the last few."""
     waiting, files = _files(spark, f"{path}/versions/.{batch_id}-{uuid.uuid4().hex}")
     out = files.create(waiting, False)
     out.write(bytearray(json.dumps(parts), "utf-8"))
     out.close()
     if not files.rename(waiting, _files(spark, f"{path}/versions/{batch_id:020d}.json")[0]):
         raise OSError(f"batch {batch_id} could not be named")
+    for name in [n for n in names_in(spark, f"{path}/versions") if n.endswith(".json")][:-VERSIONS]:
+        files.delete(_files(spark, f"{path}/versions/{name}")[0], False)
 
 
 def merge_batch(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -69,7 +78,7 @@ def merge_batch(batch: DataFrame, batch_id: int, path: str) -> None:
             parts |= {p: f"{folder}/part={p}" for p in touched}
     finally:
         batch.unpersist()
-    _name_version(spark, path, batch_id, parts)
+    name_version(spark, path, batch_id, parts)
 
 
 def merge_batches(stream: DataFrame, path: str, checkpoint: str, once: bool = False):
@@ -90,7 +99,8 @@ def merged(spark: SparkSession, path: str) -> DataFrame:
 def remove_old(spark: SparkSession, path: str) -> None:
     """Deletes the folders and version files that the last version doesn't name; not while others read older versions."""
     last, parts = current(spark, path)
-    kept = {p.rsplit("/", 1)[0].rsplit("/", 1)[-1] + "/" + p.rsplit("/", 1)[-1] for p in parts.values()}
+    named = [f for p in parts.values() for f in ([p] if isinstance(p, str) else p)]
+    kept = {"/".join(f.rsplit("/", 2)[-2:]) for f in named}
     at, files = _files(spark, f"{path}/parts")
     for batch in files.listStatus(at) if files.exists(at) else []:
         for part in files.listStatus(batch.getPath()):
