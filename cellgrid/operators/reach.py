@@ -1,7 +1,8 @@
 """Operators that spread over the topology step by step.
 
 Each step is one join of the state with the topology and one aggregate that keeps the best entry per key; a row from each
-cell to itself carries the state along, so a step names the state once and k steps are one plan. Walks of unknown length
+cell to itself carries the state along, so a step names the state once and k steps are one plan, and only cells that the last
+step found go on to their neighbours. Walks of unknown length
 write what each step finds and expand only that.
 """
 
@@ -34,7 +35,8 @@ def hops(seeds: DataFrame, topo: DataFrame, rings: int, mask: DataFrame | None =
     near = edges.groupBy("dggid").agg(F.collect_list(F.struct(F.col("neighbor_dggid").alias("to"), F.lit(1).alias("step"))).alias("near"))
     state = start
     for k in range(1, rings + 1):
-        x = state.join(near, "dggid", "left").select(*keys, "distance", F.explode(F.concat(loops, F.coalesce("near", F.array().cast("array<struct<to:string,step:int>>")))).alias("e"))
+        on = F.when(F.col("distance") == k - 1, F.concat(loops, "near"))  # all others have been where they lead
+        x = state.join(near, "dggid", "left").select(*keys, "distance", F.explode(F.coalesce(on, loops)).alias("e"))
         carried = [F.col(source)] if source else []
         state = x.select(*carried, F.col("e.to").alias("dggid"), (F.col("distance") + F.col("e.step")).alias("distance")).groupBy(*keys).agg(F.min("distance").alias("distance"))
         if k % PLAN_STEPS == 0 and k < rings:
