@@ -210,7 +210,7 @@ def test_whoever_dies_before_the_version_is_named_leaves_the_table(spark, tmp_pa
         raise RuntimeError("lost")
 
     with monkeypatch.context() as m:
-        m.setattr(stream, "_name_version", dies)
+        m.setattr(stream, "name_version", dies)
         with pytest.raises(RuntimeError):
             stream.merge_batch(readings(spark, [("a", 1, "k", 7.0), ("c", 2, "k", 3.0)]), 1, path)
     assert stream.current(spark, path)[0] == 0 and table_at(spark, path) == {("a", 1): 1.0}
