@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..session import cut, cut_and_seen, dropped
 
 #: Steps in one plan before it is cut.
 PLAN_STEPS = 6
+#: Tables of a shortest path's rounds before they become one.
+KNOWN_TABLES = 8
 
 
 def hops(seeds: DataFrame, topo: DataFrame, rings: int, mask: DataFrame | None = None, source: str | None = None) -> DataFrame:
@@ -179,8 +181,8 @@ def shortest_path(topo: DataFrame, start: str, end: str, cost: DataFrame | None
     """The cheapest path as one row: found, total_cost, hops, path. A path costs the sum over the cells it enters (1 where none is known).
 
     Synchronous relaxation: after round k each cell holds its least (cost, hops, cell before) by at most k steps; only cells
-    that a round improved are expanded in the next, and none that costs as much as the best way to `end` so far. Costs must
-    not be negative. The path itself is walked back from `end` along the cells before, doubling the stretch in every round.
+    that a round improved are expanded in the next, and none that costs as much as the best way to `end` so far. A round
+    writes only what it improved; the tables of several rounds become one when there are many. Costs must not be negative. The path itself is walked back from `end` along the cells before, doubling the stretch in every round.
     """
     spark, max_hops = topo.sparkSession, min(max(max_hops, 1), 500)
     edges = topo.select("dggid", "neighbor_dggid").distinct()
@@ -190,30 +192,38 @@ def shortest_path(topo: DataFrame, start: str, end: str, cost: DataFrame | None
         edges = edges.withColumn("c", F.lit(None).cast("double"))
     edges = cut(edges.select("dggid", F.col("neighbor_dggid").alias("to"), F.coalesce("c", F.lit(1.0)).alias("c")))
     best = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("before"))
-    state = cut(spark.range(1).select(F.lit(start).alias("dggid"), best.alias("best"), F.lit(True).alias("new")))
-    bound = None
+    least = F.min("best").alias("best")
+    known = [spark.range(1).select(F.lit(start).alias("dggid"), best.alias("best"))]
+    reached, old = Row(cost=0.0, hops=0) if start == end else None, []
     for _ in range(max_hops):
-        front = state.where("new")
-        if bound is not None:
-            front = front.where(F.col("best.cost") < bound)
+        front = known[-1] if reached is None else known[-1].where(F.col("best.cost") < reached.cost)
         step = F.struct((F.col("best.cost") + F.col("c")).alias("cost"), (F.col("best.hops") + 1).alias("hops"), F.col("dggid").alias("before"))
-        found = front.join(edges, "dggid").select(F.col("to").alias("dggid"), step.alias("best"), F.lit(True).alias("new"))
-        both = state.withColumn("new", F.lit(False)).unionByName(found)
-        step = both.groupBy("dggid").agg(F.min(F.struct("best", "new")).alias("m")).select("dggid", "m.best", "m.new")
-        after, seen = cut_and_seen(step, F.max("new").alias("new"), F.min(F.when(F.col("dggid") == end, F.col("best.cost"))).alias("bound"))
-        dropped(state)
-        state, bound = after, seen["bound"]
-        if not seen["new"]:
+        found = front.join(edges, "dggid").select(F.col("to").alias("dggid"), step.alias("best")).groupBy("dggid").agg(least)
+        held = reduce(DataFrame.unionByName, known).withColumnRenamed("best", "held")
+        both = found.join(held, "dggid", "left").groupBy("dggid").agg(least, F.min("held").alias("held"))
+        better = both.where(F.col("held").isNull() | (F.col("best") < F.col("held"))).select("dggid", "best")
+        new, seen = cut_and_seen(better, F.count("dggid").alias("cells"), F.min(F.when(F.col("dggid") == end, F.col("best"))).alias("end"))
+        dropped(*old)
+        old = []
+        if not seen["cells"]:
+            dropped(new)
             break
-    way = state.select("dggid", F.col("best.before").alias("before"))
-    line, stretch, far = cut(spark.range(1).select(F.lit(end).alias("dggid"), F.lit(0).alias("back"))), cut(way.where("before is not null")), 1
-    while far <= max_hops:
+        reached = seen["end"] or reached
+        if len(known) > KNOWN_TABLES:
+            old, known = known, [cut(reduce(DataFrame.unionByName, known).groupBy("dggid").agg(least))]
+        known.append(new)
+    way = reduce(DataFrame.unionByName, known).groupBy("dggid").agg(least).select("dggid", F.col("best.before").alias("before"))
+    line, stretch, far = spark.range(1).select(F.lit(end).alias("dggid"), F.lit(0).alias("back")), cut(way.where("before is not null")), 1
+    dropped(*known, *old)
+    length = reached.hops if reached else 0
+    while far <= length:
         ahead = line.join(stretch, "dggid").select(F.col("before").alias("dggid"), (F.col("back") + far).alias("back"))
         longer, far = cut(line.unionByName(ahead)), 2 * far
-        if far <= max_hops:
+        if far <= length:
             stretch = cut(stretch.join(stretch.select(F.col("dggid").alias("before"), F.col("before").alias("_far")), "before").select("dggid", F.col("_far").alias("before")))
         line = longer
-    hit = state.where(F.col("dggid") == end).select("best.cost", "best.hops")
-    path = line.agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "dggid"))).alias("p")).select(F.col("p.dggid").alias("path"))  # at most max_hops cells
-    x = spark.range(1).join(hit, F.lit(True), "left").crossJoin(path)
-    return x.select(F.col("cost").isNotNull().alias("found"), F.col("cost").alias("total_cost"), F.col("hops").cast("bigint").alias("hops"), F.when(F.col("cost").isNotNull(), F.col("path")).alias("path"))
+    cells = F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "dggid")))  # at most max_hops cells
+    cost, steps = (reached.cost, reached.hops) if reached else (None, None)
+    return line.agg(cells.alias("p")).select(
+        F.lit(reached is not None).alias("found"), F.lit(cost).cast("double").alias("total_cost"), F.lit(steps).cast("bigint").alias("hops"), F.when(F.lit(reached is not None), F.col("p.dggid")).alias("path")
+    )

@@ -153,6 +153,19 @@ def test_shortest_path_equals_dijkstra(spark, seed):
     assert not lost.found and lost.path is None
 
 
+def test_long_and_empty_paths(spark, monkeypatch):
+    """A path of many rounds, whose tables become one on the way; one from a cell to itself; costs that later rounds lower."""
+    monkeypatch.setattr(reach, "KNOWN_TABLES", 2)
+    line = {f"n{k:02}": [f"n{k + d:02}" for d in (-1, 1) if 0 <= k + d < 12] for k in range(12)}
+    line["n00"], line["n11"] = ["n01", "n11"], ["n10", "n00"]
+    r = reach.shortest_path(topo(spark, line), "n00", "n10", values(spark, {"n11": 50}), 40).first()
+    assert (r.found, r.total_cost, r.hops) == (True, 10.0, 10) and r.path == [f"n{k:02}" for k in range(11)]
+    r = reach.shortest_path(topo(spark, line), "n00", "n10", values(spark, {"n11": 50}), 9).first()
+    assert (r.found, r.total_cost, r.hops, r.path) == (True, 51.0, 2, ["n00", "n11", "n10"])
+    r = reach.shortest_path(topo(spark, line), "n03", "n03").first()
+    assert (r.found, r.total_cost, r.hops, r.path) == (True, 0.0, 0, ["n03"])
+
+
 @FEW
 @given(st.integers(0, 10**6))
 def test_flow_gathers_everything(spark, seed):
