@@ -267,14 +267,16 @@ add(
     "SELECT dggid, 'fire-spread' AS id, 'ANALYTIC' AS kind FROM mask",
     lambda f: f.mask().join(ml.services(f.spark).select("id", "kind"), F.lit(True)),
 )
+_REGIONS = rasters.DEMO_LAYERS[0]
 add(
     "demo_layer_regions",
-    """
-        WITH u AS (SELECT dggid, CAST(('0x' || md5('region:' || dggid)[1:8]) AS BIGINT) % 1000000 / 1000000.0::DOUBLE AS u FROM grid)
+    f"""
+        WITH {_lattice(2, 40)}, d AS (SELECT dggid FROM zones WHERE lon BETWEEN -140 AND 140 AND lat BETWEEN -70 AND 70 UNION ALL SELECT dggid FROM grid),
+        u AS (SELECT dggid, CAST(('0x' || md5('region:' || dggid)[1:8]) AS BIGINT) % 1000000 / 1000000.0::DOUBLE AS u FROM d)
         SELECT dggid, CAST(0 AS BIGINT) AS tid, 'region' AS attr_key, CASE WHEN u < 0.4 THEN 'region_a'
         WHEN u < 0.75 THEN 'region_b' ELSE 'region_c' END AS value_text FROM u
     """,
-    lambda f: rasters.synthetic(f.grid().select("dggid"), "region", rasters.DEMO_LAYERS[0].classes),
+    lambda f: rasters.demo_layer(f.spark, LATTICE, _REGIONS).unionByName(rasters.synthetic(f.grid().select("dggid"), _REGIONS.key, _REGIONS.classes)),
 )
 add(
     "durations_year",

@@ -7,7 +7,9 @@ import os
 import duckdb
 import pytest
 
+from cellgrid.grid import HexLattice
 from cellgrid.plans import catalogue
+from cellgrid.sources import rasters
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -48,3 +50,10 @@ def test_entry(spark):
     df = e.entry(spark)
     assert df.columns[0] == "dggid" and df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_regions_on_the_box_and_on_the_given_cells(spark, small, duck):
+    got = {r.dggid: r.value_text for r in catalogue.queries()["demo_layer_regions"](spark, small).collect()}
+    box = {r.dggid: r.value_text for r in rasters.demo_layer(spark, HexLattice(), rasters.DEMO_LAYERS[0]).collect()}
+    cells = {d for (d,) in duck.execute("SELECT 'C3-' || p_partkey % 50 || '-' || p_partkey // 50 FROM part").fetchall()}
+    assert len(box) > 50 and len(cells) > 50 and set(got) == set(box) | cells and box.items() <= got.items()
