@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,10 @@ DOCS = "file_no int, chunk_no int, doc_no int, doc_id bigint, n_tokens bigint, i
 #: Pieces of these characters (ASCII signs, Latin-1 letters) split into pre-tokens as the library splits them, and NFC leaves them alone.
 _PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: What a plain text doesn't have: characters other than ASCII and Latin-1 letters, and how the vocabulary's special strings begin.
+_ODD = "[^\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|<\\|"
+#: Between a letter and such a sign pre-tokens end, whatever stands around them.
+_WORD_END = "([a-z\u00df-\u00f6\u00f8-\u00ff])([.,;:!?])"
 _PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
@@ -45,6 +50,8 @@ class PieceEncoder:
     or line ends: no token spans white space, and neither NFC nor lower-casing looks across a space. A new piece of ASCII signs
     and Latin-1 letters is lower-cased and split into pre-tokens by the vocabulary's pattern, and the library's model merges each new
     one; any other piece the library encodes whole. Texts are then joins of remembered bytes.
+    Texts of nothing but such characters and white space are lower-cased beforehand and cut between words and the signs after
+    them too, so that fewer pieces are new. Arrow cuts the texts, numbers the distinct pieces and joins their ids.
     """
 
     def __init__(self, vocabulary: str, memo_entries: int = MEMO_ENTRIES):
@@ -58,7 +65,8 @@ class PieceEncoder:
         marks = [t["content"] for t in kept["added_tokens"]]
         lower = "Lowercase" in json.dumps(kept["normalizer"]) and "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in json.dumps(kept["pre_tokenizer"])
         self.marks = re.compile("|".join(map(re.escape, marks)) or "(?!)")
-        self.splits = lower and all(_PLAIN.fullmatch(m) for m in marks)
+        self.splits = lower and all(_PLAIN.fullmatch(m) and "<|" in m for m in marks)
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
         self.pre: dict[str, bytes] = {}
         self.letters = byte_letters()
@@ -69,16 +77,16 @@ class PieceEncoder:
         ids = self.pre.get(p)
         if ids is None:
             own = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
-            ids = self.pre[p] = array("I", [t.id for t in self.tokenizer.model.tokenize(own)]).tobytes()
+            ids = self.pre[p] = array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
         return ids
 
-    def learn(self, new: set[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Remembers the ids of new pieces."""
         memo, rest, plain, letters, mark = self.memo, [], _PLAIN.fullmatch, _LETTERS.fullmatch, self.marks.search
         for piece in new:
             if not self.splits:
                 rest.append(piece)
-            elif letters(piece):
+            elif piece.isalpha() and (piece.isascii() or letters(piece)):
                 memo[piece] = self.merged(piece.lower())
             elif plain(piece) and not ("<|" in piece and mark(piece)):
                 memo[piece] = b"".join(map(self.merged, _PRE_TOKENS.findall(piece.lower())))
@@ -88,16 +96,23 @@ class PieceEncoder:
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 memo[piece] = array("I", e.ids).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if self.splits:
+            texts = pc.if_else(pc.match_substring_regex(texts, _ODD), texts, pc.replace_substring_regex(pc.ascii_lower(texts), _WORD_END, "\\1 \\2"))
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        numbered = pieces.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.memo) > self.memo_entries:
             self.memo.clear()
         if len(self.pre) > self.memo_entries:
             self.pre.clear()
-        self.learn(set().union(*pieces).difference(self.memo))
-        known = self.memo.__getitem__
-        return [b"".join(map(known, p)) for p in pieces]
+        self.learn([p for p in distinct if p not in self.memo])
+        ids = pa.array(list(map(self.memo.__getitem__, distinct)), pa.large_binary()).take(numbered.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[pieces.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -178,9 +193,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
             return pa.RecordBatch.from_pydict(row, CHUNK_ARROW)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, x in zip(part.column(0).to_pylist(), tool.encode(part.column(1).to_pylist()), strict=True):
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                for doc_id, x in zip(part.column(0).to_pylist(), tool.encode(part.column(1)), strict=True):
                     ids.append(doc_id)
                     held.append(x + end)
                     size += len(x) // 4 + 1

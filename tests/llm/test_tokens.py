@@ -94,3 +94,20 @@ def test_rows_of_one_id_are_spread_over_files(spark, tmp_path):
     assert len(rows) == 2000 and all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:], strict=False))
     ids = [-1 if r.doc_id is None else r.doc_id for r in rows]
     assert ids == sorted(ids) and len({r.file_no for r in rows if r.doc_id is None}) > 1
+
+
+def test_a_word_is_learnt_once_whatever_its_case_and_the_signs_after_it():
+    tool, ref = T.PieceEncoder("word_bpe_49k.json"), library("word_bpe_49k.json")
+    texts = ["Häuser häuser, HÄuser. häuser;\nhäuser:. häuser!?", "häuser", None, ""]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tool.encode(texts)] == [ref.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [p for p in tool.memo if p[:1] in "hH" and p] == ["häuser", "hÄuser"]  # ASCII letters are lower-cased beforehand, others when learnt
+
+
+SIGNS = st.lists(st.sampled_from([*"aBs,.;:!?' \n1-ÄßÿÀ", "'S,", "e.g.", "A.b", ".,", "H̱.", "É,", "İ.", "<|ENDOFTEXT|>.", "<|endoftext|>,", "\t."]), max_size=30).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(SIGNS, max_size=4))
+def test_signs_after_words_equal_library(texts):
+    tool, ref = T.encoder("word_bpe_49k.json"), library("word_bpe_49k.json")
+    assert [np.frombuffer(b, "<u4").tolist() for b in tool.encode(texts)] == [ref.encode(t, add_special_tokens=False).ids for t in texts]
