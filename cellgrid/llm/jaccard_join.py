@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,6 @@ from .common import bitmap_of, dropped, in_bitmap, settled, table, whole, window
 SHORT_LIST = 24
 #: Size of the bitmaps of such shingles and of the rows to fetch: fixed, so what is broadcast doesn't grow.
 BITMAP_BITS = 1 << 26
-MEMO_ENTRIES = 500_000
 #: A centre is estimated from so many sets of a group; it decides how much is compared, never what links.
 CENTRE_SETS = 63
 #: Stands for no element in the index of deltas: under it meet sets so near the centre that deltas need not share any.
@@ -64,22 +64,24 @@ class Jaccard:
 
 
 class Shingler:
-    """Texts to sorted arrays of distinct shingle hashes; word hashes are remembered."""
+    """Texts to sorted arrays of distinct shingle hashes. Arrow cuts the texts and numbers their distinct words, each of which is hashed once."""
 
     def __init__(self, words: int):
-        self.words, self.memo = words, {}
-
-    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [(t or "").encode().lower().split() for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        for w in set().union(*cut).difference(memo):
-            memo[w] = xxhash.xxh64_intdigest(w)
-        out = []
-        for w in cut:
-            h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
-            out.append(np.unique(window_hashes(h, min(self.words, len(w)))) if w else np.empty(0, np.uint64))
+        self.words = words
+
+    def sets(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        numbered = cut.flatten().dictionary_encode()
+        distinct = numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[numbered.indices.to_numpy()]
+        word = np.array([w != b"" for w in distinct], bool)[numbered.indices.to_numpy()]  # white space at a text's ends leaves empty words
+        ends = np.concatenate([[0], np.cumsum(word)])[cut.offsets.to_numpy()].tolist()
+        h, out = h[word], []
+        windows = window_hashes(h, self.words)
+        for a, b in zip(ends, ends[1:], strict=False):
+            s = np.sort(windows[a : b - self.words + 1] if b - a >= self.words else window_hashes(h[a:b], b - a) if b > a else h[:0])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s)
         return out
 
 
@@ -102,7 +104,7 @@ def common_shingles(docs: DataFrame, rule: Jaccard) -> np.ndarray:
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Shingler(rule.words)
         for b in _by_part(batches):
-            parts = [s[: rule.prefix(len(s))] for s in tool.sets(b.column(0).to_pylist()) if len(s)]
+            parts = [s[: rule.prefix(len(s))] for s in tool.sets(b.column(0)) if len(s)]
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], ["h"])
 
@@ -117,7 +119,7 @@ def signatures(docs: DataFrame, rule: Jaccard, common: np.ndarray) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Shingler(rule.words)
         for b in _by_part(batches):
-            sets, prefixes = tool.sets(b.column(1).to_pylist()), []
+            sets, prefixes = tool.sets(b.column(1)), []
             for s in sets:
                 late = in_bitmap(shared.value, s)
                 prefixes.append(np.concatenate([s[~late], s[late]])[: rule.prefix(len(s))].view(np.int64) if len(s) else [])
@@ -138,7 +140,7 @@ def fetch_sets(docs: DataFrame, rule: Jaccard, wanted: DataFrame) -> DataFrame:
         for b in batches:
             keep = b.filter(pa.array(in_bitmap(shared.value, b.column(0).to_numpy())))
             for part in _by_part([keep]):
-                found = {_class_of(s): s for s in tool.sets(part.column(1).to_pylist()) if len(s)}
+                found = {_class_of(s): s for s in tool.sets(part.column(1)) if len(s)}
                 new = [c for c in found if c not in seen]
                 seen.update(new)
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[c].tobytes() for c in new], pa.binary())], ["cls", "members"])
@@ -389,7 +391,7 @@ def _with_set(rows: DataFrame, rule: Jaccard) -> DataFrame:
     def classes(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tool = Shingler(rule.words)
         for texts in parts:
-            yield pa.array([_class_of(s) for at in range(0, len(texts), 256) for s in tool.sets(texts.slice(at, 256).to_pylist())], pa.int64())
+            yield pa.array([_class_of(s) for at in range(0, len(texts), 256) for s in tool.sets(texts.slice(at, 256))], pa.int64())
 
     classes.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return rows.withColumn("set", F.arrow_udf(classes, "bigint")("text"))

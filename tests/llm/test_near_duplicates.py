@@ -6,7 +6,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from cellgrid.llm import jaccard_join as J
 from cellgrid.llm.common import table
@@ -126,3 +129,17 @@ def test_blocks_are_skipped_by_size_and_place(spark, rule):
             largest = min((n1 - p1) * (rule.den + rule.num) // rule.num - n1, n1 * rule.den // rule.num)
             blocked += largest >= n1 and block(n1) <= block(m1) <= block(largest)
     assert got == want and len(want) <= blocked < all_pairs / 4
+
+
+@pytest.mark.parametrize("words", [1, 4])
+def test_sets_of_parts_equal_those_of_words_one_by_one(words):
+    pick, tool = random.Random(7), J.Shingler(words)
+    texts = [None, "", " \n", "a", " a\tB\x0bc\x0c d\r\n e ", "a a a a a a a", "\x1c x \x85 y É é z"]
+    texts += ["".join(pick.choices("aBcé \t\n\x0b\x0c\r\x1c\x1f", k=pick.randint(0, 60))) for _ in range(500)]
+    column = pa.array(texts, pa.string())
+    got = [s for at in range(0, len(texts), 100) for s in tool.sets(column.slice(at, 100))]
+    for text, s in zip(texts, got, strict=True):
+        w = [xxhash.xxh64_intdigest(x) for x in (text or "").encode().lower().split()]
+        k = min(words, len(w))
+        assert s.dtype == np.uint64 and s.tolist() == sorted({int(h) for i in range(len(w) - k + 1) for h in J.window_hashes(np.array(w[i : i + k], np.uint64), k)} if w else [])
+    assert vars(tool) == {"words": words}  # a worker's memory doesn't grow with the words that it has met
