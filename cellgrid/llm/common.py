@@ -44,6 +44,17 @@ def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
+def in_few_parts(df: DataFrame) -> DataFrame:
+    """`df` in fewer, larger parts, without a shuffle: a task takes several parts one after the other, so none is held with another.
+
+    For each file that an executor writes to a local disk Hadoop starts three processes (chmod). Until such a process runs
+    its own program it shares the executor's memory and counts as large, so hundreds of tiny files cost more than their rows.
+    There are four parts for each core at least, and one for every eight of a shuffle's, so they grow in number with the shuffles.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def whole(df: DataFrame, row: str = "row") -> Column:
     """All columns of `df` as one struct, so that an operator's own columns can't clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row)

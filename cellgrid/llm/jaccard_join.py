@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, dropped, in_bitmap, settled, table, whole, window_hashes, written
+from .common import bitmap_of, dropped, in_bitmap, in_few_parts, settled, table, whole, window_hashes, written
 
 #: Lists of at most this many sets are paired directly; shingles in more prefixes than this come last in the order.
 SHORT_LIST = 24
@@ -89,6 +89,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A table between two steps: most are narrow, and there are dozens of them."""
+    return written(in_few_parts(df), name)
+
+
 def _class_of(s: np.ndarray) -> int | None:
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
@@ -215,14 +220,14 @@ def deltas(led: DataFrame, sets: DataFrame, centre: DataFrame, rule: Jaccard, co
 
 def components(edges: DataFrame) -> DataFrame:
     """cls and label (the smallest class reachable) for all ends of `edges` (a, b), by minimum labels with pointer jumping."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    both = _stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = _stored(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnsRenamed({"cls": "b", "label": "l"}), "b").groupBy("a").agg(F.min("l").alias("l"))
         low = labels.join(near.withColumnRenamed("a", "cls"), "cls").select("cls", "label", F.least("label", "l").alias("low"))
         # jump: the label of the label is at least as low
         far = labels.select(F.col("cls").alias("low"), F.col("label").alias("far"))
-        after = written(low.join(far, "low").select("cls", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("moved")), "labels")
+        after = _stored(low.join(far, "low").select("cls", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("moved")), "labels")
         moved = after.where("moved").limit(1).count()
         dropped(labels)
         labels = after.drop("moved")
@@ -241,8 +246,8 @@ def index_lists(signed: DataFrame) -> DataFrame:
     elements have more than one entry, and which have many. So no list, however long, is gathered or sorted in one task.
     An element that shares a bit with a long list's counts as one too, which changes how its sets are compared, never which link.
     """
-    classes = written(signed.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    counts = written(classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("length")).where("length > 1"), "lengths")
+    classes = _stored(signed.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    counts = _stored(classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("length")).where("length > 1"), "lengths")
     many = bitmap_of(counts, "h", BITMAP_BITS)
     long = bitmap_of(counts.where(F.col("length") > SHORT_LIST), "h", BITMAP_BITS)
     dropped(counts)
@@ -316,7 +321,7 @@ def open_pairs(moved: DataFrame, hubs: DataFrame, labels: DataFrame, rule: Jacca
     home = hubs.join(label.withColumnRenamed("cls", "hub"), "hub", "left").select("leader", F.coalesce("label", "hub").alias("home"))
     x = moved.join(label, "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label").join(home, "leader").withColumn("out", F.col("comp") != F.col("home"))
     mixed = x.where("out").select("leader").distinct()
-    x = written(x.join(mixed, "leader", "left_semi"), "open")
+    x = _stored(x.join(mixed, "leader", "left_semi"), "open")
     index = x.select("leader", "cls", "n", "d", "a", "comp", "out", F.posexplode("delta").alias("place", "element"))
     close = F.col("d") <= F.floor((rule.den - rule.num) * F.col("n") / F.lit(float(rule.num)))  # others need shared elements whatever they meet
     index = index.unionByName(x.where(close).select("leader", "cls", "n", "d", "a", "comp", "out", F.lit(0).alias("place"), F.lit(NONE).cast("bigint").alias("element")))
@@ -336,21 +341,21 @@ def open_pairs(moved: DataFrame, hubs: DataFrame, labels: DataFrame, rule: Jacca
 
 def group_links(led: DataFrame, edges: DataFrame, docs: DataFrame, rule: Jaccard, reps: DataFrame, common: np.ndarray) -> DataFrame:
     """`edges` with links that connect whatever the long lists' groups (cls, leader) connect."""
-    classes = written(led.select("cls").union(led.select("leader")).distinct().join(reps, "cls"), "grouped")
-    sets = written(fetch_sets(docs, rule, classes).dropDuplicates(["cls"]), "sets")
-    near = written(compared(led.select(F.col("cls").alias("a"), F.col("leader").alias("b")), sets, rule), "near")
+    classes = _stored(led.select("cls").union(led.select("leader")).distinct().join(reps, "cls"), "grouped")
+    sets = _stored(fetch_sets(docs, rule, classes).dropDuplicates(["cls"]), "sets")
+    near = _stored(compared(led.select(F.col("cls").alias("a"), F.col("leader").alias("b")), sets, rule), "near")
     edges = edges.union(near.where("linked").select("a", "b"))
     leaders = led.select("leader").distinct()
     kin = components(near.where("alike").join(leaders.withColumnRenamed("leader", "a"), "a", "left_semi").select("a", "b"))
     own = leaders.join(kin.withColumnRenamed("cls", "leader"), "leader", "left").select("leader", F.coalesce("label", "leader").alias("family"))
     group = near.select(F.col("a").alias("cls"), F.col("b").alias("leader"), "alike").union(leaders.select(F.col("leader").alias("cls"), "leader", F.lit(True)))
-    group = written(group.join(own, "leader").groupBy("cls", F.col("family").alias("leader")).agg(F.max("alike").alias("alike")), "groups")
-    moved = written(deltas(group.select("cls", "leader"), sets, centres(group, sets), rule, common), "moved")
-    hubs = written(moved.groupBy("leader").agg(F.min_by("cls", F.struct("d", "cls")).alias("hub")), "hubs")
+    group = _stored(group.join(own, "leader").groupBy("cls", F.col("family").alias("leader")).agg(F.max("alike").alias("alike")), "groups")
+    moved = _stored(deltas(group.select("cls", "leader"), sets, centres(group, sets), rule, common), "moved")
+    hubs = _stored(moved.groupBy("leader").agg(F.min_by("cls", F.struct("d", "cls")).alias("hub")), "hubs")
     spokes = moved.join(hubs, "leader").where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = edges.union(written(compared(spokes, sets, rule).where("linked").select("a", "b"), "links"))
-    more = written(open_pairs(moved, hubs, components(edges), rule), "pairs")
-    edges = edges.union(written(compared(more, sets, rule).where("linked").select("a", "b"), "links"))
+    edges = edges.union(_stored(compared(spokes, sets, rule).where("linked").select("a", "b"), "links"))
+    more = _stored(open_pairs(moved, hubs, components(edges), rule), "pairs")
+    edges = edges.union(_stored(compared(more, sets, rule).where("linked").select("a", "b"), "links"))
     dropped(sets)
     return edges
 
@@ -358,13 +363,13 @@ def group_links(led: DataFrame, edges: DataFrame, docs: DataFrame, rule: Jaccard
 def _in_components(docs: DataFrame, rule: Jaccard) -> DataFrame:
     """doc_id, n, cls, component_id and kept of every row of `docs`: kept is the component's class to keep, the least of those with the least doc_id; rows without a set have none."""
     common = common_shingles(docs, rule)
-    signed = written(signatures(docs, rule, common), "signatures")
+    signed = _stored(signatures(docs, rule, common), "signatures")
     reps = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    lists = written(index_lists(signed), "lists")
-    pairs = written(short_pairs(lists, rule), "pairs")
-    paired = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(reps, "cls"), "paired")
-    edges = written(compared(pairs, fetch_sets(docs, rule, paired), rule).where("linked").select("a", "b"), "links")
-    led = written(led_sets(long_lists(lists, rule)), "led")
+    lists = _stored(index_lists(signed), "lists")
+    pairs = _stored(short_pairs(lists, rule), "pairs")
+    paired = _stored(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(reps, "cls"), "paired")
+    edges = _stored(compared(pairs, fetch_sets(docs, rule, paired), rule).where("linked").select("a", "b"), "links")
+    led = _stored(led_sets(long_lists(lists, rule)), "led")
     if led.limit(1).count():
         edges = group_links(led, edges, docs, rule, reps, common)
     labels = components(edges)
@@ -408,7 +413,7 @@ def one_of_each(docs: DataFrame, rule: Jaccard | None = None) -> DataFrame:
     def judge() -> DataFrame:
         groups = _in_components(docs, rule).where("cls is not null").groupBy("doc_id", "cls").agg(F.first("kept").alias("kept"), F.first("component_id").alias("component_id"), F.count("*").alias("rows"))
         gone = (F.col("cls") != F.col("kept")) | ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-        return groups.select("doc_id", "cls", gone.alias("gone"), "rows").where("gone or rows > 1")
+        return in_few_parts(groups.select("doc_id", "cls", gone.alias("gone"), "rows").where("gone or rows > 1"))
 
     judged = settled(judge, "judged")
     go = judged.where("gone").select(F.col("doc_id").alias("gone_id"), F.col("cls").alias("gone_set"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settled, table, whole, written
+from .common import in_few_parts, settled, table, whole, written
 
 LEVELS = ("domain", "lang", "source")
 
@@ -125,11 +125,11 @@ def drawn(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
     shuffled.
     """
     mix = mix or Mixture()
-    rows = written(_tokens(docs, whole(docs)), "rows")
+    rows = written(in_few_parts(_tokens(docs, whole(docs))), "rows")
     place = lambda: F.struct("turn", "tokens", "n")
 
     def ends() -> DataFrame:
-        return _taken(rows.drop("row"), mix).groupBy(*LEVELS, "full_epochs").agg(F.max(place()).alias("last"))
+        return in_few_parts(_taken(rows.drop("row"), mix).groupBy(*LEVELS, "full_epochs").agg(F.max(place()).alias("last")))
 
     last = settled(ends, "last-drawn")
     x = rows.where("tokens > 0").withColumn("domain", F.expr(mix.domain_sql)).join(last, list(LEVELS)).withColumn("turn", _turn(mix))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import listed, table, whole, written
+from .common import in_few_parts, listed, table, whole, written
 
 RING_SLOTS = 1 << 16
 VIRTUAL_NODES = 128
@@ -127,7 +127,7 @@ def documents_to_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
 def with_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     """All rows and columns of `docs` with size, text_crc32, shard and slot (columns of these names are replaced)."""
     own = ("size", "text_crc32", "shard", "slot")
-    x = shard_rows(_keyed(docs, whole(docs)), shards)
+    x = shard_rows(in_few_parts(_keyed(docs, whole(docs))), shards)
     return x.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own], *own)
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, in_bitmap, settled, table, whole, window_hashes
+from .common import bitmap_of, in_bitmap, in_few_parts, settled, table, whole, window_hashes
 
 WINDOW = 8
 #: Words of a seed; only items longer than a window have seeds.
@@ -318,7 +318,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     first, so that Spark sees whether they may be broadcast.
     """
     rows = docs.select(whole(docs), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    bad = settled(lambda: leaks(rows.select(F.col("h").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("h")).distinct(), "leaks")
+    bad = settled(lambda: in_few_parts(leaks(rows.select(F.col("h").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("h")).distinct()), "leaks")
     return rows.join(bad, "h", "left_anti").select("row.*")
 
 

@@ -143,3 +143,25 @@ def test_sets_of_parts_equal_those_of_words_one_by_one(words):
         k = min(words, len(w))
         assert s.dtype == np.uint64 and s.tolist() == sorted({int(h) for i in range(len(w) - k + 1) for h in J.window_hashes(np.array(w[i : i + k], np.uint64), k)} if w else [])
     assert vars(tool) == {"words": words}  # a worker's memory doesn't grow with the words that it has met
+
+
+def test_tables_between_steps_are_few_files(spark, small, monkeypatch):
+    """Of many small parts: a table of every step is a few files, and the rows are the same."""
+    most, files, plain = 4 * spark.sparkContext.defaultParallelism, {}, J.written
+
+    def counted(df, name, **options):
+        out = plain(df, name, **options)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(J, "written", counted)
+    monkeypatch.setattr(J, "SHORT_LIST", 2)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(most + 4))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        check(table(spark, small, "documents").repartition(most + 4), J.Jaccard())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"signatures", "lists", "near", "labels"} <= set(files) and max(files.values()) <= most

@@ -69,6 +69,13 @@ def test_shards_hold_all(stages):
     assert len(rows) == before.count() and max(counts.values()) - min(counts[s] for s in range(P.SHARDS)) <= 1
 
 
+def test_stages_write_few_files(spark, stages):
+    """However many parts their input has."""
+    most = 4 * spark.sparkContext.defaultParallelism
+    for name, f in P.STAGES:
+        assert f(spark, stages[name][0].repartition(most + 4), SF).rdd.getNumPartitions() <= most
+
+
 def test_edges_and_nothing(spark, edges, nothing, labels, tmp_path):
     table(spark, SF, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
