@@ -16,24 +16,32 @@ from pyspark.sql import functions as F
 ALL_PAIRS = 512
 
 
-def _by_series(cells: DataFrame, schema: str, work: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
-    """(dggid, attr_key, ...) of what `work` makes of each series' times and values, in time order; of several values at a time the mean counts."""
+def _series(cells: DataFrame) -> DataFrame:
+    """(dggid, attr_key, points) of every series: its times and values, in time order; of several values at a time the mean counts."""
     x = cells.where("value_num is not null AND NOT isnan(value_num)").groupBy("dggid", "attr_key", "tid").agg(F.avg("value_num").alias("v"))
-    x = x.groupBy("dggid", "attr_key").agg(F.array_sort(F.collect_list(F.struct("tid", "v"))).alias("points"))
+    return x.groupBy("dggid", "attr_key").agg(F.array_sort(F.collect_list(F.struct("tid", "v"))).alias("points"))
+
+
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each series of a batch begins and the last one ends, and the times and values of all."""
+    points = b.column(2)
+    at, flat = points.offsets.to_numpy(), points.flatten()
+    return at - at[0], flat.field("tid").to_numpy(zero_copy_only=False), flat.field("v").to_numpy(zero_copy_only=False)
+
+
+def _by_series(cells: DataFrame, schema: str, work: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+    """(dggid, attr_key, ...) of what `work` makes of each series' times and values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            points = b.column(2)
-            at, flat = points.offsets.to_numpy(), points.flatten()
-            t, v = flat.field("tid").to_numpy(zero_copy_only=False), flat.field("v").to_numpy(zero_copy_only=False)
-            at = at - at[0]
+            at, t, v = _flat(b)
             found = [work(t[a:z], v[a:z]) for a, z in zip(at, at[1:], strict=False)]
             if found:
                 series = pa.array(np.repeat(np.arange(b.num_rows), [len(next(iter(x.values()))) for x in found]))
                 columns = {c: pa.array(np.concatenate([x[c] for x in found])) for c in found[0]}
                 yield pa.RecordBatch.from_arrays([b.column(0).take(series), b.column(1).take(series), *columns.values()], ["dggid", "attr_key", *columns])
 
-    return x.mapInArrow(run, f"dggid string, attr_key string, {schema}")
+    return _series(cells).mapInArrow(run, f"dggid string, attr_key string, {schema}")
 
 
 def concordance(v: np.ndarray) -> int:
@@ -100,68 +108,101 @@ def mann_kendall(cells: DataFrame, critical: float = 1.96) -> DataFrame:
 def loess(x: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
     """Locally weighted lines through (x, y), evaluated at other places: tricube weights over the `q` nearest points, times `w`.
 
-    With fewer points than `q`, the window widens in proportion. Without spread or weight, the mean counts.
+    With fewer points than `q`, the window widens in proportion. Without spread or weight, the mean counts. y and w have a row for each
+    of many series with the same points; their sums are products with the one matrix of tricube weights.
     """
-    out, n = np.empty(len(at)), len(x)
+    out, n = np.empty((len(y), len(at))), len(x)
     for k in range(0, len(at), max(1, (1 << 21) // max(1, n))):
         here = at[k : k + max(1, (1 << 21) // max(1, n))]
         d = x[None, :] - here[:, None]
         far = np.abs(d)
         h = np.partition(far, min(q, n) - 1, axis=1)[:, min(q, n) - 1] * max(1.0, q / n)
         u = far / np.maximum(h, 1e-12)[:, None]
-        g = np.where(u < 1, (1 - np.minimum(u, 1) ** 3) ** 3, 0.0) * w
-        g = np.where((g.sum(axis=1) > 0)[:, None], g, (far <= h[:, None]) * 1.0)
-        s0, s1, s2, t0, t1 = g.sum(axis=1), (g * d).sum(axis=1), (g * d * d).sum(axis=1), g @ y, (g * d) @ y
+        g = np.where(u < 1, (1 - np.minimum(u, 1) ** 3) ** 3, 0.0)
+        s0, s1, s2, t0, t1 = _moments(g, d, w, y)
+        none = s0 <= 0
+        if none.any():
+            s0, s1, s2, t0, t1 = (np.where(none, b, a) for a, b in zip((s0, s1, s2, t0, t1), _moments((far <= h[:, None]) * 1.0, d, np.ones_like(w), y), strict=True))
         spread = s0 * s2 - s1 * s1
         line = spread > 1e-9 * s0 * s0
-        out[k : k + len(here)] = np.where(line, (s2 * t0 - s1 * t1) / np.where(line, spread, 1.0), t0 / s0)
+        out[:, k : k + len(here)] = np.where(line, (s2 * t0 - s1 * t1) / np.where(line, spread, 1.0), t0 / s0)
     return out
 
 
+def _moments(g: np.ndarray, d: np.ndarray, w: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(series, places): sums of the weights g * w over the points, of those times d and d * d, and of those times y and d * y."""
+    gd, wy = g * d, w * y
+    return w @ g.T, w @ gd.T, w @ (gd * d).T, wy @ g.T, wy @ gd.T
+
+
 def _moving(v: np.ndarray, n: int) -> np.ndarray:
-    sums = np.cumsum(np.concatenate([[0.0], v]))
-    return (sums[n:] - sums[:-n]) / n
+    sums = np.cumsum(np.concatenate([np.zeros((len(v), 1)), v], axis=1), axis=1)
+    return (sums[:, n:] - sums[:, :-n]) / n
 
 
-def decomposed(t: np.ndarray, v: np.ndarray, period: int, seasonal: int = 7, inner: int = 2, outer: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Trend and season of one series by loess (STL); the rest is what they leave. Times are whole numbers, gaps are allowed.
+def decomposed(own: np.ndarray, v: np.ndarray, period: int, seasonal: int = 7, inner: int = 2, outer: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Trend and season of series (a row of v each) by loess (STL); the rest is what they leave. `own` are their times since the first, whole numbers with gaps.
 
     Smoothing uses the points that are there and is evaluated at every time between the first and the last one. A season that has no
     point takes 0. Points far from the fit count less in each of the `outer` rounds.
     """
-    first, n = int(t[0]), int(t[-1] - t[0]) + 1
-    every, own = np.arange(n, dtype=float), (t - first).astype(int)
-    x, w, season, trend = own.astype(float), np.ones(len(v)), np.zeros(n), np.zeros(n)
+    n = int(own[-1]) + 1
+    every = np.arange(n, dtype=float)
+    x, w, season, trend = own.astype(float), np.ones(v.shape), np.zeros((len(v), n)), np.zeros((len(v), n))
     odd = lambda q: int(q) + 1 - int(q) % 2
     low_q, trend_q = odd(period), odd(np.ceil(1.5 * period / (1 - 1.5 / seasonal)))
     for rnd in range(outer + 1):
         for _ in range(inner):
-            loose = v - trend[own]
-            cycle = np.zeros(n + 2 * period)  # one period more at each end
+            loose = v - trend[:, own]
+            cycle = np.zeros((len(v), n + 2 * period))  # one period more at each end
             for k in range(period):
                 mine = own % period == k
                 places = np.arange(k, n + 2 * period, period)
                 if mine.any():
-                    cycle[places] = loess((x[mine] - k) / period, loose[mine], w[mine], (places - k) / period - 1.0, seasonal)
+                    cycle[:, places] = loess((x[mine] - k) / period, loose[:, mine], w[:, mine], (places - k) / period - 1.0, seasonal)
             low = _moving(_moving(_moving(cycle, period), period), 3)
-            season = cycle[period : period + n] - loess(every, low, np.ones(n), every, low_q)
-            trend = loess(x, v - season[own], w, every, trend_q)
+            season = cycle[:, period : period + n] - loess(every, low, np.ones(low.shape), every, low_q)
+            trend = loess(x, v - season[:, own], w, every, trend_q)
         if rnd < outer:
-            rest = np.abs(v - season[own] - trend[own])
-            h = 6 * np.median(rest)
-            w = (1 - np.minimum(rest / h, 1) ** 2) ** 2 if h > 1e-12 * max(1.0, np.abs(v).max()) else np.ones(len(v))
-    return trend[own], season[own]
+            rest = np.abs(v - season[:, own] - trend[:, own])
+            h = 6 * np.median(rest, axis=1, keepdims=True)
+            loose = h > 1e-12 * np.maximum(1.0, np.abs(v).max(axis=1, keepdims=True))
+            w = np.where(loose, (1 - np.minimum(rest / np.where(loose, h, 1.0), 1) ** 2) ** 2, 1.0)
+    return trend[:, own], season[:, own]
+
+
+#: Times of series that are decomposed together.
+MOST_TIMES = 1 << 18
 
 
 def decompose(cells: DataFrame, period: int, seasonal: int = 7, inner: int = 2, outer: int = 5) -> DataFrame:
-    """(dggid, attr_key, tid, value_num, trend, seasonal, residual), which add up, for series that span two periods at least; others have no rows."""
+    """(dggid, attr_key, tid, value_num, trend, seasonal, residual), which add up, for series that span two periods at least; others have no rows.
+
+    Series of a batch that have their points at the same times since the first one are worked on together.
+    """
     if period < 2 or seasonal < 3:
         raise ValueError("a period has two times at least, a seasonal window three")
 
-    def work(t: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        if len(t) < 3 or t[-1] - t[0] + 1 < 2 * period:
-            return {c: np.empty(0, np.int64 if c == "tid" else float) for c in ("tid", "value_num", "trend", "seasonal", "residual")}
-        trend, season = decomposed(t, v, period, seasonal, inner, outer)
-        return {"tid": t, "value_num": v, "trend": trend, "seasonal": season, "residual": v - trend - season}
-
-    return _by_series(cells, "tid bigint, value_num double, trend double, seasonal double, residual double", work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for b in batches if b.num_rows):
+            at, t, v = _flat(b)
+            first, size = at[:-1], np.diff(at)
+            own = (t - np.repeat(t[first], size)).astype(np.int64)
+            long = (size >= 3) & (own[at[1:] - 1] + 1 >= 2 * period)
+            alike: dict[bytes, list[int]] = {}
+            for k in np.flatnonzero(long).tolist():
+                alike.setdefault(own[at[k] : at[k + 1]].tobytes(), []).append(k)
+            trend, season = np.zeros(len(t)), np.zeros(len(t))
+            for times, which in alike.items():
+                x = np.frombuffer(times, np.int64)
+                step = max(1, MOST_TIMES // (int(x[-1]) + 1))
+                for k in range(0, len(which), step):
+                    rows = first[which[k : k + step]][:, None] + np.arange(len(x))
+                    trend[rows], season[rows] = decomposed(x, v[rows], period, seasonal, inner, outer)
+            keep = np.repeat(long, size)
+            series, t, v, trend, season = (c[keep] for c in (np.repeat(np.arange(b.num_rows), size), t, v, trend, season))
+            columns = [b.column(0).take(pa.array(series)), b.column(1).take(pa.array(series)), *map(pa.array, (t, v, trend, season, v - trend - season))]
+            yield pa.RecordBatch.from_arrays(columns, ["dggid", "attr_key", "tid", "value_num", "trend", "seasonal", "residual"])
+
+    schema = "dggid string, attr_key string, tid bigint, value_num double, trend double, seasonal double, residual double"
+    return _series(cells.where("tid is not null")).mapInArrow(run, schema)

@@ -112,3 +112,34 @@ def test_decomposition_finds_the_season(spark):
     for bad in ((1, 7), (4, 2)):
         with pytest.raises(ValueError):
             series.decompose(cells(spark, {"a": points}), *bad)
+
+
+def test_many_series_cost_as_many_fits_as_one(monkeypatch):
+    rng, own, fits, fit = np.random.default_rng(2), np.array([0, 1, 2, 4, 5, 6, 9]), [], series.loess
+    monkeypatch.setattr(series, "loess", lambda *args: fits.append(1) or fit(*args))
+    v = rng.normal(100, 30, (500, 7))
+    trend, season = series.decomposed(own, v, 3)
+    many = len(fits)
+    for k in range(0, 500, 25):
+        a, b = series.decomposed(own, v[k : k + 1], 3)
+        assert np.allclose(trend[k], a[0], atol=1e-9) and np.allclose(season[k], b[0], atol=1e-9)
+    assert trend.shape == season.shape == (500, 7) and len(fits) == 21 * many
+
+
+def test_decomposition_of_series_with_all_kinds_of_gaps(spark):
+    """Series that begin at different times, some with their points at the same times, some not; single points and times without a value between them."""
+    rng, named = random.Random(5), {}
+    for k in range(60):
+        times = [t for t in range(9) if rng.random() < 0.8] if k % 3 else list(range(7))
+        named[f"s{k}"] = [(1992 + k % 4 + t, rng.gauss(100, 40)) for t in times]
+    want = {k: p for k, p in named.items() if len(p) >= 3 and p[-1][0] - p[0][0] >= 5}
+    got = {}
+    for r in series.decompose(cells(spark, named), 3).collect():
+        got.setdefault(r.dggid, {})[r.tid] = r
+    assert got.keys() == want.keys() and 40 < len(got)
+    for name, points in want.items():
+        trend, season = plain_stl([t for t, _ in points], [v for _, v in points], 3, 7, 2, 5)
+        assert got[name].keys() == {t for t, _ in points}
+        for (t, v), a, b in zip(points, trend, season, strict=True):
+            r = got[name][t]
+            assert r.value_num == v and abs(r.trend - a) < 1e-6 and abs(r.seasonal - b) < 1e-6 and abs(r.residual - (v - a - b)) < 1e-6
